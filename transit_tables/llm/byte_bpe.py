@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Memory
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries of each worker's memory of segments, of pieces and of pairs.
 PIECES, PAIRS = 400_000, 1_000_000
@@ -46,22 +48,6 @@ class Vocabulary:
         return [ranks[x] for x in parts]
 
 
-class Memory(dict):
-    """Remembers a function of short strings; starts anew when full, so its size is bounded."""
-
-    def __init__(self, function, entries: int):
-        super().__init__()
-        self.function, self.entries = function, entries
-
-    def __missing__(self, key: str):
-        found = self.function(key)
-        if len(key) < 64:
-            if len(self) >= self.entries:
-                self.clear()
-            self[key] = found
-        return found
-
-
 class Encoder:
     """Ids of texts as little-endian 32-bit integers. Pieces, and segments of pieces, are remembered."""
 

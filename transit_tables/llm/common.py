@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,12 +92,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def per_batch(fn: Callable, *columns: str) -> Callable:
-    """A function for mapInArrow from one that maps lists of the named columns to an Arrow batch."""
+class Memory(dict):
+    """Remembers a function of short strings; starts anew when full, so its size is bounded."""
 
-    def over(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns))
+    def __init__(self, function, entries: int):
+        super().__init__()
+        self.function, self.entries = function, entries
 
-    return over
+    def __missing__(self, key: str):
+        found = self.function(key)
+        if len(key) < 64:
+            if len(self) >= self.entries:
+                self.clear()
+            self[key] = found
+        return found
+
+
+def files(uri: str):
+    """The file system and path of a folder's URI, for tasks that write a format Spark has no writer for."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
