@@ -83,7 +83,8 @@ def stop_order_key(name, ord_):
 
 
 def nearest_stop(stops: DataFrame, cell: float = 0.02, rings: int = 3) -> DataFrame:
-    """(feed, stop, nearest, degrees) by planar distance, self excluded; ties go to the first in stop order.
+    """(feed, stop, nearest, degrees) by planar distance, self excluded; distances that agree
+    in nine decimals are ties, which go to the first in stop order.
 
     Stops meet those of neighbouring cells first. A stop whose nearest is farther
     than the cells surely cover meets cells of four times the size next, ``rings``
@@ -98,7 +99,7 @@ def nearest_stop(stops: DataFrame, cell: float = 0.02, rings: int = 3) -> DataFr
         steps = F.array(F.lit(0)) if last else F.array(*(F.lit(k) for k in (-1, 0, 1)))
         mine = todo.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumn("cx", cx + F.col("dx")).withColumn("cy", cy + F.col("dy"))
         d = planar_distance(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))
-        best = mine.join(near, ["feed_id", "cx", "cy"]).where("stop_id <> other").groupBy("feed_id", "stop_id").agg(F.min(F.struct(d.alias("degrees"), "other_key", "other")).alias("b"))
+        best = mine.join(near, ["feed_id", "cx", "cy"]).where("stop_id <> other").groupBy("feed_id", "stop_id").agg(F.min(F.struct(F.round(d, 9).alias("near"), "other_key", "other", d.alias("degrees"))).alias("b"))
         found = best.select("feed_id", "stop_id", F.col("b.other").alias("nearest"), F.col("b.degrees").alias("degrees"))
         found = found if last else found.where(F.col("degrees") <= size)
         done = found if done is None else done.unionByName(found)

@@ -26,7 +26,7 @@ FROM {lines} JOIN {customer} ON custkey = c_custkey WHERE l_orderkey % 20 = 0"""
   concat(s_name, CASE WHEN s_suppkey % 7 = 0 THEN ' Int' ELSE '' END) AS stop_name,
   CAST(12.8 AS DOUBLE) + CAST(s_suppkey * 37 % 350 AS DOUBLE) / CAST(1000 AS DOUBLE) AS stop_lat,
   CAST(77.4 AS DOUBLE) + CAST(s_suppkey * 53 % 350 AS DOUBLE) / CAST(1000 AS DOUBLE) AS stop_lon, CAST(s_suppkey AS BIGINT) AS ord
-FROM {supplier} JOIN (SELECT DISTINCT c_mktsegment AS feed_id FROM {customer}) f ON s_suppkey > 0""",
+FROM {supplier} JOIN (SELECT DISTINCT c_mktsegment AS feed_id FROM {customer}) f ON s_suppkey >= 0""",
     "predictions": """SELECT 'live' AS feed_id, CAST(user_id % 20 AS STRING) AS stop_id, event_type AS no, CAST(event_id % 3 AS STRING) AS destination,
   CAST(user_id AS STRING) AS vehicle_id, CAST(event_id % 2 AS INT) AS devicestatusflag, event_id AS ord,
   CAST(floor(CAST(event_id * 977 % 7200000 AS DOUBLE)) AS BIGINT) - 600000 AS duration_ms
@@ -37,8 +37,8 @@ FROM {events}""",
   CASE WHEN event_id % 11 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(77.4 AS DOUBLE) + CAST(event_id % 353 AS DOUBLE) / 1000 END AS lng,
   CASE WHEN event_id % 5 = 0 THEN '' ELSE CAST(user_id % 20 AS STRING) END AS last_location, CAST(user_id % 7 AS STRING) AS current_location, CAST(NULL AS STRING) AS next_location
 FROM {events}""",
-    "requests": """SELECT DISTINCT c_mktsegment AS feed_id, concat('S', 1 + CAST(c_custkey * 13 % 100 AS BIGINT)) AS start_stop, concat('S', 1 + CAST(c_custkey * 29 % 100 AS BIGINT)) AS end_stop
-FROM {customer} WHERE c_custkey % 50 = 0 AND c_custkey * 13 % 100 <> c_custkey * 29 % 100""",
+    "requests": """SELECT DISTINCT c_mktsegment AS feed_id, concat('S', CAST(c_custkey * 13 % 100 AS BIGINT)) AS start_stop, concat('S', CAST(c_custkey * 29 % 100 AS BIGINT)) AS end_stop
+FROM {customer} WHERE c_custkey % 75 = 7 AND c_custkey * 13 % 100 <> c_custkey * 29 % 100""",
 }
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, geo
-from ..operators import diagram, feeds, graphs, importance, live, network, patterns, schedule, shapes
+from ..functions.order import schedule_sort_key, service_sort_key
+from ..operators import diagram, feeds, graphs, importance, live, network, pairing, patterns, report, schedule, search, shapes
 from .fixtures import DIRECTED, PATTERNS, VISITS, load, oracle
 
 NOW_HHMM = "08:00"
@@ -140,6 +142,23 @@ def requests_known(s, d):
     return network.known_services(asked, _patterns(s, d))
 
 
+def _order(s, d, key):
+    rows = load(s, d, "routes")[0].select("feed_id", F.expr("case when route_id like '%3' then route_id else substring(route_id, 2) end").alias("no"))
+    return rows.select("feed_id", "no", F.row_number().over(Window.partitionBy("feed_id").orderBy(*key(F.col("no")))).alias("place"))
+
+
+def fuzzy_search(s, d):
+    names = load(s, d, "routes")[0].select(F.col("route_id").alias("id"), F.col("route_long_name").alias("text"))
+    asked = names.where("substring(id, -2) = '77'").select(F.col("id").alias("query_id"), F.expr("replace(substring(text, 10, 9), '00', '0')").alias("text"))
+    return search.fuzzy_search(asked, names, _stops(s, d).select("feed_id", F.concat_ws("|", "feed_id", "stop_id").alias("id"), F.col("name").alias("text")))
+
+
+def feed_report(s, d):
+    routes, trips, times, stops = load(s, d, "routes", "trips", "stop_times", "stops")
+    status = report.feed_status({"routes": routes, "trips": trips, "stop_times": times, "stops": stops, "shapes": stops.where("feed_id = 'BUILDING'")}, routes)
+    return report.run_report(status)
+
+
 QUERIES = {
     "first_last_times": first_last_times,
     "trip_counts": lambda s, d: feeds.trip_counts_pivoted(_trips(s, d)[1]),
@@ -188,6 +207,18 @@ QUERIES = {
     "assign_levels": assign_levels,
     "route_groups": lambda s, d: graphs.route_groups(graphs.route_stops(_patterns(s, d)), _stops(s, d)),
     "snap_to_shapes": snap_to_shapes,
+    "service_order": lambda s, d: _order(s, d, service_sort_key),
+    "schedule_order": lambda s, d: _order(s, d, schedule_sort_key),
+    "top_stops": lambda s, d: importance.top_stops(_scores(s, d)),
+    "pair_opposite_stops": lambda s, d: pairing.pair_opposite_stops(_patterns(s, d)),
+    "stop_levels": lambda s, d: graphs.stop_levels(graphs.route_stops(_patterns(s, d)), assign_levels(s, d), _stops(s, d)),
+    "shared_prefix_order": lambda s, d: diagram.order_by_shared_prefix(diagram.top_routes(_routes_at_stops(s, d), _scores(s, d)), _stops(s, d)),
+    "fuzzy_search": fuzzy_search,
+    "feed_report": feed_report,
+    "unknown_references": lambda s, d: feeds.unknown_references(load(s, d, "trips")[0], load(s, d, "stop_times")[0].where("stop_id <> 'S3'"), load(s, d, "routes")[0], _stops(s, d).where("stop_id <> 'S7'").select("feed_id", "stop_id", F.col("lat").alias("stop_lat"), F.expr("if(stop_id = 'S9', null, lon)").alias("stop_lon"))),
+    "service_board": lambda s, d: live.service_board(_live(s, d), s.createDataFrame([("live", "click")], "feed_id string, no string")),
+    "grouped_arrivals": lambda s, d: live.group_by_service(_live(s, d)).withColumn("arrivals", F.array_join(F.transform("arrivals", lambda x: x.cast("string")), ",")),
+    "longest_variants": lambda s, d: network.longest_variants(_patterns(s, d)).select("feed_id", "route_id", "destination", "variant_idx", "place"),
 }
 
 HHMM = "CASE WHEN CAST(substr(arrival_time, 1, 2) AS INTEGER) >= 24 THEN lpad(CAST(CAST(substr(arrival_time, 1, 2) AS INTEGER) % 24 AS VARCHAR), 2, '0') ELSE substr(arrival_time, 1, 2) END || ':' || substr(arrival_time, 4, 2)"
@@ -228,7 +259,7 @@ bwd AS (SELECT q.feed_id, q.start_stop, q.end_stop, v.stop_id, f.route_id, f.des
 change AS (SELECT a.feed_id, a.start_stop, a.end_stop, a.route_id AS from_route, a.destination AS from_destination, a.variant_idx AS from_idx, b.route_id AS to_route, b.destination AS to_destination, b.variant_idx AS to_idx, string_agg(a.stop_id, ',' ORDER BY b.pos, a.stop_id) AS transfers
   FROM fwd a JOIN bwd b ON a.feed_id = b.feed_id AND a.start_stop = b.start_stop AND a.end_stop = b.end_stop AND a.stop_id = b.stop_id GROUP BY ALL)"""
 NEAREST = """,
-near AS (SELECT a.feed_id, a.stop_id, arg_min(b.stop_id, lpad(CAST(CAST(round(sqrt(pow(a.stop_lon - b.stop_lon, 2) + pow(a.stop_lat - b.stop_lat, 2)) * 1e12) AS BIGINT) AS VARCHAR), 20, '0') || CASE WHEN b.stop_name LIKE '% Int' THEN '1' ELSE '0' END || lpad(CAST(b.ord AS VARCHAR), 10, '0')) AS nearest,
+near AS (SELECT a.feed_id, a.stop_id, arg_min(b.stop_id, lpad(CAST(CAST(round(sqrt(pow(a.stop_lon - b.stop_lon, 2) + pow(a.stop_lat - b.stop_lat, 2)) * 1e9) AS BIGINT) AS VARCHAR), 20, '0') || CASE WHEN b.stop_name LIKE '% Int' THEN '1' ELSE '0' END || lpad(CAST(b.ord AS VARCHAR), 10, '0')) AS nearest,
   min(sqrt(pow(a.stop_lon - b.stop_lon, 2) + pow(a.stop_lat - b.stop_lat, 2))) AS degrees
   FROM v_stops a JOIN v_stops b ON a.feed_id = b.feed_id AND a.stop_id <> b.stop_id GROUP BY ALL)"""
 KX, KY = geo.scales()
@@ -256,7 +287,7 @@ top8 AS (SELECT * FROM ranked2 WHERE place <= 8)"""
 SIMILAR = PATTERNS + """,
 mem AS (SELECT DISTINCT feed_id, route_id, unnest(stops) AS stop_id FROM patterns),
 cnt AS (SELECT feed_id, route_id, count(*) AS n FROM mem GROUP BY ALL),
-sim AS (SELECT feed_id, a, b, both_ / CAST(ca.n + cb.n - both_ AS DOUBLE) AS jaccard FROM (SELECT x.feed_id, x.route_id AS a, y.route_id AS b, count(*) AS both_ FROM mem x JOIN mem y ON x.feed_id = y.feed_id AND x.stop_id = y.stop_id AND x.route_id < y.route_id GROUP BY ALL) p
+sim AS (SELECT p.feed_id, a, b, both_ / CAST(ca.n + cb.n - both_ AS DOUBLE) AS jaccard FROM (SELECT x.feed_id, x.route_id AS a, y.route_id AS b, count(*) AS both_ FROM mem x JOIN mem y ON x.feed_id = y.feed_id AND x.stop_id = y.stop_id AND x.route_id < y.route_id GROUP BY ALL) p
   JOIN cnt ca ON ca.feed_id = p.feed_id AND ca.route_id = a JOIN cnt cb ON cb.feed_id = p.feed_id AND cb.route_id = b)"""
 R, T, ST, SP, S = "routes", "trips", "stop_times", "sparse_times", "stops"
 
@@ -339,6 +370,17 @@ ed AS MATERIALIZED (SELECT feed_id, a, b FROM sim WHERE jaccard >= 0.2 UNION ALL
 reach(feed_id, x, y) AS (SELECT DISTINCT feed_id, route_id, route_id FROM patterns UNION SELECT r.feed_id, r.x, ed.b FROM reach r JOIN ed ON ed.feed_id = r.feed_id AND ed.a = r.y),
 cl AS (SELECT feed_id, x AS route_id, min(y) AS cluster FROM reach GROUP BY ALL)
  SELECT *, count(*) OVER (PARTITION BY feed_id, cluster) AS size FROM cl""", T, ST, recursive=True),
+    "service_order": oracle(""", n AS (SELECT feed_id, CASE WHEN route_id LIKE '%3' THEN route_id ELSE substr(route_id, 2) END AS no FROM v_routes)
+ SELECT feed_id, no, row_number() OVER (PARTITION BY feed_id ORDER BY CASE WHEN no LIKE 'R%' THEN 1 ELSE 0 END, substr(no, 1, 1), TRY_CAST(no AS BIGINT), no) AS place FROM n""", R),
+    "schedule_order": oracle(""", n AS (SELECT feed_id, CASE WHEN route_id LIKE '%3' THEN route_id ELSE substr(route_id, 2) END AS no FROM v_routes)
+ SELECT feed_id, no, row_number() OVER (PARTITION BY feed_id ORDER BY TRY_CAST(no AS DOUBLE) NULLS LAST, no) AS place FROM n""", R),
+    "top_stops": oracle(REACH.format(t="v_stop_times") + " SELECT feed_id, stop_id, CAST(destinations AS DOUBLE) AS score FROM dc ORDER BY destinations DESC, feed_id, stop_id LIMIT 20", ST),
+    "feed_report": oracle(" SELECT count(DISTINCT feed_id) FILTER (feed_id = 'BUILDING') AS success, count(DISTINCT feed_id) FILTER (feed_id <> 'BUILDING') AS partial, CAST(0 AS BIGINT) AS error, 2 AS exit_code FROM v_routes", R),
+    "unknown_references": oracle(" SELECT feed_id, 'visit_to_unknown_stop' AS what, count(*) AS n FROM v_stop_times WHERE stop_id = 'S7' GROUP BY feed_id UNION ALL SELECT feed_id, 'stop_without_coordinates', count(*) FROM v_stops WHERE stop_id = 'S9' GROUP BY feed_id", ST, S),
+    "service_board": oracle(LIVE + " SELECT feed_id, stop_id, no, destination, frequency, no = 'click' AS pinned, row_number() OVER (PARTITION BY feed_id, stop_id ORDER BY no = 'click' DESC, frequency DESC, no, destination) AS place FROM live", "predictions", "vehicles"),
+    "grouped_arrivals": oracle(LIVE + """, e AS (SELECT feed_id, stop_id, no, unnest([next_ms, next2_ms, next3_ms]) AS ms FROM live), f AS (SELECT feed_id, stop_id, no, CAST(sum(frequency) AS BIGINT) AS frequency FROM live GROUP BY ALL)
+ SELECT f.feed_id, f.stop_id, f.no, frequency, string_agg(CAST(ms AS VARCHAR), ',' ORDER BY ms) AS arrivals FROM f JOIN e ON e.feed_id = f.feed_id AND e.stop_id = f.stop_id AND e.no = f.no WHERE ms IS NOT NULL GROUP BY ALL""", "predictions", "vehicles"),
+    "longest_variants": oracle(PATTERNS + " SELECT * FROM (SELECT feed_id, route_id, destination, variant_idx, row_number() OVER (PARTITION BY feed_id, route_id ORDER BY len(stops) DESC, dest_rank, variant_idx) AS place FROM patterns) WHERE place <= 2", T, ST),
     "shape_round_trip": oracle(STANDIN + " SELECT feed_id, shape_id, pt_seq, CAST(round(lat * 100000) AS BIGINT) AS lat_e5, CAST(round(lon * 100000) AS BIGINT) AS lon_e5 FROM pts", T, ST, S),
     "shape_lengths": oracle(STANDIN + f""", leg AS (SELECT feed_id, shape_id, sqrt(pow((lon - lag(lon) OVER w) * {KX!r}, 2) + pow((lat - lag(lat) OVER w) * {KY!r}, 2)) AS km FROM pts WINDOW w AS (PARTITION BY feed_id, shape_id ORDER BY pt_seq))
  SELECT feed_id, shape_id, round(coalesce(sum(km), 0), 6) AS km FROM leg GROUP BY ALL""", T, ST, S),
