@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memory, files, new_path, partitions, save
+from .common import files, new_path, partitions, save
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -33,18 +33,24 @@ MAGIC = b"DACTOK01"
 SPAN = 512
 #: Tokens after which a file ends, at the next document.
 FILE_TOKENS = 4_000_000
-WORDS = 400_000
+#: Words and pieces that a worker remembers.
+WORDS, PIECES = 700_000, 500_000
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 class Tokens:
-    """Ids of texts by the tokenizers library; the ids of white-space-separated words are remembered.
+    """Ids of texts by the tokenizers library, which sees each word's pieces once.
 
-    White space ends every word of this tokenizer and leaves no token, so a text's
-    ids are those of its words in turn.
+    White space ends every word of this tokenizer and leaves no token, so a text's ids
+    are those of its words in turn. A word of printable ASCII and Latin-1 letters is lower-cased
+    and cut where the tokenizer cuts it, so that words with other capitals or marks share pieces;
+    other words go to the library whole. New pieces are encoded in one text, and the ids
+    of tokens that end a word tell them apart.
     """
 
     split = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
+    plain = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+    cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
 
     def __init__(self, path: str):
         import os
@@ -53,20 +59,45 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Memory(lambda w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), WORDS)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         words = [self.split(t or "") for t in texts]
-        new = [*set().union(*words).difference(self.known)]
+        new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > WORDS:
             self.known.clear()
-            new = [*set().union(*words)]
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+            new = set().union(*words)
+        cuts = {w: self.cut(w.lower()) for w in new if self.plain(w) and "<|" not in w}
+        lacking = set().union(*cuts.values()).difference(self.pieces)
+        if len(self.pieces) + len(lacking) > PIECES:
+            self.pieces.clear()
+            lacking = set().union(*cuts.values())
+        self._learn(sorted(lacking))
+        of = self.pieces.__getitem__
+        self.known.update((w, of(x[0]) if len(x) == 1 else b"".join(map(of, x))) for w, x in cuts.items())
+        if len(cuts) < len(new):
+            self.known.update((w, self._one(w)) for w in new.difference(cuts))
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        parts = [pieces[i : i + 512] for i in range(0, len(pieces), 512)]
+        for i in range(0, len(parts), 64):
+            for part, found in zip(parts[i : i + 64], self.tokenizer.encode_batch_fast([" ".join(x) for x in parts[i : i + 64]], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, "<u4")
+                ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(ends) == len(part):
+                    data = ids.tobytes()
+                    self.pieces.update((p, data[4 * s : 4 * e]) for p, s, e in zip(part, [0, *ends], ends, strict=False))
+                else:
+                    self.pieces.update((p, self._one(p)) for p in part)
+
 
 def levels_of(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Chunks, bitmap and directory of each level."""
