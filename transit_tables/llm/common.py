@@ -99,7 +99,7 @@ class Memory(dict):
         super().__init__()
         self.function, self.entries = function, entries
 
-    def __missing__(self, key: str):
+    def __missing__(self, key):
         found = self.function(key)
         if len(key) < 64:
             if len(self) >= self.entries:
