@@ -24,7 +24,7 @@ TIMES = [
     ("a", "t3", "C", 1, 7, "10:00:00", None), ("a", "t3", "B", 1, 8, "10:05:00", None), ("a", "t3", "A", 2, 9, "25:05:10", None),
     ("a", "t4", "A", 1, 10, "07:00:00", None), ("a", "t4", "D", 2, 11, "07:10:00", None), ("a", "t4", "A", 3, 12, "07:20:00", None),
 ]
-STOPS = [("a", "A", 77.5, 12.9, "Alpha", 1), ("a", "B", 77.51, 12.9, "Beta int", 2), ("a", "C", 77.53, 12.91, "Opp Gamma Int", 3), ("a", "D", None, None, "Delta", 4), ("a", "E", 77.9, 13.3, "Far", 5)]
+STOPS = [("a", "A", 77.5, 12.9, "Alpha", 1), ("a", "B", 77.51, 12.9, "Main int", 2), ("a", "C", 77.53, 12.91, "Opp Gamma Int", 3), ("a", "D", None, None, "Delta", 4), ("a", "E", 77.9, 13.3, "Far", 5)]
 
 
 @pytest.fixture(scope="module")

@@ -56,12 +56,12 @@ OUT = "feed_id string, stop_id string, no string, snapshot_id long, bus_id long,
 STATE = "next_id long, ids array<long>, durations array<long>, features array<string>, types array<string>, visits array<int>, origins array<string>, destinations array<string>"
 
 
-def match_predictions(predictions: DataFrame, ttl: str = "1 hour", timeout: str = GroupStateTimeout.ProcessingTimeTimeout) -> DataFrame:
+def match_predictions(predictions: DataFrame, ttl_ms: int = 3_600_000, timeout: str = GroupStateTimeout.ProcessingTimeTimeout) -> DataFrame:
     """Rows (feed, stop, no, snapshot, bus_id, duration_ms, ghost) of a stream of predictions.
 
     A bus keeps its id from one snapshot of its stop and service to the next if a free
     prediction is the same but for a small shift; the first such is taken. A bus
-    that isn't found is given once more as a ghost. State is dropped after ``ttl``
+    that isn't found is given once more as a ghost. State is dropped after ``ttl_ms``
     without data.
     """
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -88,7 +88,7 @@ def match_predictions(predictions: DataFrame, ttl: str = "1 hour", timeout: str
             before = list(zip(ids, free, strict=True))
             out += [(*key, snapshot, i, int(b["duration_ms"]), False) for i, b in before]
         state.update((next_id, [i for i, _ in before], *([b[f] if f not in ("duration_ms", "visit_number") else int(b[f]) for _, b in before] for f in FIELDS)))
-        state.setTimeoutDuration(ttl)
+        state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["feed_id", "stop_id", "no", "snapshot_id", "bus_id", "duration_ms", "ghost"])
 
     return predictions.groupBy("feed_id", "stop_id", "no").applyInPandasWithState(step, OUT, STATE, "append", timeout)
