@@ -266,7 +266,7 @@ def test_match_predictions_stream(spark, tmp_path):
     for i, data in enumerate(([bus(1, 0, 600_000), bus(1, 1, 1_200_000)], [bus(2, 0, 540_000), bus(2, 1, 1_900_000)])):
         spark.createDataFrame(data, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
     source = spark.readStream.schema(kinds).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    query = streams.match_predictions(source).writeStream.format("memory").queryName("lanes").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
+    query = streams.match_predictions(source, timeout="NoTimeout").writeStream.format("memory").queryName("lanes").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
     try:
         query.processAllAvailable()
         got = rows(spark.table("lanes"), "snapshot_id", "bus_id", "duration_ms", "ghost")

@@ -88,7 +88,8 @@ def match_predictions(predictions: DataFrame, ttl_ms: int = 3_600_000, timeout:
             before = list(zip(ids, free, strict=True))
             out += [(*key, snapshot, i, int(b["duration_ms"]), False) for i, b in before]
         state.update((next_id, [i for i, _ in before], *([b[f] if f not in ("duration_ms", "visit_number") else int(b[f]) for _, b in before] for f in FIELDS)))
-        state.setTimeoutDuration(ttl_ms)
+        if timeout != GroupStateTimeout.NoTimeout:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["feed_id", "stop_id", "no", "snapshot_id", "bus_id", "duration_ms", "ghost"])
 
     return predictions.groupBy("feed_id", "stop_id", "no").applyInPandasWithState(step, OUT, STATE, "append", timeout)
