@@ -346,6 +346,34 @@ def test_bm25(spark, monkeypatch):
     assert bm25.search_documents(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_bm25_shard(monkeypatch):
+    """A shard's search against plain sums, with ties, few hits, floors of earlier shards, and no common or only common terms."""
+    monkeypatch.setattr(bm25, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    texts = ["", None, *(" ".join(f"w{int(k)}" for k in rng.zipf(1.4, size=rng.integers(1, 50))) for _ in range(300))]
+    texts += texts[10:60]
+    bags = [bm25.terms(t) for t in texts]
+    ids = list(rng.permutation(len(texts)))
+    batch = bm25.pa.RecordBatch.from_arrays([bm25.pa.array(ids), bm25.pa.array(texts)], names=["id", "text"])
+    (parts,) = (r for b in bm25._sharded([batch]) for r in b.to_pylist())
+    weight = {t: 0.1 + (t % 97) / 9 for b in bags for t in b[0].tolist()}
+    queries = [(b[0], b[1] * [weight[t] for t in b[0].tolist()]) for b in bags[::5]] + [(np.array([1, 2]), np.ones(2))]
+    for common in (0.0, 0.04, 1.0):
+        monkeypatch.setattr(bm25, "COMMON", common)
+        shard = bm25.Shard(parts, 20.0)
+        got = shard.search(queries, np.zeros(len(queries)), 7)
+        raised = shard.search(queries, np.array([g[-1][0] if len(g) == 7 else 0.0 for g in got]), 7)
+        for (term, w), have, again in zip(queries, got, raised, strict=True):
+            of, scores = dict(zip(term.tolist(), w.tolist(), strict=True)), []
+            for who, (t, tf) in zip(ids, bags, strict=True):
+                s = sum(of[x] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * tf.sum() / 20)) for x, f in zip(t.tolist(), tf.tolist(), strict=True) if x in of)
+                if s > 0:
+                    scores.append((s, int(who)))
+            want = sorted(scores, key=lambda x: (-round(x[0], 9), x[1]))[:7]
+            assert [x[1] for x in have] == [x[1] for x in want] == [x[1] for x in again]
+            assert [x[0] for x in have] == pytest.approx([x[0] for x in want])
+
+
 def test_near_vectors(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "BLOCK", 16)
     rng = np.random.default_rng(2)
