@@ -320,9 +320,11 @@ def test_url_rules(spark):
 
 
 def test_bm25(spark, monkeypatch):
+    waves = bm25._waves
     monkeypatch.setattr(bm25, "BLOCK", 4)
     monkeypatch.setattr(bm25, "SHARD_DOCS", 40)
     monkeypatch.setattr(bm25, "PACK_TERMS", 200)
+    monkeypatch.setattr(bm25, "_waves", lambda counts, _: waves(counts, 1))
     rng = random.Random(7)
     words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(5000)]
     texts = [None, "", LONG, *(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 60))) for _ in range(250))]
@@ -331,7 +333,7 @@ def test_bm25(spark, monkeypatch):
     n, avg = len(texts), sum(sum(b.values()) for b in bags) / len(texts)
     df = Counter(w for b in bags for w in b)
     got = {}
-    for r in bm25.search(documents(spark, texts), documents(spark, texts).where("doc_id % 7 = 0"), top=5).collect():
+    for r in bm25.search(documents(spark, texts).repartition(7), documents(spark, texts).where("doc_id % 7 = 0"), top=5).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.score))
     for q in range(0, n, 7):
         scores = []
@@ -358,6 +360,7 @@ def test_bm25_shard(monkeypatch):
     (parts,) = (r for b in bm25._sharded([batch]) for r in b.to_pylist())
     weight = {t: 0.1 + (t % 97) / 9 for b in bags for t in b[0].tolist()}
     queries = [(b[0], b[1] * [weight[t] for t in b[0].tolist()]) for b in bags[::5]] + [(np.array([1, 2]), np.ones(2))]
+    assert bm25._waves([(0, 16), (1, 8), (2, 4), (3, 2), (4, 1), (5, 1)], 6) == [[5, 4, 3, 2], [1], [0]] and bm25._waves([], 6) == [[]]
     for common in (0.0, 0.04, 1.0):
         monkeypatch.setattr(bm25, "COMMON", common)
         shard = bm25.Shard(parts, 20.0)
