@@ -1,6 +1,6 @@
 """Small tables on which a query that reads only a part of its input gives too few rows."""
 
-from transit_tables.plans import queries
+from transit_tables.plans import fixtures, queries
 
 
 def tables(spark, path, customers=(), orders=(), lines=(), suppliers=()):
@@ -25,3 +25,11 @@ def test_importance_reads_every_trip(spark, tmp_path):
     assert reach == {f"P{s}": sum(a == s for a, _ in pairs) for s in {a for a, _ in pairs}}
     assert {(r.stop_id, r.other) for r in queries.QUERIES["stop_neighbors"](spark, d).collect()} == {(f"P{a}", f"P{b}") for a, b in hops}
     assert {r.stop_id: (r.destinations, r.neighbors) for r in queries.QUERIES["stop_importance"](spark, d).collect()} == {s: (n, sum(f"P{a}" == s for a, _ in hops)) for s, n in reach.items()}
+
+
+def test_requests_come_from_every_customer_and_cover_every_stop(spark, tmp_path):
+    d = tables(spark, tmp_path, range(450), suppliers=range(150))
+    got = {tuple(r) for r in fixtures.load(spark, d, "requests")[0].collect()}
+    pairs = {(k * 13 % 150, (k * 29 + k // 150) % 150) for k in range(450)}
+    assert got == {("F", f"S{a}", f"S{b}") for a, b in pairs if a != b} and len(got) > 400
+    assert {x for _, a, b in got for x in (a, b)} == {f"S{k}" for k in range(150)}

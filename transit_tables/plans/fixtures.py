@@ -37,8 +37,9 @@ FROM {events}""",
   CASE WHEN event_id % 11 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(77.4 AS DOUBLE) + CAST(event_id % 353 AS DOUBLE) / 1000 END AS lng,
   CASE WHEN event_id % 5 = 0 THEN '' ELSE CAST(user_id % 20 AS STRING) END AS last_location, CAST(user_id % 7 AS STRING) AS current_location, CAST(NULL AS STRING) AS next_location
 FROM {events}""",
-    "requests": """SELECT DISTINCT c_mktsegment AS feed_id, concat('S', CAST(c_custkey * 13 % 100 AS BIGINT)) AS start_stop, concat('S', CAST(c_custkey * 29 % 100 AS BIGINT)) AS end_stop
-FROM {customer} WHERE c_custkey % 75 = 7 AND c_custkey * 13 % 100 <> c_custkey * 29 % 100""",
+    "requests": """SELECT feed_id, concat('S', start_key) AS start_stop, concat('S', end_key) AS end_stop
+FROM (SELECT DISTINCT c_mktsegment AS feed_id, CAST(c_custkey * 13 % n AS BIGINT) AS start_key, CAST((c_custkey * 29 + CAST(floor(c_custkey / n) AS BIGINT)) % n AS BIGINT) AS end_key
+  FROM {customer} CROSS JOIN (SELECT count(*) AS n FROM {supplier}) k) r WHERE start_key <> end_key""",
 }
 
 
