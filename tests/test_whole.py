@@ -1,5 +1,8 @@
 """Small tables on which a query that reads only a part of its input gives too few rows."""
 
+import random
+
+from transit_tables.operators import search
 from transit_tables.plans import fixtures, queries
 
 
@@ -33,3 +36,37 @@ def test_requests_come_from_every_customer_and_cover_every_stop(spark, tmp_path)
     pairs = {(k * 13 % 150, (k * 29 + k // 150) % 150) for k in range(450)}
     assert got == {("F", f"S{a}", f"S{b}") for a, b in pairs if a != b} and len(got) > 400
     assert {x for _, a, b in got for x in (a, b)} == {f"S{k}" for k in range(150)}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_search_by_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda least: "".join(rng.choice("ab5E ") for _ in range(rng.randint(least, 9))).strip()
+    asked = {f"q{i}": t for i, t in enumerate(["5", "e", "ab", "335E", *(word(1) for _ in range(40))])}
+    known = {f"r{i}": t for i, t in enumerate(["335E", "5", *(word(2) for _ in range(60))])}
+    frame = lambda x, k: spark.createDataFrame(list(x.items()), f"{k} string, text string")
+    for threshold in (0.3, 0.6):
+        want = {}
+        for q, a in asked.items():
+            for r, t in known.items():
+                n, a, t = len(a), a.lower(), t.lower()
+                score = min((distance(a, t[i : i + n]) for i in range(max(len(t) - n, 0) + 1)), default=n) / n if n else 1
+                if score <= threshold:
+                    want[q, r] = score
+        got = search.fuzzy_search(frame(asked, "query_id"), frame(known, "id"), frame({"s": "zzzzzzzzzzzzz"}, "id"), threshold)
+        assert {(r.query_id, r.id): r.score for r in got.collect()} == want
+        assert ("q0", "r0") in want
+
+
+def test_shared_stops_and_search_take_all_routes(spark, tmp_path):
+    d = tables(spark, tmp_path, [1, 5, 77], [(1, 1), (2, 5), (3, 77)], [(o, 0, s) for o in (1, 2, 3) for s in (8, 9)], [8, 9])
+    assert {(r.stop_id, r.services) for r in queries.QUERIES["shared_stops"](spark, d).collect()} == {("S8", "R1,R5,R77"), ("S9", "R1,R5,R77")}
+    assert {r.query_id for r in queries.QUERIES["fuzzy_search"](spark, d).collect()} == {"R1", "R5", "R77"}

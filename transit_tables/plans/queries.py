@@ -149,7 +149,7 @@ def _order(s, d, key):
 
 def fuzzy_search(s, d):
     names = load(s, d, "routes")[0].select(F.col("route_id").alias("id"), F.col("route_long_name").alias("text"))
-    asked = names.where("substring(id, -2) = '77'").select(F.col("id").alias("query_id"), F.expr("replace(substring(text, 10, 9), '00', '0')").alias("text"))
+    asked = names.select(F.col("id").alias("query_id"), F.expr("replace(substring(text, 10, 9), '00', '0')").alias("text"))
     return search.fuzzy_search(asked, names, _stops(s, d).select("feed_id", F.concat_ws("|", "feed_id", "stop_id").alias("id"), F.col("name").alias("text")))
 
 
@@ -185,7 +185,7 @@ QUERIES = {
     "journey_options": journey_options,
     "opposite_side": lambda s, d: network.with_opposite_side(_stops(s, d)),
     "interchange_stops": lambda s, d: _stops(s, d).where(network.is_interchange(F.col("name"))).select("feed_id", "stop_id", "name"),
-    "shared_stops": lambda s, d: network.shared_stops(_patterns(s, d), load(s, d, "routes")[0].where("route_id like '%5'").select("feed_id", "route_id")),
+    "shared_stops": lambda s, d: network.shared_stops(_patterns(s, d), load(s, d, "routes")[0].select("feed_id", "route_id")),
     "route_bounds": lambda s, d: network.route_bounds(_patterns(s, d), _stops(s, d)),
     "known_services": requests_known,
     "live_services": live_services,
@@ -339,7 +339,7 @@ nd AS (SELECT feed_id, start_stop, end_stop, count(*) AS n FROM direct GROUP BY
  SELECT o.feed_id, o.stop_id, p.stop_id AS opposite, coalesce(degrees(atan2((p.stop_lon - o.stop_lon) * {KX!r}, (p.stop_lat - o.stop_lat) * {KY!r})) > 0, false) AS left FROM o LEFT JOIN v_stops p ON p.feed_id = o.feed_id AND p.stop_id = op""", S),
     "interchange_stops": oracle(" SELECT feed_id, stop_id, stop_name AS name FROM v_stops WHERE stop_name ILIKE '% int' AND NOT regexp_matches(lower(stop_name), '^(bef|aft|opp|bet)')", S),
     "shared_stops": oracle(PATTERNS + """,
-two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed_id, route_id ORDER BY dest_rank, variant_idx) AS k FROM patterns WHERE route_id LIKE '%5') WHERE k <= 2),
+two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed_id, route_id ORDER BY dest_rank, variant_idx) AS k FROM patterns) WHERE k <= 2),
 vis AS (SELECT feed_id, route_id, unnest(stops) AS stop_id, generate_subscripts(stops, 1) AS pos, len(stops) AS n FROM two),
 per AS (SELECT feed_id, stop_id, route_id, bool_or(pos = 1 OR pos = n) AS terminal FROM vis GROUP BY ALL)
  SELECT feed_id, stop_id, string_agg(route_id, ',' ORDER BY route_id) AS services, CASE WHEN bool_or(terminal) THEN 'end' ELSE 'intersect' END AS kind FROM per GROUP BY feed_id, stop_id HAVING count(*) > 1""", T, ST),
