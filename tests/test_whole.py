@@ -2,7 +2,7 @@
 
 import random
 
-from transit_tables.operators import search
+from transit_tables.operators import graphs, search
 from transit_tables.plans import fixtures, queries
 
 
@@ -70,3 +70,22 @@ def test_shared_stops_and_search_take_all_routes(spark, tmp_path):
     d = tables(spark, tmp_path, [1, 5, 77], [(1, 1), (2, 5), (3, 77)], [(o, 0, s) for o in (1, 2, 3) for s in (8, 9)], [8, 9])
     assert {(r.stop_id, r.services) for r in queries.QUERIES["shared_stops"](spark, d).collect()} == {("S8", "R1,R5,R77"), ("S9", "R1,R5,R77")}
     assert {r.query_id for r in queries.QUERIES["fuzzy_search"](spark, d).collect()} == {"R1", "R5", "R77"}
+
+
+def test_levels_of_bands_equal_those_of_one_loop(spark):
+    rng = random.Random(7)
+    stops = {(f, f"r{i}"): rng.sample("abcdefghij", rng.randint(1, 3)) for f in "fg" for i in range(40)}
+    ranks = {k: rng.choice([1.0, 2.0, 3.0, None]) for k in stops}
+    members = spark.createDataFrame([(*k, s) for k, ss in stops.items() for s in ss], "feed_id string, route_id string, stop_id string")
+    priority = spark.createDataFrame([(*k, p) for k, p in ranks.items() if p], "feed_id string, route_id string, priority double")
+    used, want = {}, {}
+    for k in sorted(stops, key=lambda k: (ranks[k] is None, ranks[k] or 0, k[1])):
+        taken = set().union(*(used.setdefault((k[0], s), set()) for s in stops[k]))
+        want[k] = next(n for n in range(1, 99) if n not in taken)
+        for s in stops[k]:
+            used[k[0], s].add(want[k])
+    size = 10 * (graphs.ROUTE_WEIGHT + 3)
+    bands = graphs.level_bands(members, priority, size).groupBy("feed_id", "band").count().collect()
+    assert len(bands) > 6 and max(r["count"] for r in bands) <= 11
+    assert {(r.feed_id, r.route_id): r.level for r in graphs.assign_levels(members, priority, size).collect()} == want
+    assert graphs.assign_levels(members.limit(0), priority).count() == 0
