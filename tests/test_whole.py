@@ -1,9 +1,11 @@
 """Small tables on which a query that reads only a part of its input gives too few rows."""
 
 import random
+import zipfile
 
 from transit_tables.operators import graphs, search
 from transit_tables.plans import fixtures, queries
+from transit_tables.sources import feeds as sources
 
 
 def tables(spark, path, customers=(), orders=(), lines=(), suppliers=()):
@@ -89,3 +91,23 @@ def test_levels_of_bands_equal_those_of_one_loop(spark):
     assert len(bands) > 6 and max(r["count"] for r in bands) <= 11
     assert {(r.feed_id, r.route_id): r.level for r in graphs.assign_levels(members, priority, size).collect()} == want
     assert graphs.assign_levels(members.limit(0), priority).count() == 0
+
+
+def test_zips_load_as_folders_do(spark, tmp_path):
+    texts = {"routes": 'route_id,route_long_name\n007,"Alpha, Beta"\n', "trips": "trip_id,route_id\r\nt1,007\r\n", "stop_times": "﻿trip_id,stop_id,stop_sequence\nt1,01,1\n\nt1,02,x\n", "stops": "stop_id,stop_lon,stop_lat,stop_name\n01,2.5,1.5,S"}
+    (tmp_path / "folder" / "z").mkdir(parents=True)
+    (tmp_path / "zips").mkdir()
+    with zipfile.ZipFile(tmp_path / "zips" / "z.zip", "w", zipfile.ZIP_DEFLATED) as packed:
+        for name, text in texts.items():
+            (tmp_path / "folder" / "z" / f"{name}.txt").write_bytes(text.encode())
+            packed.writestr(f"inner/{name}.txt", text.encode())
+    (tmp_path / "zips" / "bad.zip").write_bytes(b"no zip")
+    folder, zips = (sources.load_feed(spark, f"{tmp_path}/{x}") for x in ("folder", "zips"))
+    listed = sources.unzip_feeds(spark, f"{tmp_path}/zips", f"{tmp_path}/out")
+    assert {tuple(r) for r in listed.collect()} == {("bad", None, None), ("z", "routes", 2), ("z", "trips", 2), ("z", "stop_times", 4), ("z", "stops", 2)}
+    for name in sources.TABLES:
+        want = [tuple(r) for r in folder[name].orderBy("ord").drop("ord").collect()]
+        assert bool(want) == (name != "shapes")
+        for got in (zips[name], spark.read.parquet(f"{tmp_path}/out/{name}")):
+            assert [tuple(r) for r in got.orderBy("ord").drop("ord").collect()] == want
+        assert [tuple(r) for r in sources.present_columns(spark, f"{tmp_path}/zips", name).collect()] == [tuple(r) for r in sources.present_columns(spark, f"{tmp_path}/folder", name).collect()]

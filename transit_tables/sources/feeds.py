@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,64 +28,95 @@ def _typed(rows: DataFrame, name: str) -> DataFrame:
     return rows.select("feed_id", *cols, "ord")
 
 
+def _folder_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(file, feed, ord, value): lines of ``path``/<feed>/``name``.txt."""
+    lines = spark.read.option("pathGlobFilter", f"{name}.txt").option("recursiveFileLookup", True).text(path)
+    file = F.col("_metadata.file_path")
+    return lines.select(file.alias("file"), F.regexp_extract(file, r"([^/]+)/[^/]+$", 1).alias("feed_id"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("ord"), "value")
+
+
+def _zip_lines(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """(file, feed, name, row, value): lines of the named members of every <feed>.zip below ``path``.
+
+    A task holds one packed zip and unpacks its members line by line. A zip that can't
+    be opened or read to its end gives one row without name, and stops no other.
+    """
+    def lines(batches):
+        import pyarrow as pa
+
+        kinds = pa.schema([("file", pa.string()), ("feed_id", pa.string()), ("name", pa.string()), ("row", pa.int64()), ("value", pa.string())])
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+        for batch in batches:
+            for file, content in zip(batch.column(0), batch.column(1), strict=True):
+                file, rows = file.as_py(), []
+                feed = unquote(file.rsplit("/", 1)[-1].removesuffix(".zip"))
+                try:
+                    with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
+                        inside = {n.rsplit("/", 1)[-1]: n for n in z.namelist() if not n.startswith("__MACOSX/")}
+                        for name in names:
+                            if f"{name}.txt" not in inside:
+                                continue
+                            with io.TextIOWrapper(z.open(inside[f"{name}.txt"]), "utf-8-sig", errors="replace") as text:
+                                for row, line in enumerate(text):
+                                    rows.append((file, feed, name, row, line.rstrip("\n")))
+                                    if len(rows) == 10_000:
+                                        yield pack(rows)
+                                        rows = []
+                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+                    rows.append((file, feed, None, None, None))
+                if rows:
+                    yield pack(rows)
+
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return packed.mapInArrow(lines, "file string, feed_id string, name string, row long, value string")
+
+
+def _lines(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of a table in folders and zips, and (file, feed, head_ord, head): the first line of each file."""
+    zipped = _zip_lines(spark, path, name).where("name is not null").select("file", "feed_id", F.struct(F.lit(0).cast("long").alias("block"), "row").alias("ord"), "value")
+    numbered = _folder_lines(spark, path, name).unionByName(zipped)
+    heads = numbered.where("ord.block = 0").groupBy("file", "feed_id").agg(F.min(F.struct("ord", "value")).alias("h"))
+    return numbered, heads.select("file", "feed_id", F.col("h.ord").alias("head_ord"), F.col("h.value").alias("head"))
+
+
 def read_gtfs_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Rows of ``path``/<feed>/``name``.txt of all feeds, read as text and cast; values that don't fit are null.
+    """Rows of ``path``/<feed>/``name``.txt and of ``name``.txt in ``path``/<feed>.zip of all feeds, read as text and cast; values that don't fit are null.
 
     ``ord`` keeps each file's order. Feeds may have different columns, in any order:
     columns are taken by name, file by file.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{name}.txt").option("recursiveFileLookup", True).load(path).select("path", "length")
-    lines = spark.read.option("pathGlobFilter", f"{name}.txt").option("recursiveFileLookup", True).text(path)
-    numbered = lines.select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("ord"))
-    heads = numbered.where("ord.block = 0").groupBy("file").agg(F.min(F.struct("ord", "value")).alias("h")).select("file", F.col("h.ord").alias("head_ord"), F.col("h.value").alias("head"))
-    del files
-    body = numbered.join(F.broadcast(heads), "file").where("ord <> head_ord and trim(value) <> ''")
+    numbered, heads = _lines(spark, path, name)
+    body = numbered.join(F.broadcast(heads.drop("feed_id")), "file").where("ord <> head_ord and trim(value) <> ''")
     names = F.transform(F.split(F.regexp_replace("head", "[﻿\r\"]", ""), ","), lambda x: F.trim(x))
     width = 40
     fields = F.from_csv(F.regexp_replace("value", "\r$", ""), ", ".join(f"c{i} string" for i in range(width)), {"mode": "PERMISSIVE"})
     row = body.withColumn("names", names).withColumn("v", fields)
     values = F.slice(F.array(*(F.col(f"v.c{i}") for i in range(width))), 1, F.size("names"))
-    mapped = row.select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("feed_id"), F.map_from_arrays("names", values).alias("m"), "ord")
+    mapped = row.select("feed_id", F.map_from_arrays("names", values).alias("m"), "ord")
     wide = mapped.select("feed_id", *(F.try_element_at("m", F.lit(c)).alias(c) for c in TABLES[name]), "ord")
     return _typed(wide, name)
 
 
 def present_columns(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(feed, columns): the header of each feed's table; directions fall back by it, not by null values."""
-    lines = spark.read.option("pathGlobFilter", f"{name}.txt").option("recursiveFileLookup", True).option("wholetext", True).text(path)
-    head = F.regexp_replace(F.split("value", "\n")[0], "[﻿\r\"]", "")
-    return lines.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("feed_id"), F.split(head, ",").alias("columns"))
+    _, heads = _lines(spark, path, name)
+    return heads.select("feed_id", F.split(F.regexp_replace("head", "[﻿\r\"]", ""), ",").alias("columns"))
 
 
 def load_feed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """All five tables by name; shapes may have no rows."""
+    """All five tables by name, of folders and zips; shapes may have no rows."""
     return {name: read_gtfs_table(spark, path, name) for name in TABLES}
 
 
 def unzip_feeds(spark: SparkSession, zips: str, out: str) -> DataFrame:
-    """Writes the known members of every <feed>.zip as text below ``out``/<feed> and returns (feed, table, lines).
+    """Writes the tables of every <feed>.zip as Parquet below ``out``/<table>, typed and with ``ord``, and returns (feed, table, lines).
 
-    Each zip is one row, so a damaged one is reported with null lines and stops no other.
+    A damaged zip is reported with null table and lines and stops no other.
     """
-    def members(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                feed = path.rsplit("/", 1)[-1].removesuffix(".zip")
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        inside = {n.rsplit("/", 1)[-1]: n for n in z.namelist()}
-                        rows += [(feed, t, z.read(inside[f"{t}.txt"]).decode("utf-8-sig")) for t in TABLES if f"{t}.txt" in inside]
-                except zipfile.BadZipFile:
-                    rows.append((feed, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["feed_id", "name", "value"])
-
-    got = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(zips).select("path", "content").mapInArrow(members, "feed_id string, name string, value string")
     for t in TABLES:
-        got.where(F.col("name") == t).select("feed_id", F.regexp_replace("value", "\n$", "").alias("value")).write.mode("overwrite").partitionBy("feed_id").text(f"{out}/{t}")
-    return got.select("feed_id", "name", F.size(F.split("value", "\n")).alias("lines"))
+        read_gtfs_table(spark, zips, t).write.mode("overwrite").parquet(f"{out}/{t}")
+    got = _zip_lines(spark, zips, *TABLES)
+    return got.groupBy("feed_id", "name").agg(F.when(F.col("name").isNotNull(), F.count("*")).alias("lines"))
 
 
 #: code, name, west, south, east, north, live arrivals, live vehicles; the first is the default. Our own example registry.
