@@ -17,11 +17,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id. Rows without a doc_id stay."""
-    groups = ngram_jaccard.jaccard_components(docs.select("doc_id", "text"))
-    kept = groups.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near copies: that with the smallest doc_id, ties by hashes of text and row. Nulls come last.
+
+    Groups are made of texts, by a 64-bit hash of doc_id and text, so distinct texts
+    with one doc_id stay, and copies without a doc_id go.
+    """
+    keyed = docs.withColumns({"_key": F.xxhash64("doc_id", "text"), "_row": F.xxhash64(*docs.columns)})
+    groups = ngram_jaccard.jaccard_components(keyed.select("_key", "text"), id_col="_key").select(F.col("_key"), "component_id").distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_key", "_row")).alias("b")
+    kept = keyed.select("doc_id", "_key", "_row").join(groups, "_key").groupBy("component_id").agg(best).select("b._key", "b._row")
+    return keyed.join(kept, ["_key", "_row"], "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

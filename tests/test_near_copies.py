@@ -1,0 +1,13 @@
+"""The pipeline's Jaccard stage with repeated and missing ids."""
+
+import corpus_pipeline
+
+
+def test_rows_are_chosen_by_group_of_texts(spark):
+    a, b, c = ("".join(f"{w}{i} " for i in range(30)) for w in ("one", "two", "three"))
+    data = [(1, a, "x"), (1, b, "x"), (2, a + "more", "x"), (None, b, "x"), (None, c, "x"), (None, c, "x"), (3, "", "x"), (4, "", "y")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    want = {(1, a, "x"), (1, b, "x"), (None, c, "x"), (3, "", "x"), (4, "", "y")}
+    for rows in (docs, docs.orderBy("text", ascending=False)):
+        got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, rows, "").collect()]
+        assert len(got) == len(want) and set(got) == want
