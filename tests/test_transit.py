@@ -229,6 +229,40 @@ def test_feed_files(spark, tmp_path):
     assert rows(feed_sources.with_feed(spark.createDataFrame([("q",), (None,)], "feed_id string"), registry), "feed_id") == [("default",), ("default",)]
 
 
+def test_feed_files_are_csv(spark, tmp_path):
+    """Many columns, repeated names, quoted commas and line ends, and feeds with and without direction_id side by side."""
+    wide = ",".join(["stop_id", *(f"x{i}" for i in range(47)), "stop_name"])
+    files = {
+        ("a", "stops"): wide + "\n" + ",".join(["s1", *["z"] * 47, '"Name, with\nline ""end"""']) + "\n\ns2" + "," * 47 + ",Two\n",
+        ("b", "stops"): 'stop_name , stop_id,stop_id,"stop_lat"\nN,first,second,1.5\nM,third\n',
+        ("a", "trips"): "route_id,trip_id\nr1,t1\nr2,t2\nr3,t3\n",
+        ("b", "trips"): "trip_id,direction_id,route_id\nt1,,r1\nt2,1,r2\n",
+        ("a", "routes"): "route_id,route_long_name\nr1,Line DOWN\nr2,\nr3,Up and down\n",
+        ("b", "routes"): "route_id,route_long_name\nr1,Line DOWN\nr2,Line UP\n",
+    }
+    for (f, table), text in files.items():
+        (tmp_path / "folders" / f"feed {f}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "folders" / f"feed {f}" / f"{table}.txt").write_text(text, newline="")
+    (tmp_path / "zips").mkdir()
+    for f in "ab":
+        with zipfile.ZipFile(tmp_path / "zips" / f"feed {f}.zip", "w") as z:
+            for (g, table), text in files.items():
+                if f == g:
+                    z.writestr(f"{table}.txt", text)
+    for kind in ("folders", "zips"):
+        got = feed_sources.load_feed(spark, f"{tmp_path}/{kind}")
+        stops = {(r.feed_id, r.stop_id): (r.stop_name, r.stop_lat, r.absent) for r in got["stops"].collect()}
+        assert stops == {
+            ("feed a", "s1"): ('Name, with\nline "end"', None, ["stop_lat", "stop_lon"]), ("feed a", "s2"): ("Two", None, ["stop_lat", "stop_lon"]),
+            ("feed b", "first"): ("N", 1.5, ["stop_lon"]), ("feed b", "third"): ("M", None, ["stop_lon"]),
+        }
+        want = [("feed a", "t1", "1"), ("feed a", "t2", "0"), ("feed a", "t3", "0"), ("feed b", "t1", "0"), ("feed b", "t2", "1")]
+        assert rows(feeds.with_direction(got["trips"], got["routes"]), "feed_id", "trip_id", "direction") == want
+        patterned = rows(feeds.pattern_directions(got["trips"], got["routes"]), "feed_id", "trip_id", "direction")
+        assert patterned == sorted([*want, ("feed a", "t3", "1")])
+        assert got["shapes"].count() == 0 and got["shapes"].columns[0] == "feed_id"
+
+
 def test_artefacts(spark, tmp_path, feed):
     known = patterns.service_patterns(feeds.with_direction(feed["trips"]), feed["times"])
     for name, docs in {"services": artefacts.services_document(known, feed["routes"]), "stops": artefacts.stops_document(feed["stops"])}.items():

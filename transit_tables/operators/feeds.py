@@ -14,29 +14,46 @@ def named_direction(name: Column) -> Column:
     return F.when(upper.contains("UP"), "0").when(upper.contains("DOWN"), "1").otherwise("0")
 
 
+def _by_name(trips: DataFrame) -> Column:
+    """Whether a trip's feed has no direction_id: the whole table lacks it, or its ``absent`` lists it."""
+    if "direction_id" not in trips.columns:
+        return F.lit(True)
+    return F.array_contains("absent", "direction_id") if "absent" in trips.columns else F.lit(False)
+
+
+def _given_direction(trips: DataFrame) -> Column:
+    return F.coalesce(F.col("direction_id").try_cast("int"), F.lit(0)).cast("string") if "direction_id" in trips.columns else F.lit("0")
+
+
 def with_direction(trips: DataFrame, routes: DataFrame | None = None) -> DataFrame:
-    """Trips with a text ``direction``: direction_id, 0 if null; without that column, from the route's name."""
-    if "direction_id" in trips.columns:
-        return trips.withColumn("direction", F.coalesce(F.col("direction_id").try_cast("int"), F.lit(0)).cast("string"))
+    """Trips with a text ``direction``: direction_id, 0 if null; in feeds without that column, from the route's name.
+
+    Names count only if ``routes`` is given; it must be for tables without direction_id.
+    """
+    if "direction_id" in trips.columns and (routes is None or "absent" not in trips.columns):
+        return trips.withColumn("direction", _given_direction(trips))
     names = routes.select(*ROUTE, "route_long_name").dropDuplicates(ROUTE)
-    return trips.join(names, ROUTE, "left").withColumn("direction", named_direction(F.col("route_long_name"))).drop("route_long_name")
+    direction = F.when(_by_name(trips), named_direction(F.col("route_long_name"))).otherwise(_given_direction(trips))
+    return trips.join(names, ROUTE, "left").withColumn("direction", direction).drop("route_long_name")
 
 
 def pattern_directions(trips: DataFrame, routes: DataFrame | None = None, only_known: bool = True) -> DataFrame:
     """Trips with the direction they count for in patterns.
 
-    Without direction_id a trip counts for "0" if its route's name has UP or lacks
-    DOWN, and for "1" if it has DOWN, so for both with UP and DOWN. Directions
+    In feeds without direction_id a trip counts for "0" if its route's name has UP or
+    lacks DOWN, and for "1" if it has DOWN, so for both with UP and DOWN. Directions
     other than "0" and "1" are left out if ``only_known``.
     """
-    if "direction_id" in trips.columns:
+    if "direction_id" in trips.columns and (routes is None or "absent" not in trips.columns):
         out = with_direction(trips)
-        return out.where(F.col("direction").isin("0", "1")) if only_known else out
-    names = routes.select(*ROUTE, "route_long_name").dropDuplicates(ROUTE)
-    upper = F.upper(F.coalesce("route_long_name", F.lit("")))
-    down = upper.contains("DOWN")
-    both = F.filter(F.array(F.when(upper.contains("UP") | ~down, "0"), F.when(down, "1")), lambda x: x.isNotNull())
-    return trips.join(names, ROUTE, "left").withColumn("direction", F.explode(both)).drop("route_long_name")
+    else:
+        names = routes.select(*ROUTE, "route_long_name").dropDuplicates(ROUTE)
+        upper = F.upper(F.coalesce("route_long_name", F.lit("")))
+        down = upper.contains("DOWN")
+        both = F.filter(F.array(F.when(upper.contains("UP") | ~down, "0"), F.when(down, "1")), lambda x: x.isNotNull())
+        directions = F.when(_by_name(trips), both).otherwise(F.array(_given_direction(trips)))
+        out = trips.join(names, ROUTE, "left").withColumn("direction", F.explode(directions)).drop("route_long_name")
+    return out.where(F.col("direction").isin("0", "1")) if only_known else out
 
 
 def trip_counts(directed: DataFrame) -> DataFrame:

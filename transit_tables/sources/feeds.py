@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import zipfile
 import zlib
 from urllib.parse import unquote
@@ -21,30 +23,61 @@ TABLES = {
 MANDATORY = ("routes", "trips", "stop_times", "stops")
 
 
-def _typed(rows: DataFrame, name: str) -> DataFrame:
-    """The known columns by type; those that no feed has are null. ``absent`` names the columns that a row's feed lacks."""
-    have = rows.columns
-    cols = [(F.col(f"`{c}`").try_cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in TABLES[name].items()]
-    return rows.select("feed_id", *cols, "ord")
+def _column_names(head: list[str]) -> list[str]:
+    """Names of a header row without marks of byte order and spaces around them."""
+    return [c.replace("\ufeff", "").strip() for c in head]
 
 
-def _folder_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(file, feed, ord, value): lines of ``path``/<feed>/``name``.txt."""
-    lines = spark.read.option("pathGlobFilter", f"{name}.txt").option("recursiveFileLookup", True).text(path)
-    file = F.col("_metadata.file_path")
-    return lines.select(file.alias("file"), F.regexp_extract(file, r"([^/]+)/[^/]+$", 1).alias("feed_id"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("ord"), "value")
+def _absent(table: str, names: list[str]) -> list[str]:
+    return [c for c in TABLES[table] if c not in names]
+
 
+def _typed(rows: DataFrame, table: str, absent) -> DataFrame:
+    """The known columns by type; empty values are null. ``absent`` names the columns that a row's feed lacks."""
+    cols = [F.nullif(F.col(c), F.lit("")).try_cast(t).alias(c) for c, t in TABLES[table].items()]
+    return rows.select("feed_id", *cols, "ord", absent.alias("absent"))
 
-def _zip_lines(spark: SparkSession, path: str, *names: str) -> DataFrame:
-    """(file, feed, name, row, value): lines of the named members of every <feed>.zip below ``path``.
 
-    A task holds one packed zip and unpacks its members line by line. A zip that can't
+def _folder_heads(spark: SparkSession, path: str, name: str) -> list[tuple[str, str, list[str], bool]]:
+    """(file, feed, column names, whether a quoted value goes over lines) of each ``path``/<feed>/``name``.txt: a row for each feed."""
+    lines = spark.read.option("pathGlobFilter", f"{name}.txt").option("recursiveFileLookup", True).text(path)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    named = lines.select(F.col("_metadata.file_path").alias("file"), at.alias("ord"), "value", (quotes % 2 == 1).alias("open"))
+    heads = named.groupBy("file").agg(F.min_by("value", "ord").alias("head"), F.bool_or("open").alias("open")).collect()
+    return [(r.file, unquote(r.file.split("/")[-2]), _column_names(next(csv.reader([r.head]), [])), r.open) for r in sorted(heads)]
+
+
+def _folder_rows(spark: SparkSession, path: str, name: str) -> list[DataFrame]:
+    """Typed rows of all folders: files of one header are read together, and only the known columns of them."""
+    alike: dict[tuple, list[str]] = {}
+    for file, _, names, lines in _folder_heads(spark, path, name):
+        alike.setdefault((tuple(names), lines), []).append(unquote(file))
+    out = []
+    for (names, lines), found in alike.items():
+        if not names:
+            continue
+        kind = ", ".join(f"c{i} string" for i in range(len(names)))
+        rows = spark.read.schema(kind).options(header=True, enforceSchema=True, multiLine=lines, escape='"', mode="PERMISSIVE").csv(found)
+        feed = F.url_decode(F.replace(F.element_at(F.split("_metadata.file_path", "/"), -2), F.lit("+"), F.lit("%2B"))).alias("feed_id")
+        at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("ord")
+        known = [(F.col(f"c{names.index(c)}") if c in names else F.lit(None).cast("string")).alias(c) for c in TABLES[name]]
+        absent = F.array(*(F.lit(c) for c in _absent(name, list(names)))).cast("array<string>")
+        out.append(_typed(rows.select(feed, *known, at), name, absent))
+    return out
+
+
+def _zip_rows(spark: SparkSession, path: str, *names: str, heads: bool = False) -> DataFrame:
+    """(file, feed, name, row, fields): rows of the named members of every <feed>.zip below ``path``, their headers as row 0 and, if ``heads``, no others. Blank lines have no fields.
+
+    A task holds one packed zip and unpacks its members row by row. A zip that can't
     be opened or read to its end gives one row without name, and stops no other.
     """
-    def lines(batches):
+    def parsed(batches):
         import pyarrow as pa
 
-        kinds = pa.schema([("file", pa.string()), ("feed_id", pa.string()), ("name", pa.string()), ("row", pa.int64()), ("value", pa.string())])
+        csv.field_size_limit(1 << 30)
+        kinds = pa.schema([("file", pa.string()), ("feed_id", pa.string()), ("name", pa.string()), ("row", pa.int64()), ("fields", pa.list_(pa.string()))])
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1), strict=True):
@@ -56,51 +89,62 @@ def _zip_lines(spark: SparkSession, path: str, *names: str) -> DataFrame:
                         for name in names:
                             if f"{name}.txt" not in inside:
                                 continue
-                            with io.TextIOWrapper(z.open(inside[f"{name}.txt"]), "utf-8-sig", errors="replace") as text:
-                                for row, line in enumerate(text):
-                                    rows.append((file, feed, name, row, line.rstrip("\n")))
+                            with io.TextIOWrapper(z.open(inside[f"{name}.txt"]), "utf-8-sig", errors="replace", newline="") as text:
+                                full = (f if any(x.strip() for x in f) else [] for f in csv.reader(text))
+                                for row, fields in enumerate(itertools.dropwhile(lambda f: not f, full)):
+                                    rows.append((file, feed, name, row, fields))
                                     if len(rows) == 10_000:
                                         yield pack(rows)
                                         rows = []
-                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+                                    if heads:
+                                        break
+                except (zipfile.BadZipFile, zlib.error, csv.Error, EOFError, NotImplementedError, RuntimeError):
                     rows.append((file, feed, None, None, None))
                 if rows:
                     yield pack(rows)
 
     packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return packed.mapInArrow(lines, "file string, feed_id string, name string, row long, value string")
+    return packed.mapInArrow(parsed, "file string, feed_id string, name string, row long, fields array<string>")
 
 
-def _lines(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """Lines of a table in folders and zips, and (file, feed, head_ord, head): the first line of each file."""
-    zipped = _zip_lines(spark, path, name).where("name is not null").select("file", "feed_id", F.struct(F.lit(0).cast("long").alias("block"), "row").alias("ord"), "value")
-    numbered = _folder_lines(spark, path, name).unionByName(zipped)
-    heads = numbered.where("ord.block = 0").groupBy("file", "feed_id").agg(F.min(F.struct("ord", "value")).alias("h"))
-    return numbered, heads.select("file", "feed_id", F.col("h.ord").alias("head_ord"), F.col("h.value").alias("head"))
+def _zipped_table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """Typed rows of all zips; None if there are none. The places of the known columns, a row for each zip, are sent to all tasks."""
+    heads = _zip_rows(spark, path, name, heads=True).where("name is not null").select("file", "fields").collect()
+    if not heads:
+        return None
+    places = [(r.file, [n.index(c) if c in n else None for c in TABLES[name]], _absent(name, n)) for r in heads for n in [_column_names(r.fields)]]
+    where = spark.createDataFrame(places, "file string, places array<int>, absent array<string>")
+    rows = _zip_rows(spark, path, name).where("row > 0 and size(fields) > 0").join(F.broadcast(where), "file")
+    at = F.struct(F.lit(0).cast("long").alias("block"), "row").alias("ord")
+    known = [F.get("fields", F.get("places", F.lit(i))).alias(c) for i, c in enumerate(TABLES[name])]
+    return _typed(rows.select("feed_id", *known, at, "absent"), name, F.col("absent"))
 
 
 def read_gtfs_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Rows of ``path``/<feed>/``name``.txt and of ``name``.txt in ``path``/<feed>.zip of all feeds, read as text and cast; values that don't fit are null.
 
-    ``ord`` keeps each file's order. Feeds may have different columns, in any order:
-    columns are taken by name, file by file.
+    ``ord`` keeps each file's order. Feeds may have different columns, any number of
+    them and in any order: columns are taken by name, file by file, the first of those
+    with one name. ``absent`` lists the known columns that a row's feed lacks, as
+    directions fall back by that, not by null values. Quoted values may hold commas and line ends.
     """
-    numbered, heads = _lines(spark, path, name)
-    body = numbered.join(F.broadcast(heads.drop("feed_id")), "file").where("ord <> head_ord and trim(value) <> ''")
-    names = F.transform(F.split(F.regexp_replace("head", "[﻿\r\"]", ""), ","), lambda x: F.trim(x))
-    width = 40
-    fields = F.from_csv(F.regexp_replace("value", "\r$", ""), ", ".join(f"c{i} string" for i in range(width)), {"mode": "PERMISSIVE"})
-    row = body.withColumn("names", names).withColumn("v", fields)
-    values = F.slice(F.array(*(F.col(f"v.c{i}") for i in range(width))), 1, F.size("names"))
-    mapped = row.select("feed_id", F.map_from_arrays("names", values).alias("m"), "ord")
-    wide = mapped.select("feed_id", *(F.try_element_at("m", F.lit(c)).alias(c) for c in TABLES[name]), "ord")
-    return _typed(wide, name)
+    parts = _folder_rows(spark, path, name)
+    if (zipped := _zipped_table(spark, path, name)) is not None:
+        parts.append(zipped)
+    if not parts:
+        kind = "feed_id string, " + ", ".join(f"{c} {t}" for c, t in TABLES[name].items())
+        return spark.createDataFrame([], kind + ", ord struct<block: bigint, row: bigint>, absent array<string>")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def present_columns(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(feed, columns): the header of each feed's table; directions fall back by it, not by null values."""
-    _, heads = _lines(spark, path, name)
-    return heads.select("feed_id", F.split(F.regexp_replace("head", "[﻿\r\"]", ""), ",").alias("columns"))
+    """(feed, columns): the header of each feed's table."""
+    zips = _zip_rows(spark, path, name, heads=True).where("name is not null").select("feed_id", "fields").collect()
+    heads = [(feed, names) for _, feed, names, _ in _folder_heads(spark, path, name)] + [(r.feed_id, _column_names(r.fields)) for r in zips]
+    return spark.createDataFrame(heads, "feed_id string, columns array<string>")
 
 
 def load_feed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -109,13 +153,13 @@ def load_feed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def unzip_feeds(spark: SparkSession, zips: str, out: str) -> DataFrame:
-    """Writes the tables of every <feed>.zip as Parquet below ``out``/<table>, typed and with ``ord``, and returns (feed, table, lines).
+    """Writes the tables of every <feed>.zip as Parquet below ``out``/<table>, typed and with ``ord``, and returns (feed, table, lines): its rows and header.
 
     A damaged zip is reported with null table and lines and stops no other.
     """
     for t in TABLES:
         read_gtfs_table(spark, zips, t).write.mode("overwrite").parquet(f"{out}/{t}")
-    got = _zip_lines(spark, zips, *TABLES)
+    got = _zip_rows(spark, zips, *TABLES)
     return got.groupBy("feed_id", "name").agg(F.when(F.col("name").isNotNull(), F.count("*")).alias("lines"))
 
 
