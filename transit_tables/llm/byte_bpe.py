@@ -1,7 +1,8 @@
 """Byte-level BPE by backtracking over longest matches, in linear time.
 
 A split of a piece into tokens is what the ranked merges give exactly when every
-token and every pair of neighbours is. So the longest token is taken at each place;
+token and every pair of neighbours is. So the longest token is taken at each place
+(the automaton finds those of a piece in one pass, which is often the answer);
 if it doesn't fit its left neighbour, its next shorter prefix is tried, and if none
 fits, the place is marked dead and the neighbour is shortened. A place is left dead
 once at most. Whether two tokens fit as neighbours is worked out once and kept.
@@ -14,7 +15,6 @@ import re
 from array import array
 
 import ahocorasick
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -25,8 +25,10 @@ from pyspark.sql import types as T
 from .common import Memory
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Entries of each worker's memory of segments, of pieces and of pairs.
-PIECES, PAIRS = 400_000, 1_000_000
+#: Bytes of a worker's memory of segments, and entries (about 120 bytes) of that of pairs of tokens.
+SEGMENTS, PAIRS = 96_000_000, 150_000
+#: Rows that are encoded before they are given on.
+SLICE = 500
 
 
 class Vocabulary:
@@ -35,12 +37,14 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-        self.bytes_of = dict(map(reversed, self.ranks.items()))
+        self.bytes_of: list[bytes | None] = [None] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            self.bytes_of[rank] = token
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Merges the lowest-ranked neighbours again and again; for short pieces only."""
+    def merged(self, piece: bytes, parts_left: int = 1) -> list[int]:
+        """Merges the lowest-ranked neighbours again and again, while more than ``parts_left`` parts are left; for short pieces only."""
         parts, ranks = [piece[i : i + 1] for i in range(len(piece))], self.ranks
-        while len(parts) > 1:
+        while len(parts) > parts_left:
             rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if rank == 1 << 60:
                 break
@@ -49,46 +53,76 @@ class Vocabulary:
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers. Pieces, and segments of pieces, are remembered."""
+    """Ids of texts as little-endian 32-bit integers. Segments of pieces are remembered, within a bound."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
         space = "".join(map(re.escape, regex.findall(r"\s", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000)))))))
         # No piece of the usual pattern goes from a character on to white space, so white space with what follows can be cut alone.
         self.segments = re.compile(f"[{space}]*[^{space}]+|[{space}]+").findall if pattern == public_tokenizers.PATTERN else lambda text: [text]
+        self.plain = pattern == public_tokenizers.PATTERN
         self.search = ahocorasick.Automaton()
-        self.length = [0] * (max(vocabulary.bytes_of) + 1)
+        self.length = [0] * len(vocabulary.bytes_of)
+        self.token_of: dict[str, int] = {}
+        #: The two tokens of the last merge of each token that the merges can reach; itself twice for a byte.
+        self.halves: dict[int, tuple[int, int]] = {}
         for token, rank in vocabulary.ranks.items():
-            if vocabulary.merged(token) == [rank]:  # the merges can reach it
+            last = vocabulary.merged(token, 2)
+            if len(token) == 1 or len(last) == 2 and sum(map(len, map(vocabulary.bytes_of.__getitem__, last))) == len(token):
+                self.halves[rank] = (rank, rank) if len(token) == 1 else (last[0], last[1])
                 self.length[rank] = len(token)
-                self.search.add_word(token.decode("latin-1"), (rank, len(token)))
+                self.token_of[token.decode("latin-1")] = rank
+                self.search.add_word(token.decode("latin-1"), rank)
         self.search.make_automaton()
+        self.most = max(self.length)
         #: The longest token that starts a token.
         self.shorter = {rank: next((r for n in range(len(t) - 1, 0, -1) if self.length[r := vocabulary.ranks.get(t[:n], 0)] == n), None) for t, rank in vocabulary.ranks.items()}
         self.fits: dict[int, bool] = {}
-        self.pieces, self.known = Memory(self.piece, PIECES), Memory(self.segment, PIECES)
+        self.known = Memory(self.segment, SEGMENTS)
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.known.__getitem__, self.segments(text or "")))
 
     def segment(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        if self.plain and text[1:].isalpha() and text[0] == " ":  # one piece
+            return self.piece(text)
+        return b"".join(map(self.piece, self.find(text)))
 
     def piece(self, text: str) -> bytes:
         data = text.encode("utf-8", "surrogatepass")
         rank = self.vocabulary.ranks.get(data)
         return array("I", self.split(data) if rank is None else [rank]).tobytes()
 
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.vocabulary.bytes_of.__getitem__, array("I", ids)))
+
+    def forget(self) -> None:
+        """At the end of a task, as a worker that waits for its next one may wait long."""
+        self.known.forget()
+        pa.default_memory_pool().release_unused()
+
+    def longest(self, text: str, place: int) -> int | None:
+        """The longest token at a place of a piece's bytes as Latin-1."""
+        ahead = text[place : place + self.most]
+        for n in range(self.search.longest_prefix(ahead), 0, -1):
+            if (token := self.token_of.get(ahead[:n])) is not None:
+                return token
+        return None
+
     def split(self, data: bytes) -> list[int]:
-        longest: list[int | None] = [None] * (len(data) + 1)
-        for end, (rank, n) in self.search.iter(data.decode("latin-1")):
-            longest[end - n + 1] = rank  # later ends are longer
-        alive, length, shorter, fits = bytearray(b"\1") * (len(data) + 1), self.length, self.shorter, self.fits
+        text, size = data.decode("latin-1"), len(data)
+        length, shorter, fits = self.length, self.shorter, self.fits
+        greedy = [token for _, token in self.search.iter_long(text)]  # each the longest where the one before ends
+        last, place, at = None, 0, {}
+        for token in greedy:
+            at[place] = token
+            place += length[token]
+        dead: set[int] = set()
         tokens: list[int] = []
-        place, token, last = 0, longest[0], None
-        while place < len(data):
+        place, token = 0, at.get(0)
+        while place < size:
             while token is not None:
-                if alive[place + length[token]]:
+                if place + length[token] not in dead:
                     if last is None:
                         break
                     fit = fits.get(last << 32 | token)
@@ -98,9 +132,11 @@ class Encoder:
             if token is not None:
                 tokens.append(token)
                 place += length[token]
-                token, last = longest[place], token
+                last, token = token, at.get(place)
+                if token is None and place < size:
+                    token = at[place] = self.longest(text, place)
             elif tokens:
-                alive[place] = 0
+                dead.add(place)
                 token = tokens.pop()
                 place -= length[token]
                 last = tokens[-1] if tokens else None
@@ -111,10 +147,29 @@ class Encoder:
     def fit(self, left: int, right: int) -> bool:
         if len(self.fits) >= PAIRS:
             self.fits.clear()
-        of = self.vocabulary.bytes_of
-        known = self.fits[left << 32 | right] = self.vocabulary.merged(of[left] + of[right]) == [left, right]
+        known = self.fits[left << 32 | right] = self.together(left, right)
         return known
 
+    def together(self, left: int, right: int) -> bool:
+        """Whether the merges leave these two tokens as neighbours.
+
+        Their merges are undone, the last made first. They are left so unless at some
+        point the two parts at the border could be merged before the merge that is
+        undone. Of merges of one rank the left one is made first.
+        """
+        of, ranks, halves, before = self.vocabulary.bytes_of, self.vocabulary.ranks, self.halves, 1 << 60
+        while True:
+            across = ranks.get(of[left] + of[right])
+            if across is not None and across < before:
+                return False
+            a, b = halves[left][1], halves[right][0]
+            if a != left and (left > right or b == right):
+                left, before = a, left
+            elif b != right:
+                right, before = b, right + 1
+            else:
+                return True
+
 
 _made: dict = {}
 
@@ -126,39 +181,66 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _made[path, pattern]
 
 
+def _slices(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
+def _coded(path: str, pattern: str, back: bool):
+    """Ids of the texts in the second column and, if ``back``, the bytes that these ids stand for."""
+
+    def over(batches):
+        enc = encoder(path, pattern)
+        try:
+            for part in _slices(batches):
+                ids = [enc.encode(t) for t in part.column(1).to_pylist()]
+                columns = {"id": part.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+                if back:
+                    columns["decoded"] = pa.array(map(enc.decode, ids), pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
+        finally:
+            enc.forget()
+
+    return over
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, n_tokens, ids) for each row; ids are little-endian unsigned 32-bit integers in a binary.
 
     A null text counts as empty: no tokens and an empty binary. Ids may be null or
     repeat; other columns are ignored. ``path`` must be readable on each executor.
     """
-    path = path or public_tokenizers.path(RANKS)
+    kind = docs.schema[id_col].dataType.simpleString()
+    coded = _coded(path or public_tokenizers.path(RANKS), pattern, False)
+    return _rows(docs, id_col, text_col).mapInArrow(coded, f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 
-    def over(batches):
-        enc = encoder(path, pattern)
-        for batch in batches:
-            ids = [enc.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(over, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``encode`` with ``decoded``, the bytes that the ids stand for, made in the same pass by the same workers."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    coded = _coded(path or public_tokenizers.path(RANKS), pattern, True)
+    return _rows(docs, id_col, text_col).mapInArrow(coded, f"id {kind}, n_tokens long, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Adds the bytes that the ids stand for, null for null ids; all other columns stay."""
-    path = path or public_tokenizers.path(RANKS)
+def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """Adds the bytes that the ids stand for, null for null ids; all other columns stay, but one named like ``out_col`` is replaced."""
+    path, rows = path or public_tokenizers.path(RANKS), encoded.drop(out_col)
 
     def over(batches):
-        of = Vocabulary(path).bytes_of
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-            out = [None if x is None else b"".join(map(of.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, out_col])
+        enc = encoder(path, pattern)
+        for part in _slices(batches):
+            ids = part.column(part.schema.get_field_index(ids_col)).to_pylist()
+            out = pa.array([None if x is None else enc.decode(x) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, out_col])
 
-    return encoded.mapInArrow(over, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.BinaryType())]))
+    return rows.mapInArrow(over, T.StructType([*rows.schema.fields, T.StructField(out_col, T.BinaryType())]))
 
 
 def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of an exact round trip."""
-    both = decode(encode(docs))
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

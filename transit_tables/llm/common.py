@@ -7,18 +7,36 @@ Steps that are read more than once are written as Parquet below the folder of
 from __future__ import annotations
 
 import gc
+import re
 import uuid
+from sys import getsizeof
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in local tests.
 LOCAL_DIR = "/tmp/checkpoints"
+#: Bytes of a dictionary's entry beside its key and value.
+ENTRY = 100
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of intermediate tables."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/") + "/corpus"
+    """The shared folder of intermediate tables; only a local master, where all tasks share one disk, may do without the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local($|\[)", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or LOCAL_DIR).rstrip("/") + "/corpus"
+
+
+def fresh(table: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``table`` has, whatever its case."""
+    taken, out = {c.lower() for c in table.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -93,20 +111,33 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 class Memory(dict):
-    """Remembers a function of short strings; starts anew when full, so its size is bounded."""
+    """Remembers a function of short strings in two generations that hold ``limit`` bytes together.
 
-    def __init__(self, function, entries: int):
+    When the newer one is full, it takes the place of the older one, so what is
+    asked for again and again stays.
+    """
+
+    def __init__(self, function, limit: int):
         super().__init__()
-        self.function, self.entries = function, entries
+        self.function, self.half, self.room, self.old = function, limit // 2, limit // 2, {}
 
     def __missing__(self, key):
-        found = self.function(key)
+        found = self.old.get(key)
+        if found is None:
+            found = self.function(key)
         if len(key) < 64:
-            if len(self) >= self.entries:
+            self.room -= getsizeof(key) + getsizeof(found) + ENTRY
+            if self.room < 0:
+                self.old = dict(self)
                 self.clear()
+                self.room = self.half
             self[key] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.room = {}, self.half
+
 
 def files(uri: str):
     """The file system and path of a folder's URI, for tasks that write a format Spark has no writer for."""

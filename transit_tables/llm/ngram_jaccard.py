@@ -48,8 +48,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Hashes of words that a worker has met.
-_words = Memory(xxhash.xxh64_intdigest, 300_000)
+#: Hashes of words that a worker has met, within so many bytes.
+_words = Memory(xxhash.xxh64_intdigest, 24_000_000)
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
