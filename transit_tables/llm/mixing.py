@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh, save
+
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 CAP = 2.0
@@ -41,14 +43,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return rest.select("source", "source_size", F.least(level * F.col("w"), F.col("top")).alias("target"))
 
 
-def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row (id, source, size, source_size, target, copies) for each row of ``docs``.
+def word_count(text: str):
+    """Number of words of a text column, 0 for null."""
+    words = F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"))
+    return F.coalesce(words, F.lit(0)).cast("long")
+
+
+def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: str | None = None) -> DataFrame:
+    """One row (id, source, size, source_size, target, copies) for each row of ``docs``, and its column ``carry`` if given.
 
     A null source is a source of its own. Null and empty texts have size 0 and, like
     all rows of a source without words, add nothing whatever their copies. Repeated
     ids are separate documents. The same input and seed give the same result.
+    Sources are few: their totals are put in order in one task.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.expr(rf"regexp_count(`{text_col}`, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), (F.col(carry) if carry else F.lit(None).cast("string")).alias("carried"))
+    rows = save(rows, "sizes")  # words are counted once
     key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
     rows = rows.withColumn("key", key).withColumn("bucket", F.substring("key", 1, 2))
     per_size = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
@@ -65,21 +75,24 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
     placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("key", "id")))
     out = placed.alias("r").join(b.alias("b"), F.expr("r.source <=> b.source and r.size = b.size and r.bucket = b.bucket"))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    out = out.select("r.id", "r.source", "r.size", "b.source_size", F.coalesce("b.target", F.lit(0.0)).alias("target"), share.alias("share"), (F.col("b.smaller") + F.col("b.before") + F.col("r.place")).alias("at"), "b.offset")
+    out = out.select("r.id", "r.source", "r.size", "r.carried", "b.source_size", F.coalesce("b.target", F.lit(0.0)).alias("target"), share.alias("share"), (F.col("b.smaller") + F.col("b.before") + F.col("r.place")).alias("at"), "b.offset")
     crossed = F.floor(F.col("at") * F.col("share") + F.col("offset")) - F.floor((F.col("at") - 1) * F.col("share") + F.col("offset"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.least(crossed, F.ceil("share")).cast("long").alias("copies"))
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as many times as the mix takes it, with its columns (doc_id, text and source among them)."""
-    taken = copies(docs, **options)
-    key = lambda size: F.to_json(F.struct(F.col("doc_id"), F.col("source"), size.alias("size")), {"ignoreNullFields": "false"})
-    taken = taken.groupBy(key(F.col("size")).alias("_key")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    size = F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long")
-    keyed = docs.withColumn("_key", key(size))
-    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.col("text"))))
-    each = keyed.join(taken, "_key").withColumn("_n", F.element_at("_copies", F.col("_nth"))).where("_n > 0")
-    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    named = [F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.least(crossed, F.ceil("share")).cast("long").alias("copies")]
+    return out.select(*named, *([F.col("carried").alias(carry)] if carry else []))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, each as many times as the mix takes it, with all its columns.
+
+    Rows that are equal in every column count together, so a large group of them is
+    one row with a number of copies. Map columns are compared as JSON.
+    """
+    key, n = fresh(docs, "row_key", "row_copies")
+    values = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
+    keyed = docs.withColumn(key, F.to_json(F.struct(F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.xxhash64(*values).alias("h"), F.xxhash64(F.lit(1), *values).alias("g")), {"ignoreNullFields": "false"}))
+    taken = copies(keyed, id_col=id_col, text_col=text_col, source_col=source_col, carry=key, **options).groupBy(key).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
+    each = keyed.dropDuplicates([key]).join(taken, key)
+    return each.withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
