@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,10 @@ LOCAL_DIR = "/tmp/checkpoints"
 
 def work_dir(spark: SparkSession) -> str:
     """The folder for tables between steps."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/") + "/transit"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local($|\[)", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or LOCAL_DIR).rstrip("/") + "/transit"
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
