@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transit_tables.llm import byte_bpe, mixing, ngram_jaccard, quality, secrets
-from transit_tables.llm.common import save
+from transit_tables.llm.common import fresh, save
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labels outside the held-out part."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels.where(~quality.held_out()))
-    return quality.score(docs, model, out_col="_score").where(F.col("_score") >= quality.ACCEPT).select(*docs.columns)
+    (score,) = fresh(docs, "score")
+    return quality.score(docs, model, out_col=score).where(F.col(score) >= quality.ACCEPT).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +23,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Groups are made of texts, by a 64-bit hash of doc_id and text, so distinct texts
     with one doc_id stay, and copies without a doc_id go.
     """
-    keyed = docs.withColumns({"_key": F.xxhash64("doc_id", "text"), "_row": F.xxhash64(*docs.columns)})
-    groups = ngram_jaccard.jaccard_components(keyed.select("_key", "text"), id_col="_key").select(F.col("_key"), "component_id").distinct()
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_key", "_row")).alias("b")
-    kept = keyed.select("doc_id", "_key", "_row").join(groups, "_key").groupBy("component_id").agg(best).select("b._key", "b._row")
-    return keyed.join(kept, ["_key", "_row"], "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    key, row = fresh(docs, "text_key", "row_key")
+    keyed = docs.withColumns({key: F.xxhash64("doc_id", "text"), row: F.xxhash64(*docs.columns)})
+    groups = ngram_jaccard.jaccard_components(keyed.select(F.col(key).alias("key"), "text"), id_col="key").select("key", "component_id").distinct()
+    narrow = keyed.select("doc_id", F.col(key).alias("key"), F.col(row).alias("row"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key", "row")).alias("b")
+    kept = narrow.join(groups, "key").groupBy("component_id").agg(best).select(F.col("b.key").alias(key), F.col("b.row").alias(row))
+    return keyed.join(kept, [key, row], "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
