@@ -15,9 +15,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
-from .common import files, new_path
+from .common import delete, files, new_path, save
 
 SCHEMA = "page_id long, record_id string, record_type string, target_uri string, payload_digest string, payload_length long, refers_to long, headers map<string,string>, payload binary"
 #: Payloads from this size on are stored once.
@@ -26,8 +26,10 @@ DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MARK = b"sz"
-#: Bytes that are read at a time, at least.
-READ = 1 << 16
+#: Bytes that are read at a time, at least, and bytes after which a task begins another file; a file is one task's to read.
+READ, FILE = 1 << 16, 1 << 28
+#: Rows of repeated payloads (about 100 bytes each) up to which they are sent to all tasks.
+REPEATED = 100_000
 
 
 def line(value: str) -> str:
@@ -135,15 +137,23 @@ def members(handle, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], by
 
 
 def _foreign(source: Source, wanted, payloads: bool):
-    """A gzip member without its size: inflated to find its end."""
-    z, whole = zlib.decompressobj(31), b""
+    """A gzip member without its size: inflated to find its end; what nobody wants is dropped as it comes."""
+    z, whole, fields, keep = zlib.decompressobj(31), bytearray(), None, True
     while not z.eof and (data := source.peek(READ)):
-        whole += z.decompress(data)
+        part = z.decompress(data)
         source.skip(len(data) - len(z.unused_data))
-    head, _, block = whole.partition(b"\r\n\r\n")
-    fields = parse(head)
-    if wanted(fields):
-        yield fields, block[: int(fields.get("content-length", len(block)))] if payloads else None
+        if keep:
+            whole += part
+        if fields is None and b"\r\n\r\n" in whole:
+            head, _, rest = bytes(whole).partition(b"\r\n\r\n")
+            fields = parse(head)
+            accepted = wanted(fields)
+            keep, whole = accepted and payloads, bytearray(rest)
+    if fields is None:  # a header without its end
+        fields, whole = parse(bytes(whole)), bytearray()
+        accepted = wanted(fields)
+    if accepted:
+        yield fields, bytes(whole[: int(fields.get("content-length", len(whole)))]) if payloads else None
 
 
 class File(InputPartition):
@@ -155,17 +165,36 @@ class File(InputPartition):
 PUSHED = {"record_type": "warc-type", "target_uri": "warc-target-uri", "record_id": "warc-record-id"}
 
 
+def header_test(f) -> tuple | None:
+    """(header, kind of test, values) of a filter that a record's header can answer."""
+    name = PUSHED.get(f.attribute[0]) if len(getattr(f, "attribute", ())) == 1 else None
+    if name is None:
+        return None
+    if isinstance(f, (EqualTo, In)):
+        return name, "in", (f.value,) if isinstance(f, EqualTo) else tuple(f.value)
+    if isinstance(f, StringStartsWith):
+        return name, "starts", f.value
+    return (name, "null", isinstance(f, IsNull)) if isinstance(f, (IsNull, IsNotNull)) else None
+
+
+def passes(headers: dict[str, str], tests: list[tuple]) -> bool:
+    for name, kind, values in tests:
+        value = headers.get(name)
+        if not (value in values if kind == "in" else (value is None) == values if kind == "null" else value is not None and value.startswith(values)):
+            return False
+    return True
+
+
 class Reader(DataSourceReader):
     def __init__(self, options):
         self.folder = options["path"]
         self.payloads = options.get("payload", "true").lower() == "true"
-        self.tests: list[tuple[str, tuple]] = []
+        self.tests: list[tuple] = []
 
     def pushFilters(self, filters):
         for f in filters:
-            name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
-            if name in PUSHED:
-                self.tests.append((PUSHED[name], (f.value,) if isinstance(f, EqualTo) else tuple(f.value)))
+            if test := header_test(f):
+                self.tests.append(test)
             else:
                 yield f
 
@@ -181,7 +210,7 @@ class Reader(DataSourceReader):
             return
         system, tests = files(self.folder)[0], self.tests
         with system.open_input_file(partition.name) as handle:
-            for h, block in members(handle, lambda h: all(h.get(k) in v for k, v in tests), self.payloads):
+            for h, block in members(handle, lambda h: passes(h, tests), self.payloads):
                 kind = h.get("warc-type")
                 payload = block.partition(b"\r\n\r\n")[2] if block is not None and "http" in h.get("content-type", "") else block
                 length = h.get("x-payload-length")
@@ -192,34 +221,44 @@ class Reader(DataSourceReader):
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, name: str | None):
-        self.name = name
+    def __init__(self, names: list[str]):
+        self.names = names
 
 
 class Writer(DataSourceWriter):
-    """Rows (page_id, url, digest, length, payload, refers_to); one archive for each task, seen once the job commits."""
+    """Rows (page_id, url, digest, length, payload, refers_to); archives of each task, seen once the job commits."""
 
     def __init__(self, options):
-        self.folder = options["path"]
+        self.folder, self.most = options["path"], int(options.get("file_bytes", FILE))
 
     def write(self, rows):
         system, root = files(self.folder)
-        name, out = f"{root}/{uuid.uuid4().hex}.warc.gz", None
+        names, out, size = [], None, 0
         for r in rows:
+            if out is not None and size >= self.most:
+                out.close()
+                out = None
             if out is None:
                 system.create_dir(root, recursive=True)
-                out = system.open_output_stream(name + ".part", compression=None)
-            out.write(record(r.page_id, r.url, r.digest, r.length, None if r.payload is None else bytes(r.payload), r.refers_to))
+                names.append(f"{root}/{uuid.uuid4().hex}.warc.gz")
+                out, size = system.open_output_stream(names[-1] + ".part", compression=None), 0
+            data = record(r.page_id, r.url, r.digest, r.length, None if r.payload is None else bytes(r.payload), r.refers_to)
+            out.write(data)
+            size += len(data)
         if out is not None:
             out.close()
-        return Written(name if out is not None else None)
+        return Written(names)
 
     def commit(self, messages):
         system, root = files(self.folder)
         system.create_dir(root, recursive=True)
-        for m in messages:
-            if m is not None and m.name:
-                system.move(m.name + ".part", m.name)
+        for name in (n for m in messages if m is not None for n in m.names):
+            system.move(name + ".part", name)
+
+    def abort(self, messages):
+        system = files(self.folder)[0]
+        for name in (n for m in messages if m is not None for n in m.names):
+            system.delete_file(name + ".part")
 
 
 class WarcSource(DataSource):
@@ -242,21 +281,26 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE) -> None:
     """Writes a record for each row: of equal payloads of ``SHARED`` bytes or more, the one with the largest id holds it, the others refer to it.
 
     A null html is an empty payload, a null url leaves the header out. Rows with a
     null id hold their payload unless a row with an id has the same. If ids repeat,
-    each row with the largest holds the payload.
+    each row with the largest holds the payload. Equal payloads are found by length and
+    digest alone; rows with their payloads are dealt by digest only if more than
+    ``REPEATED`` payloads repeat.
     """
     spark = pages.sparkSession
     register(spark)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("length", F.octet_length("payload").cast("long"))
-    equal = rows.where(F.col("length") >= SHARED).groupBy("digest", "length").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(equal, ["digest", "length"], "left").withColumn("refers_to", F.expr("if(keeper is null or keeper <=> page_id, null, keeper)"))
+    large = rows.where(F.col("length") >= SHARED).groupBy("digest", "length").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+    repeated = save(large.where("n > 1").drop("n"), "repeated")
+    few = repeated.limit(REPEATED + 1).count() <= REPEATED
+    joined = rows.join(F.broadcast(repeated) if few else repeated, ["digest", "length"], "left").withColumn("refers_to", F.expr("if(keeper is null or keeper <=> page_id, null, keeper)"))
     out = joined.select("page_id", "url", "digest", "length", F.expr("if(refers_to is null, payload, null)").alias("payload"), "refers_to")
-    out.write.format("warc").mode("append").save(path)
+    out.write.format("warc").mode("append").option("file_bytes", str(file_bytes)).save(path)
+    delete(spark, repeated)
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
