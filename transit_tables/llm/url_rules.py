@@ -49,13 +49,13 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """One row (id, host, path, rule, verdict) for each row of ``pages``.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the
-    longest host and path wins, then the longest host, then the first in text order.
+    longest host and path wins, then the longest host, then the first by text of rule and verdict.
     URLs that are null, empty or without "://" have empty host and path, and no rule
     with a host fits them. Ids may be null or repeat; other columns are ignored.
     Without rules every verdict is the default.
     """
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     folder = F.regexp_extract("path", r"^(.*/)?", 0)
     named = rules.where("host is not null and path is not null").distinct().select("verdict", F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"), folder.alias("folder"))
     named = named.withColumn("rule_digest", F.sha2(F.concat("rule_host", "folder"), 256)).withColumn("short", F.substring("rule_digest", 1, PREFIX))
@@ -64,9 +64,13 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     each = distinct.select("host", "path", F.explode(_expressions(sizes[0] or 1, sizes[1] or 0)).alias("expression")).withColumn("digest", F.sha2("expression", 256)).withColumn("short", F.substring("digest", 1, PREFIX))
     hits = each.join(named, "short").where("digest = rule_digest and startswith(path, rule_path)")
     rule = F.concat("rule_host", "rule_path")
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct(rule.alias("rule"), "verdict"), F.struct(F.length(rule), F.length("rule_host"), F.lit(0))).alias("best"))
-    out = rows.join(best, ["host", "path"], "left")
-    return out.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    order = F.struct(-F.length(rule), -F.length("rule_host"), rule, "verdict")
+    best = hits.groupBy("host", "path").agg(F.min_by(F.struct(rule.alias("rule"), "verdict"), order).alias("best"))
+    # Rows without a host have no rule; they are dealt evenly, under keys that no host can be.
+    spread = F.concat(F.lit("/"), F.spark_partition_id(), F.lit("/"), F.pmod(F.xxhash64("id", "host"), F.lit(1024)))
+    keyed = rows.withColumn("at", F.when(F.col("host") == "", spread).otherwise(F.col("host")))
+    out = keyed.join(best.withColumnRenamed("host", "at"), ["at", "path"], "left")
+    return out.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 ORACLE = r"""
