@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import service_sort_key
+
 AT = ["feed_id", "stop_id"]
 
 
@@ -42,16 +44,21 @@ def forward(routes: DataFrame) -> DataFrame:
     return routes.withColumn("at", at).where("at > 0").select(*AT, "route_id", F.posexplode(F.expr("slice(stops, cast(at as int), size(stops))")).alias("offset", "other"))
 
 
+def named_ahead(ahead: DataFrame, names: DataFrame) -> DataFrame:
+    """The stops ahead by name, their id if they have none; offset 0 is left out."""
+    of = names.select("feed_id", F.col("stop_id").alias("other"), "name")
+    return ahead.where("offset > 0").join(of, ["feed_id", "other"], "left").withColumn("name", F.coalesce("name", "other"))
+
+
 def prefix_groups(ahead: DataFrame, names: DataFrame) -> DataFrame:
-    """(feed, stop, offset, name, routes): how many routes have a stop of that name there; offset 0 is left out."""
-    named = ahead.where("offset > 0").join(names.select("feed_id", F.col("stop_id").alias("other"), "name"), ["feed_id", "other"], "left").withColumn("name", F.coalesce("name", "other"))
+    """(feed, stop, offset, name, routes): how many routes have a stop of that name there."""
+    named = named_ahead(ahead, names)
     return named.groupBy(*AT, "offset", "name").agg(F.count("*").alias("routes"))
 
 
 def order_by_shared_prefix(routes: DataFrame, names: DataFrame) -> DataFrame:
     """(feed, stop, route, place): offset by offset larger groups first, ended routes last, then the name; finally the route id."""
-    ahead = forward(routes)
-    named = ahead.where("offset > 0").join(names.select("feed_id", F.col("stop_id").alias("other"), "name"), ["feed_id", "other"], "left").withColumn("name", F.coalesce("name", "other"))
+    named = named_ahead(forward(routes), names)
     sized = named.withColumn("less", -F.count("*").over(Window.partitionBy(*AT, "offset", "name")))
     keys = sized.groupBy(*AT, "route_id").agg(F.array_sort(F.collect_list(F.struct("offset", "less", "name"))).alias("k"))
     end = F.array(F.struct(F.lit(1).cast("long").alias("less"), F.lit("").alias("name")))
@@ -59,6 +66,16 @@ def order_by_shared_prefix(routes: DataFrame, names: DataFrame) -> DataFrame:
     return all_routes.select(*AT, "route_id", F.row_number().over(Window.partitionBy(*AT).orderBy("key", "route_id")).alias("place"))
 
 
+def order_by_forward_ids(routes: DataFrame) -> DataFrame:
+    """(feed, stop, route, place): offset by offset by stop id, as numbers before texts, ended routes first; finally in service order."""
+    number = F.col("other").try_cast("double")
+    step = F.struct("offset", number.isNull().alias("text"), F.coalesce(number, F.lit(0.0)).alias("number"), F.when(number.isNull(), F.col("other")).otherwise(F.lit("")).alias("name"))
+    keys = forward(routes).where("offset > 0").groupBy(*AT, "route_id").agg(F.array_sort(F.collect_list(step)).alias("key"))
+    every = routes.select(*AT, "route_id").join(keys, [*AT, "route_id"], "left")
+    order = Window.partitionBy(*AT).orderBy(F.col("key").asc_nulls_first(), *service_sort_key(F.col("route_id")))
+    return every.select(*AT, "route_id", F.row_number().over(order).alias("place"))
+
+
 def stop_order(ahead: DataFrame) -> DataFrame:
     """(feed, stop, other, avg_position, routes): mean of the distinct offsets, and visits over all routes."""
     return ahead.groupBy(*AT, "other").agg(F.expr("avg(distinct offset)").alias("avg_position"), F.count("*").alias("routes"))

@@ -12,6 +12,10 @@ STATIC_MS = 30 * 60 * 1000
 SLOTS = ("next", "next2", "next3")
 #: Columns of the canonical predictions that live_services takes.
 PREDICTIONS = ("feed_id", "stop_id", "no", "destination", "duration_ms", "vehicle_id", "devicestatusflag", "ord")
+#: Further fields of an arrival, and what holds where an adapter gives none.
+DETAILS = {"type": "'SD'", "feature": "'WAB'", "visit_number": "1", "origin_code": "cast(null as string)", "destination_code": "destination", "bus_no": "cast(null as string)"}
+#: An arrival as the slots hold it.
+ARRIVAL = ("duration_ms", "type", "load", "feature", "visit_number", "origin_code", "destination_code", "vehicle_id", "bus_no", "location")
 
 
 def assert_schema(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -47,20 +51,25 @@ def first_location(location: Column, pair: Column, lat: Column, lng: Column) ->
 
 
 def live_services(predictions: DataFrame, vehicles: DataFrame | None = None, horizon_ms: int = LIVE_MS) -> DataFrame:
-    """(feed, stop, no, destination, frequency, next, next2, next3) of arrivals from now to the horizon.
+    """(feed, stop, no, destination, frequency, next, next2, next3, ord) of arrivals from now to the horizon.
 
     frequency counts the arrivals kept; the slots hold the three soonest, ties in
-    payload order. Locations come from ``vehicles`` (feed, vehicle, lat, lng).
+    payload order; ord is the first arrival's place in the payload. Services without a
+    number are left out. Locations come from ``vehicles`` (feed, vehicle, lat, lng).
     """
-    kept = assert_schema(predictions, PREDICTIONS).where(F.col("duration_ms").between(0, horizon_ms))
+    kept = assert_schema(predictions, PREDICTIONS).where(F.col("duration_ms").between(0, horizon_ms) & (F.col("no") != ""))
+    kept = kept.withColumns({c: F.expr(default) for c, default in DETAILS.items() if c not in kept.columns})
     if vehicles is not None:
         kept = kept.join(vehicles.select("feed_id", "vehicle_id", "lat", "lng"), ["feed_id", "vehicle_id"], "left")
     else:
         kept = kept.withColumns({"lat": F.lit(None).cast("double"), "lng": F.lit(None).cast("double")})
-    trip = F.struct("duration_ms", "ord", load_code(F.col("devicestatusflag")).alias("load"), "vehicle_id", F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.struct("lat", "lng")).alias("location"))
+    location = F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.struct("lat", "lng"))
+    kept = kept.withColumns({"load": load_code(F.col("devicestatusflag")), "location": location})
     key = ["feed_id", "stop_id", "no", "destination"]
-    soon = kept.withColumn("trip", trip).withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("duration_ms", "ord")))
-    return soon.groupBy(*key).agg(F.count("*").alias("frequency"), *(F.max(F.when(F.col("k") == i + 1, F.col("trip"))).alias(s) for i, s in enumerate(SLOTS)))
+    soonest = Window.partitionBy(*key).orderBy("duration_ms", "ord")
+    ranked = kept.withColumn("trip", F.struct(*ARRIVAL)).withColumn("k", F.row_number().over(soonest))
+    slots = [F.any_value(F.when(F.col("k") == i + 1, F.col("trip")), True).alias(s) for i, s in enumerate(SLOTS)]
+    return ranked.groupBy(*key).agg(F.count("*").alias("frequency"), *slots, F.min("ord").alias("ord"))
 
 
 def soonest_per_service(services: DataFrame) -> DataFrame:
@@ -74,22 +83,39 @@ def data_present(services: DataFrame) -> DataFrame:
 
 
 def service_issues(services: DataFrame) -> DataFrame:
-    """(feed, stop, no, issue): listed twice at the stop, or with a later visit of a loop."""
-    visit = F.col("visit_number") if "visit_number" in services.columns else F.lit(1)
-    return services.groupBy("feed_id", "stop_id", "no").agg(((F.count("*") > 1) | F.bool_or(F.coalesce(visit > 1, F.lit(False)))).alias("issue"))
+    """(feed, stop, no, issue): listed twice at the stop, or with a later visit of a loop in some slot."""
+    visits = F.greatest(*(F.coalesce(F.col(f"{s}.visit_number"), F.lit(0)) for s in SLOTS))
+    return services.groupBy("feed_id", "stop_id", "no").agg(((F.count("*") > 1) | F.bool_or(visits > 1)).alias("issue"))
+
+
+def _slots() -> Column:
+    return F.filter(F.array(*(F.col(s) for s in SLOTS)), lambda x: x.isNotNull())
+
+
+def _in_payload_order(slots: str) -> Column:
+    """The arrivals of a group's services, service by service in payload order."""
+    listed = F.array_sort(F.collect_list(F.struct("ord", "destination", slots)))
+    return F.flatten(F.transform(listed, lambda x: x[slots]))
 
 
 def group_by_service(services: DataFrame) -> DataFrame:
-    """(feed, stop, no, frequency, arrivals): all slots of a service at a stop, soonest first; frequencies add up."""
-    slots = F.filter(F.array(*(F.col(f"{s}.duration_ms") for s in SLOTS)), lambda x: x.isNotNull())
-    return services.withColumn("a", slots).groupBy("feed_id", "stop_id", "no").agg(F.sum("frequency").alias("frequency"), F.array_sort(F.flatten(F.collect_list("a"))).alias("arrivals"))
+    """(feed, stop, no, destination, frequency, arrivals): of the service's first listing, and all its slots in payload order."""
+    first = F.min_by(F.struct("destination", "frequency"), F.struct("ord", "destination"))
+    grouped = services.withColumn("slots", _slots()).groupBy("feed_id", "stop_id", "no").agg(first.alias("f"), _in_payload_order("slots").alias("arrivals"))
+    return grouped.select("feed_id", "stop_id", "no", "f.destination", "f.frequency", "arrivals")
 
 
 def service_board(services: DataFrame, pinned: DataFrame) -> DataFrame:
-    """(feed, stop, no, destination, frequency, pinned, place): pinned services first, then by frequency."""
-    marked = services.groupBy("feed_id", "stop_id", "no", "destination").agg(F.sum("frequency").alias("frequency")).join(pinned.select("feed_id", "no").distinct().withColumn("pinned", F.lit(True)), ["feed_id", "no"], "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
-    order = Window.partitionBy("feed_id", "stop_id").orderBy(F.desc("pinned"), F.desc("frequency"), "no", "destination")
-    return marked.withColumn("place", F.row_number().over(order))
+    """(feed, stop, no, destination, frequency, buses, pinned, place): pinned services first, then by frequency, then in payload order.
+
+    A service without a destination takes its next arrival's.
+    """
+    named = services.withColumn("destination", F.coalesce(F.nullif("destination", F.lit("")), "next.destination_code")).withColumn("slots", _slots())
+    grouped = named.groupBy("feed_id", "stop_id", "no", "destination").agg(F.sum("frequency").alias("frequency"), _in_payload_order("slots").alias("buses"), F.min("ord").alias("ord"))
+    marks = pinned.select("feed_id", "no").distinct().withColumn("pinned", F.lit(True))
+    marked = grouped.join(marks, ["feed_id", "no"], "left").withColumn("pinned", F.coalesce("pinned", F.lit(False)))
+    order = Window.partitionBy("feed_id", "stop_id").orderBy(F.desc("pinned"), F.desc("frequency"), "ord", "no", "destination")
+    return marked.withColumn("place", F.row_number().over(order)).drop("ord")
 
 
 def active_pinned(pinned: DataFrame, services: DataFrame) -> DataFrame:

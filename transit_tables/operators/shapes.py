@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import REF_LAT, ruler_distance_km, scales
+from ..functions.order import split_route_key
 from .patterns import representative_trips
 
 SHAPE = ["feed_id", "shape_id"]
@@ -70,6 +71,15 @@ def route_shapes(trips: DataFrame, shapes: DataFrame | None, directed: DataFrame
     return own.unionByName(rest.select("feed_id", "route_id", "shape_id", "polyline"))
 
 
+def geometry_of_variants(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """(feed, service, variant, polyline) of keys (feed, key) "service|destination|variant": the variant-th line of the service; keys without one are dropped.
+
+    Lines of a service (feed, route, shape_idx, polyline) count from 0 over all its shapes.
+    """
+    parts = keys.select("feed_id", split_route_key(F.col("key")).alias("k")).select("feed_id", F.col("k.service").alias("route_id"), F.col("k.variant_idx").alias("shape_idx"))
+    return parts.distinct().join(lines, ["feed_id", "route_id", "shape_idx"]).select("feed_id", "route_id", "shape_idx", "polyline")
+
+
 def shape_lengths(points: DataFrame, ref_lat: float = REF_LAT) -> DataFrame:
     """(feed, shape, km)."""
     order = Window.partitionBy(*SHAPE).orderBy("pt_seq")

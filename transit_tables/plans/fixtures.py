@@ -29,6 +29,7 @@ FROM {lines} JOIN {customer} ON custkey = c_custkey""",
 FROM {supplier} JOIN (SELECT DISTINCT c_mktsegment AS feed_id FROM {customer}) f ON s_suppkey >= 0""",
     "predictions": """SELECT 'live' AS feed_id, CAST(user_id % 20 AS STRING) AS stop_id, event_type AS no, CAST(event_id % 3 AS STRING) AS destination,
   CAST(user_id AS STRING) AS vehicle_id, CAST(event_id % 2 AS INT) AS devicestatusflag, event_id AS ord,
+  CASE WHEN event_id % 3 = 0 THEN 'DD' ELSE 'SD' END AS type, CASE WHEN event_id % 97 = 0 THEN 2 ELSE 1 END AS visit_number, CAST(event_id % 13 AS STRING) AS origin_code, concat('B', user_id) AS bus_no,
   CAST(floor(CAST(event_id * 977 % 7200000 AS DOUBLE)) AS BIGINT) - 600000 AS duration_ms
 FROM {events}""",
     "vehicles": """SELECT 'live' AS feed_id, CAST(user_id AS STRING) AS vehicle_id, CAST(user_id % 97 AS STRING) AS vehicle_number,
@@ -37,6 +38,11 @@ FROM {events}""",
   CASE WHEN event_id % 11 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(77.4 AS DOUBLE) + CAST(event_id % 353 AS DOUBLE) / 1000 END AS lng,
   CASE WHEN event_id % 5 = 0 THEN '' ELSE CAST(user_id % 20 AS STRING) END AS last_location, CAST(user_id % 7 AS STRING) AS current_location, CAST(NULL AS STRING) AS next_location
 FROM {events}""",
+    "arrival_texts": """SELECT event_id, concat(lpad(CAST(day(ts) AS STRING), 2, '0'), '-', lpad(CAST(month(ts) AS STRING), 2, '0'), '-', CAST(year(ts) AS STRING), ' ',
+  lpad(CAST(hour(ts) AS STRING), 2, '0'), ':', lpad(CAST(minute(ts) AS STRING), 2, '0'), ':', lpad(CAST(event_id % 60 AS STRING), 2, '0')) AS arrivaltime FROM {events}""",
+    "raw_places": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 200 AS DOUBLE) - 100 END AS lat1, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 400 AS DOUBLE) - 200 END AS lng1,
+  CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 90 AS DOUBLE) END AS lat2, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 180 AS DOUBLE) END AS lng2,
+  CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 10 AS DOUBLE) END AS lat3, CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 15 AS DOUBLE) END AS lng3 FROM {events}""",
     "requests": """SELECT feed_id, concat('S', start_key) AS start_stop, concat('S', end_key) AS end_stop
 FROM (SELECT DISTINCT c_mktsegment AS feed_id, CAST(c_custkey * 13 % n AS BIGINT) AS start_key, CAST((c_custkey * 29 + CAST(floor(c_custkey / n) AS BIGINT)) % n AS BIGINT) AS end_key
   FROM {customer} CROSS JOIN (SELECT count(*) AS n FROM {supplier}) k) r WHERE start_key <> end_key""",

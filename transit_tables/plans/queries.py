@@ -75,8 +75,13 @@ def _live(s, d):
     return live.live_services(predictions, live.vehicle_map(vehicles))
 
 
+def _durations(rows, slots):
+    """The slots as a text of their durations."""
+    return rows.withColumn(slots, F.array_join(F.transform(slots, lambda x: x["duration_ms"].cast("string")), ","))
+
+
 def live_services(s, d):
-    return _live(s, d).select("feed_id", "stop_id", "no", "destination", "frequency", *(F.col(f"{x}.duration_ms").alias(f"{x}_ms") for x in live.SLOTS), F.col("next.load").alias("next_load"), F.col("next.location.lat").alias("next_lat"))
+    return _live(s, d).select("feed_id", "stop_id", "no", "destination", "frequency", *(F.col(f"{x}.duration_ms").alias(f"{x}_ms") for x in live.SLOTS), *(F.col(f"next.{x}").alias(f"next_{x}") for x in live.ARRIVAL if x not in ("duration_ms", "location")), F.col("next.location.lat").alias("next_lat"))
 
 
 def arrivals_with_fallback(s, d):
@@ -134,7 +139,7 @@ def cluster_routes(s, d):
 
 def snap_to_shapes(s, d):
     vehicles = live.vehicle_map(load(s, d, "vehicles")[0]).withColumn("feed_id", F.lit("BUILDING")).select("feed_id", "vehicle_id", "lat", "lng")
-    return shapes.snap_to_shapes(vehicles, _shape_points(s, d), 500.0).withColumn("metres", F.round("metres", 3))
+    return shapes.snap_to_shapes(vehicles, _shape_points(s, d), 500.0).select("feed_id", "vehicle_id", F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng"), F.round("metres", 3).alias("metres"))
 
 
 def requests_known(s, d):
@@ -216,8 +221,8 @@ QUERIES = {
     "fuzzy_search": fuzzy_search,
     "feed_report": feed_report,
     "unknown_references": lambda s, d: feeds.unknown_references(load(s, d, "trips")[0], load(s, d, "stop_times")[0].where("stop_id <> 'S3'"), load(s, d, "routes")[0], _stops(s, d).where("stop_id <> 'S7'").select("feed_id", "stop_id", F.col("lat").alias("stop_lat"), F.expr("if(stop_id = 'S9', null, lon)").alias("stop_lon"))),
-    "service_board": lambda s, d: live.service_board(_live(s, d), s.createDataFrame([("live", "click")], "feed_id string, no string")),
-    "grouped_arrivals": lambda s, d: live.group_by_service(_live(s, d)).withColumn("arrivals", F.array_join(F.transform("arrivals", lambda x: x.cast("string")), ",")),
+    "service_board": lambda s, d: _durations(live.service_board(_live(s, d), s.createDataFrame([("live", "click")], "feed_id string, no string")), "buses"),
+    "grouped_arrivals": lambda s, d: _durations(live.group_by_service(_live(s, d)), "arrivals"),
     "longest_variants": lambda s, d: network.longest_variants(_patterns(s, d)).select("feed_id", "route_id", "destination", "variant_idx", "place"),
 }
 
@@ -269,7 +274,9 @@ vmap AS (SELECT * FROM placed WHERE k = 1)"""
 LIVE = VEHICLE + """,
 kept AS (SELECT p.*, v.lat, row_number() OVER (PARTITION BY p.feed_id, p.stop_id, p.no, p.destination ORDER BY duration_ms, p.ord) AS kk FROM v_predictions p LEFT JOIN vmap v ON v.feed_id = p.feed_id AND v.vehicle_id = p.vehicle_id WHERE duration_ms BETWEEN 0 AND 5400000),
 live AS (SELECT feed_id, stop_id, no, destination, count(*) AS frequency, max(duration_ms) FILTER (kk = 1) AS next_ms, max(duration_ms) FILTER (kk = 2) AS next2_ms, max(duration_ms) FILTER (kk = 3) AS next3_ms,
-  max(CASE WHEN devicestatusflag = 1 THEN 'SEA' ELSE 'SDA' END) FILTER (kk = 1) AS next_load, max(lat) FILTER (kk = 1) AS next_lat FROM kept GROUP BY ALL)"""
+  max(CASE WHEN devicestatusflag = 1 THEN 'SEA' ELSE 'SDA' END) FILTER (kk = 1) AS next_load, max(lat) FILTER (kk = 1) AS next_lat,
+  max(type) FILTER (kk = 1) AS next_type, 'WAB' AS next_feature, max(visit_number) FILTER (kk = 1) AS next_visit_number, max(origin_code) FILTER (kk = 1) AS next_origin_code, destination AS next_destination_code,
+  max(vehicle_id) FILTER (kk = 1) AS next_vehicle_id, max(bus_no) FILTER (kk = 1) AS next_bus_no, bool_or(kk <= 3 AND visit_number > 1) AS later_visit, min(ord) AS ord FROM kept GROUP BY ALL)"""
 STANDIN = DIRECTED + """,
 rep AS (SELECT feed_id, route_id, direction, arg_min(trip_id, ord) AS trip_id FROM directed GROUP BY ALL),
 pts AS (SELECT r.feed_id, r.route_id || '-' || r.direction AS shape_id, row_number() OVER (PARTITION BY r.feed_id, r.route_id, r.direction ORDER BY stop_sequence) AS pt_seq, stop_lat AS lat, stop_lon AS lon
@@ -345,9 +352,9 @@ per AS (SELECT feed_id, stop_id, route_id, bool_or(pos = 1 OR pos = n) AS termin
  SELECT feed_id, stop_id, string_agg(route_id, ',' ORDER BY route_id) AS services, CASE WHEN bool_or(terminal) THEN 'end' ELSE 'intersect' END AS kind FROM per GROUP BY feed_id, stop_id HAVING count(*) > 1""", T, ST),
     "route_bounds": oracle(VISITS + " SELECT v.feed_id, v.route_id, min(stop_lon) AS west, min(stop_lat) AS south, max(stop_lon) AS east, max(stop_lat) AS north FROM visits v JOIN v_stops s ON s.feed_id = v.feed_id AND s.stop_id = v.stop_id GROUP BY ALL", T, ST, S),
     "known_services": oracle(PATTERNS + " SELECT DISTINCT feed_id, route_id FROM patterns", T, ST),
-    "live_services": oracle(LIVE + " SELECT * FROM live", "predictions", "vehicles"),
+    "live_services": oracle(LIVE + " SELECT * EXCLUDE (later_visit, ord) FROM live", "predictions", "vehicles"),
     "soonest": oracle(LIVE + " SELECT feed_id, stop_id, no, min(next_ms) AS soonest_ms FROM live GROUP BY ALL", "predictions", "vehicles"),
-    "service_issues": oracle(LIVE + " SELECT feed_id, stop_id, no, count(*) > 1 AS issue FROM live GROUP BY ALL", "predictions", "vehicles"),
+    "service_issues": oracle(LIVE + " SELECT feed_id, stop_id, no, count(*) > 1 OR bool_or(later_visit) AS issue FROM live GROUP BY ALL", "predictions", "vehicles"),
     "arrivals_with_fallback": oracle(LIVE + SCHEDULE + """,
 st AS (SELECT feed_id, stop_id, no, destination, (CAST(substr(t, 1, 2) AS BIGINT) * 60 + CAST(substr(t, 4, 2) AS BIGINT) - 480) * 60000 AS ms FROM (SELECT feed_id, stop_id, no, destination, unnest(trips) AS t FROM sched)),
 lv AS (SELECT 'BUILDING' AS feed_id, 'S' || stop_id AS stop_id, no, destination, frequency, next_ms, true AS live FROM live)
@@ -377,9 +384,8 @@ cl AS (SELECT feed_id, x AS route_id, min(y) AS cluster FROM reach GROUP BY ALL)
     "top_stops": oracle(REACH.format(t="v_stop_times") + " SELECT feed_id, stop_id, CAST(destinations AS DOUBLE) AS score FROM dc ORDER BY destinations DESC, feed_id, stop_id LIMIT 20", ST),
     "feed_report": oracle(" SELECT count(DISTINCT feed_id) FILTER (feed_id = 'BUILDING') AS success, count(DISTINCT feed_id) FILTER (feed_id <> 'BUILDING') AS partial, CAST(0 AS BIGINT) AS error, 2 AS exit_code FROM v_routes", R),
     "unknown_references": oracle(" SELECT feed_id, 'visit_to_unknown_stop' AS what, count(*) AS n FROM v_stop_times WHERE stop_id = 'S7' GROUP BY feed_id UNION ALL SELECT feed_id, 'stop_without_coordinates', count(*) FROM v_stops WHERE stop_id = 'S9' GROUP BY feed_id", ST, S),
-    "service_board": oracle(LIVE + " SELECT feed_id, stop_id, no, destination, frequency, no = 'click' AS pinned, row_number() OVER (PARTITION BY feed_id, stop_id ORDER BY no = 'click' DESC, frequency DESC, no, destination) AS place FROM live", "predictions", "vehicles"),
-    "grouped_arrivals": oracle(LIVE + """, e AS (SELECT feed_id, stop_id, no, unnest([next_ms, next2_ms, next3_ms]) AS ms FROM live), f AS (SELECT feed_id, stop_id, no, CAST(sum(frequency) AS BIGINT) AS frequency FROM live GROUP BY ALL)
- SELECT f.feed_id, f.stop_id, f.no, frequency, string_agg(CAST(ms AS VARCHAR), ',' ORDER BY ms) AS arrivals FROM f JOIN e ON e.feed_id = f.feed_id AND e.stop_id = f.stop_id AND e.no = f.no WHERE ms IS NOT NULL GROUP BY ALL""", "predictions", "vehicles"),
+    "service_board": oracle(LIVE + " SELECT feed_id, stop_id, no, destination, frequency, concat_ws(',', next_ms, next2_ms, next3_ms) AS buses, no = 'click' AS pinned, row_number() OVER (PARTITION BY feed_id, stop_id ORDER BY no = 'click' DESC, frequency DESC, ord) AS place FROM live", "predictions", "vehicles"),
+    "grouped_arrivals": oracle(LIVE + " SELECT feed_id, stop_id, no, arg_min(destination, ord) AS destination, arg_min(frequency, ord) AS frequency, string_agg(concat_ws(',', next_ms, next2_ms, next3_ms), ',' ORDER BY ord) AS arrivals FROM live GROUP BY ALL", "predictions", "vehicles"),
     "longest_variants": oracle(PATTERNS + " SELECT * FROM (SELECT feed_id, route_id, destination, variant_idx, row_number() OVER (PARTITION BY feed_id, route_id ORDER BY len(stops) DESC, dest_rank, variant_idx) AS place FROM patterns) WHERE place <= 2", T, ST),
     "shape_round_trip": oracle(STANDIN + " SELECT feed_id, shape_id, pt_seq, CAST(round(lat * 100000) AS BIGINT) AS lat_e5, CAST(round(lon * 100000) AS BIGINT) AS lon_e5 FROM pts", T, ST, S),
     "shape_lengths": oracle(STANDIN + f""", leg AS (SELECT feed_id, shape_id, sqrt(pow((lon - lag(lon) OVER w) * {KX!r}, 2) + pow((lat - lag(lat) OVER w) * {KY!r}, 2)) AS km FROM pts WINDOW w AS (PARTITION BY feed_id, shape_id ORDER BY pt_seq))

@@ -94,6 +94,27 @@ def ranking_rows(scores: DataFrame) -> DataFrame:
     return scores.select("feed_id", "stop_id", F.round("score", 2).alias("score")).orderBy("feed_id", F.desc("score"), "stop_id")
 
 
+def route_levels_document(paths: DataFrame) -> DataFrame:
+    """(feed, value): a list of {level, number, path} by route and shape; a path is a list of [lon, lat, height]."""
+    points = F.transform(F.array_sort(F.collect_list(F.struct("pt_seq", "lon", "lat", "z"))), lambda x: F.array(x["lon"], x["lat"], x["z"]))
+    each = paths.groupBy("feed_id", "route_id", "shape_id", "level").agg(points.alias("path"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("route_id").alias("number"), "shape_id", "level", "path")))
+    out = F.transform(listed, lambda x: F.struct(x["level"].alias("level"), x["number"].alias("number"), x["path"].alias("path")))
+    return each.groupBy("feed_id").agg(F.to_json(out).alias("value"))
+
+
+def stop_levels_document(levels: DataFrame) -> DataFrame:
+    """(feed, value): the level of each stop by its id."""
+    return _document(levels, "stop_id", F.col("level").cast("string"))
+
+
+def stop_markers_document(markers: DataFrame, levels: DataFrame, names: DataFrame) -> DataFrame:
+    """(feed, value): a list of {number, name, level, contour} by stop."""
+    rows = markers.join(levels, ["feed_id", "stop_id"], "left").join(names.select("feed_id", "stop_id", "name"), ["feed_id", "stop_id"], "left")
+    one = F.struct(F.col("stop_id").alias("number"), "name", "level", F.array("ring").alias("contour"))
+    return rows.groupBy("feed_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("value"))
+
+
 def write_documents(docs: DataFrame, path: str) -> None:
     """One text file below ``path``/feed_id=<feed> for each document."""
     docs.write.mode("overwrite").partitionBy("feed_id").text(path)

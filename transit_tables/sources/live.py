@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clock import duration_ms, parse_ist
+from ..functions.clock import duration_ms, epoch_ms, parse_ist
 
 ARRIVALS = "Issuccess boolean, station string, data array<struct<routeno:string,tostationname:string,fromstationname:string,arrivaltime:string,vehicleid:string,busno:string,devicestatusflag:int>>"
-STATION = "array<struct<routeid:string,stationid:string,stationname:string,routeno:string,vehicleDetails:array<struct<vehicleid:string,vehiclenumber:string,centerlat:string,centerlong:string,heading:string,lastrefreshon:string,lastlocationid:string,currentlocationid:string,nextlocationid:string>>>>"
+#: Text fields of a vehicle beside its ids, place and last refresh, and their canonical names.
+TIMES = {
+    "sch_arrivaltime": "scheduled_arrival", "sch_departuretime": "scheduled_departure", "sch_tripstarttime": "scheduled_start", "sch_tripendtime": "scheduled_end",
+    "actual_arrivaltime": "actual_arrival", "actual_departuretime": "actual_departure", "eta": "eta",
+}
+PLACES = {"laststop": "last_stop", "currentstop": "current_stop", "nextstop": "next_stop", "lastlocationid": "last_location", "currentlocationid": "current_location", "nextlocationid": "next_location"}
+WHOLE = {"servicetypeid": "service_type_id", "stopCoveredStatus": "stop_covered", "tripposition": "trip_position", "lastreceiveddatetimeflag": "last_received"}
+VEHICLE = ["vehicleid", "vehiclenumber", "servicetype", "centerlat", "centerlong", "heading", "lastrefreshon", *TIMES, *PLACES, *WHOLE]
+STATION = f"array<struct<routeid:string,stationid:string,stationname:string,routeno:string,vehicleDetails:array<struct<{','.join(f'{c}:string' for c in VEHICLE)}>>>>"
 VEHICLES = f"up struct<data:{STATION}>, down struct<data:{STATION}>"
 
 
@@ -20,7 +28,10 @@ def read_payloads(spark: SparkSession, path: str, schema: str, stream: bool = Fa
 def arrivals_rows(payloads: DataFrame, now, feed_id: str = "live") -> DataFrame:
     """Canonical predictions of successful payloads; ``now`` is a UTC timestamp column without zone."""
     rows = payloads.where("Issuccess").select("station", F.posexplode("data").alias("ord", "d"))
-    return rows.select(F.lit(feed_id).alias("feed_id"), F.col("station").alias("stop_id"), F.col("d.routeno").alias("no"), F.col("d.tostationname").alias("destination"), duration_ms(parse_ist(F.col("d.arrivaltime")), now).alias("duration_ms"), F.col("d.vehicleid").alias("vehicle_id"), "d.devicestatusflag", F.col("ord").cast("long").alias("ord")).where("no <> ''")
+    return rows.select(
+        F.lit(feed_id).alias("feed_id"), F.col("station").alias("stop_id"), F.col("d.routeno").alias("no"), F.col("d.tostationname").alias("destination"), duration_ms(parse_ist(F.col("d.arrivaltime")), now).alias("duration_ms"),
+        F.col("d.vehicleid").alias("vehicle_id"), "d.devicestatusflag", F.col("ord").cast("long").alias("ord"), F.col("d.fromstationname").alias("origin_code"), F.col("d.busno").alias("bus_no"),
+    ).where("no <> ''")
 
 
 def vehicle_rows(payloads: DataFrame, feed_id: str = "live") -> DataFrame:
@@ -31,5 +42,6 @@ def vehicle_rows(payloads: DataFrame, feed_id: str = "live") -> DataFrame:
     return each.select(
         F.lit(feed_id).alias("feed_id"), F.col("v.vehicleid").alias("vehicle_id"), F.col("v.vehiclenumber").alias("vehicle_number"), "direction", "routeno", "stationname",
         (F.col("station_ord").cast("long") * 100000 + F.col("vehicle_ord")).alias("ord"), parse_ist(F.col("v.lastrefreshon")).alias("ts"), F.col("v.centerlat").try_cast("double").alias("lat"), F.col("v.centerlong").try_cast("double").alias("lng"),
-        F.col("v.heading").try_cast("double").alias("heading"), F.col("v.lastlocationid").alias("last_location"), F.col("v.currentlocationid").alias("current_location"), F.col("v.nextlocationid").alias("next_location"),
+        F.col("v.heading").try_cast("double").alias("heading"), F.col("v.servicetype").alias("service_type"), F.col("v.lastrefreshon").alias("last_refresh"), epoch_ms(parse_ist(F.col("v.lastrefreshon"))).alias("last_refresh_ms"),
+        *(F.nullif(F.col(f"v.{c}"), F.lit("")).alias(n) for c, n in TIMES.items()), *(F.col(f"v.{c}").alias(n) for c, n in PLACES.items()), *(F.col(f"v.{c}").try_cast("long").alias(n) for c, n in WHOLE.items()),
     )

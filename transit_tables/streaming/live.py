@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -37,10 +37,49 @@ def tracked_only(vehicles: DataFrame, tracked: Callable[[], DataFrame]) -> Calla
 
 
 def dedupe_snapshots(vehicles: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """One record of each vehicle number and snapshot."""
+    """One record of each vehicle number and snapshot, whichever comes first; where up must go before down, use ``first_of_snapshots``."""
     return vehicles.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["feed_id", "vehicle_number", "snapshot_id"])
 
 
+def first_of_snapshots(batch: DataFrame, _epoch: int = 0) -> DataFrame:
+    """For foreachBatch, as a snapshot comes in one batch: of each vehicle number and snapshot the first record, up before down."""
+    order = Window.partitionBy("feed_id", "snapshot_id", "vehicle_number").orderBy(F.when(F.col("direction") == "up", 0).otherwise(1), "ord")
+    return batch.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
+
+
+def cached_positions(vehicles: DataFrame, pins: DataFrame, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
+    """Rows (feed, no, vehicle, lat, lng, gone) of streams of vehicles (feed, no, vehicle, lat, lng, ord) and of pins (feed, no, pinned, ord).
+
+    A vehicle's last position is kept while its service is pinned. When the service is unpinned, its
+    vehicles are given once as gone and forgotten; positions of services that aren't pinned are left out.
+    Rows of one service are taken in order of ``ord``.
+    """
+    kind = "feed_id string, no string, vehicle_id string, lat double, lng double, gone boolean"
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pinned, held = state.get if state.exists else (False, [])
+        held, out = list(held), []
+        for r in pd.concat(list(frames)).sort_values("ord").itertuples():
+            if r.vehicle_id is None:
+                if pinned and not r.pinned:
+                    out += [(*key, v, None, None, True) for v in held]
+                    held = []
+                pinned = bool(r.pinned)
+            elif pinned:
+                held += [r.vehicle_id] if r.vehicle_id not in held else []
+                out.append((*key, r.vehicle_id, r.lat, r.lng, False))
+        if pinned:
+            state.update((pinned, held))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["feed_id", "no", "vehicle_id", "lat", "lng", "gone"])
+
+    none = lambda kind: F.lit(None).cast(kind)
+    seen = vehicles.select("feed_id", "no", "vehicle_id", "lat", "lng", none("boolean").alias("pinned"), "ord")
+    marks = pins.select("feed_id", "no", none("string").alias("vehicle_id"), none("double").alias("lat"), none("double").alias("lng"), "pinned", "ord")
+    return seen.unionByName(marks).groupBy("feed_id", "no").applyInPandasWithState(step, kind, "pinned boolean, held array<string>", "append", timeout)
+
+
 def with_staleness(vehicles: DataFrame, now) -> DataFrame:
     """Seconds since a vehicle's last refresh; nothing is cut off."""
     return vehicles.withColumn("stale_s", F.unix_timestamp(now) - F.unix_timestamp("ts"))
