@@ -298,6 +298,18 @@ def test_token_files(spark):
     assert token_files.token_digests(docs.limit(0)).count() == 0
 
 
+def test_token_files_of_another_tokenizer(spark, tmp_path):
+    """A tokenizer whose words can't be encoded one by one goes to the library whole."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    texts = [None, "", "The  the\n tHe ", "don't 12 é!", LONG[:5000]]
+    folder = f"file://{tmp_path}"
+    back = token_files.read_tokens(token_files.write_tokens(documents(spark, texts), folder, path=path, end=7), folder).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in back} == {i: [*lib.encode(t or "", add_special_tokens=False).ids, 7] for i, t in enumerate(texts)}
+
+
 def test_directly_addressable_codes():
     rng = np.random.default_rng(1)
     ids = np.concatenate([rng.integers(0, 1 << k, 900) for k in (3, 8, 9, 16, 17, 24, 32)]).astype(np.uint32)
@@ -325,6 +337,10 @@ def test_url_rules(spark):
     extra = url_rules.rule_table(spark, [("block", "com", "/pa"), ("allow", "com", "")])
     got = [r.verdict for r in url_rules.judge(spark.createDataFrame([(1, "http://com/path"), (2, "http://com")], "page_id long, url string"), extra).orderBy("page_id").collect()]
     assert got == ["block", "allow"]
+    both = [("block", "com", "/"), ("allow", "com", "/"), ("block", "a.com", "/b/"), ("allow", "com", "/b/c/d")]
+    for rules in (both, both[::-1]):  # equal rules: the first verdict by text; equal lengths: the longest host
+        got = [(r.rule, r.verdict) for r in url_rules.judge(spark.createDataFrame([(1, "http://com/x"), (2, "http://a.com/b/c/d")], "page_id long, url string"), url_rules.rule_table(spark, rules)).orderBy("page_id").collect()]
+        assert got == [("com/", "allow"), ("com/b/c/d", "allow")]
     assert url_rules.judge(pages, url_rules.rule_table(spark).limit(0)).where("verdict = 'allow'").count() == len(urls) + 1
     assert url_rules.judge(pages.limit(0), url_rules.rule_table(spark)).count() == 0
 

@@ -18,6 +18,7 @@ import io
 import json
 import re
 import uuid
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import files, new_path, partitions, save
+from .common import ENTRY, files, new_path, partitions, save
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -33,19 +34,33 @@ MAGIC = b"DACTOK01"
 SPAN = 512
 #: Tokens after which a file ends, at the next document.
 FILE_TOKENS = 4_000_000
-#: Words and pieces that a worker remembers.
-WORDS, PIECES = 700_000, 500_000
+#: Bytes of a worker's memories of words and of pieces, and characters of the texts that are encoded together.
+WORDS, PIECES, TOGETHER = 96_000_000, 64_000_000, 2_000_000
+#: What the short cut of ``Tokens`` relies on: the tokenizer's normalizer and pre-tokenizer, and the end of its words. Fixed values.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+SUFFIX = "</w>"
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
+def known_kind(file: dict) -> bool:
+    """Whether a tokenizer's file is of the kind whose words and pieces can be encoded one by one."""
+    cutter = {"type": "Sequence", "pretokenizers": [CUTS, BYTES]}
+    model, added = file["model"], file.get("added_tokens") or []
+    usual = model["type"] == "BPE" and model.get("end_of_word_suffix") == SUFFIX and not model.get("dropout") and not model.get("continuing_subword_prefix")
+    return usual and file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == cutter and file.get("post_processor") is None and all("<|" in t["content"] for t in added)
+
+
 class Tokens:
     """Ids of texts by the tokenizers library, which sees each word's pieces once.
 
-    White space ends every word of this tokenizer and leaves no token, so a text's ids
+    White space ends every word of the usual tokenizer and leaves no token, so a text's ids
     are those of its words in turn. A word of printable ASCII and Latin-1 letters is lower-cased
     and cut where the tokenizer cuts it, so that words with other capitals or marks share pieces;
     other words go to the library whole. New pieces are encoded in one text, and the ids
-    of tokens that end a word tell them apart.
+    of tokens that end a word tell them apart. Texts go whole to the library if the
+    tokenizer's file isn't of this kind.
     """
 
     split = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
@@ -61,26 +76,37 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(SUFFIX)]] = True
+        with open(path, "rb") as file:
+            self.by_words = known_kind(json.load(file))
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = {"words": 0, "pieces": 0}
+
+    def forget(self) -> None:
+        """At the end of a task, as a worker that waits for its next one may wait long."""
+        self.known, self.pieces, self.held = {}, {}, {"words": 0, "pieces": 0}
+        pa.default_memory_pool().release_unused()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_words:
+            found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(x.ids, "<u4").tobytes() for x in found]
         words = [self.split(t or "") for t in texts]
+        if self.held["words"] > WORDS:
+            self.known, self.held["words"] = {}, 0
+        if self.held["pieces"] > PIECES:
+            self.pieces, self.held["pieces"] = {}, 0
         new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = set().union(*words)
         cuts = {w: self.cut(w.lower()) for w in new if self.plain(w) and "<|" not in w}
         lacking = set().union(*cuts.values()).difference(self.pieces)
-        if len(self.pieces) + len(lacking) > PIECES:
-            self.pieces.clear()
-            lacking = set().union(*cuts.values())
         self._learn(sorted(lacking))
         of = self.pieces.__getitem__
         self.known.update((w, of(x[0]) if len(x) == 1 else b"".join(map(of, x))) for w, x in cuts.items())
         if len(cuts) < len(new):
             self.known.update((w, self._one(w)) for w in new.difference(cuts))
+        self.held["words"] += sum(map(getsizeof, new)) + sum(getsizeof(self.known[w]) + ENTRY for w in new)
+        self.held["pieces"] += sum(map(getsizeof, lacking)) + sum(getsizeof(of(p)) + ENTRY for p in lacking)
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
     def _one(self, word: str) -> bytes:
@@ -171,6 +197,18 @@ class TokenFile:
 MANIFEST = "part int, seq int, path string, docs long, tokens long"
 
 
+def _together(texts: list[str | None]):
+    """Ranges of texts of about ``TOGETHER`` characters, or of one text."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= TOGETHER:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _written(path: str, folder: str, end: int):
     def over(batches):
         from pyspark import TaskContext
@@ -191,8 +229,8 @@ def _written(path: str, folder: str, end: int):
         total = 0
         for batch in batches:
             doc_ids, texts = (batch.column(i).to_pylist() for i in (0, 1))
-            for i in range(0, len(texts), 1000):
-                for who, ids in zip(doc_ids[i : i + 1000], enc.encode(texts[i : i + 1000]), strict=True):
+            for i, j in _together(texts):
+                for who, ids in zip(doc_ids[i:j], enc.encode(texts[i:j]), strict=True):
                     held.append(ids + end.to_bytes(4, "little"))
                     docs.append(who)
                     counts.append(len(ids) // 4 + 1)
@@ -202,6 +240,7 @@ def _written(path: str, folder: str, end: int):
                         docs, counts, held, total, seq = [], [], [], 0, seq + 1
         if docs:
             yield close()
+        enc.forget()
 
     return over
 
