@@ -77,20 +77,21 @@ def order_by_forward_ids(routes: DataFrame) -> DataFrame:
 
 
 def stop_order(ahead: DataFrame) -> DataFrame:
-    """(feed, stop, other, avg_position, routes): mean of the distinct offsets, and visits over all routes."""
-    return ahead.groupBy(*AT, "other").agg(F.expr("avg(distinct offset)").alias("avg_position"), F.count("*").alias("routes"))
+    """(feed, stop, other, avg_position, routes): mean of the distinct offsets, and visits over all routes; with ``major`` if the rows have it, true if any is."""
+    marks = [F.bool_or("major").alias("major")] if "major" in ahead.columns else []
+    at = ahead.groupBy(*AT, "other", "offset").agg(F.count("*").alias("n"), *marks)
+    return at.groupBy(*AT, "other").agg(F.avg("offset").alias("avg_position"), F.sum("n").alias("routes"), *marks)
 
 
 def stop_diagram(routes: DataFrame, scores: DataFrame, target: int = 5, limit: int = 8) -> DataFrame:
     """(feed, stop, other, avg_position, routes): the stop itself, last stops and each route's ``target`` best stops, of the top routes."""
-    chosen = top_routes(drop_terminating(routes), scores, limit).drop("score")
-    ahead = forward(chosen)
+    ahead = forward(top_routes(drop_terminating(routes), scores, limit).drop("score"))
     of = scores.select("feed_id", F.col("stop_id").alias("other"), "score")
     ranked = ahead.join(of, ["feed_id", "other"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     per = Window.partitionBy(*AT, "route_id")
     ranked = ranked.withColumn("k", F.row_number().over(per.orderBy(F.desc("score"), "offset"))).withColumn("last", F.max("offset").over(per))
-    major = ranked.where((F.col("k") <= target) | (F.col("offset") == F.col("last")) | (F.col("other") == F.col("stop_id"))).select(*AT, "other").distinct()
-    return stop_order(ahead).join(major, [*AT, "other"], "left_semi")
+    marked = ranked.withColumn("major", (F.col("k") <= target) | (F.col("offset") == F.col("last")) | (F.col("other") == F.col("stop_id")))
+    return stop_order(marked).where("major").drop("major")
 
 
 def select_major_stops(stops: DataFrame, target: int, group: list[str]) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .feeds import numbered_visits
 from .patterns import trip_stops
 
 STOP = ["feed_id", "stop_id"]
@@ -16,24 +15,35 @@ def distinct_patterns(stop_times: DataFrame) -> DataFrame:
     return trip_stops(stop_times).select("feed_id", "stops").distinct()
 
 
-def reachable_pairs(stop_times: DataFrame) -> DataFrame:
-    """Distinct (feed, stop, other): other comes later in some trip; a loop reaches its own stop."""
-    each = distinct_patterns(stop_times).select("feed_id", "stops", F.posexplode("stops").alias("at", "stop_id"))
+def pairs_of_lists(lists: DataFrame) -> DataFrame:
+    """Distinct (feed, stop, other) of distinct stop lists: other comes later in some list; a loop reaches its own stop."""
+    each = lists.select("feed_id", "stops", F.posexplode("stops").alias("at", "stop_id"))
     later = each.select("feed_id", "stop_id", F.explode(F.slice("stops", F.col("at") + 2, F.size("stops"))).alias("other"))
     return later.distinct()
 
 
+def reachable_pairs(stop_times: DataFrame) -> DataFrame:
+    """Distinct (feed, stop, other): other comes later in some trip."""
+    return pairs_of_lists(distinct_patterns(stop_times))
+
+
 def destination_counts(pairs: DataFrame) -> DataFrame:
     """(feed, stop, destinations) from reachable pairs."""
     return pairs.groupBy(*STOP).agg(F.count("*").alias("destinations"))
 
 
-def stop_neighbors(stop_times: DataFrame) -> DataFrame:
-    """Distinct (feed, stop, other): neighbours in some trip, in either direction, other than the stop itself."""
-    hops = numbered_visits(stop_times).where("next_stop is not null and next_stop <> stop_id").select("feed_id", "stop_id", F.col("next_stop").alias("other")).distinct()
+def neighbors_of_lists(lists: DataFrame) -> DataFrame:
+    """Distinct (feed, stop, other) of stop lists: neighbours in some list, in either direction, other than the stop itself."""
+    each = lists.select("feed_id", "stops", F.posexplode("stops").alias("at", "stop_id")).withColumn("other", F.get("stops", F.col("at") + 1))
+    hops = each.where("other is not null and other <> stop_id").select("feed_id", "stop_id", "other").distinct()
     return hops.unionByName(hops.select("feed_id", F.col("other").alias("stop_id"), F.col("stop_id").alias("other"))).distinct()
 
 
+def stop_neighbors(stop_times: DataFrame) -> DataFrame:
+    """Distinct (feed, stop, other): neighbours in some trip, in either direction."""
+    return neighbors_of_lists(distinct_patterns(stop_times))
+
+
 def exclusive_destinations(pairs: DataFrame, neighbors: DataFrame) -> DataFrame:
     """(feed, stop, other): reachable from the stop and from none of its neighbours."""
     of_neighbors = neighbors.join(pairs.select("feed_id", F.col("stop_id").alias("other"), F.col("other").alias("dest")), ["feed_id", "other"]).select("feed_id", "stop_id", F.col("dest").alias("other"))

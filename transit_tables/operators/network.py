@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import REF_LAT, opposite_stop_id, planar_distance, ruler_bearing, ruler_distance_km, walking_minutes
+from ..tables import save
 
 VARIANT = ["feed_id", "route_id", "destination", "variant_idx"]
 
@@ -82,31 +85,43 @@ def stop_order_key(name, ord_):
     return F.struct(is_interchange(name).cast("int"), ord_)
 
 
-def nearest_stop(stops: DataFrame, cell: float = 0.02, rings: int = 3) -> DataFrame:
+def nearest_stop(stops: DataFrame, cell: float = 0.02) -> DataFrame:
     """(feed, stop, nearest, degrees) by planar distance, self excluded; distances that agree
     in nine decimals are ties, which go to the first in stop order.
 
     Stops meet those of neighbouring cells first. A stop whose nearest is farther
-    than the cells surely cover meets cells of four times the size next, ``rings``
-    times; the last round has one cell for a feed's remaining stops.
+    than the cells surely cover meets cells of four times the size next, until the cells
+    are as large as the widest feed. Stops left for a round are farther from each other
+    than the last cells were wide, so few of them share a cell, however many others do.
     """
     base = stops.where("lon is not null and lat is not null").select("feed_id", "stop_id", "lon", "lat", stop_order_key(F.col("name"), F.col("ord")).alias("key"))
-    todo, done, size = base, None, cell
-    for i in range(rings + 1):
-        last = i == rings
-        cx, cy = (F.lit(0), F.lit(0)) if last else (F.floor(F.col("lon") / size), F.floor(F.col("lat") / size))
-        near = base.select("feed_id", F.col("stop_id").alias("other"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("key").alias("other_key"), cx.alias("cx"), cy.alias("cy"))
-        steps = F.array(F.lit(0)) if last else F.array(*(F.lit(k) for k in (-1, 0, 1)))
-        mine = todo.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumn("cx", cx + F.col("dx")).withColumn("cy", cy + F.col("dy"))
-        d = planar_distance(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))
-        best = mine.join(near, ["feed_id", "cx", "cy"]).where("stop_id <> other").groupBy("feed_id", "stop_id").agg(F.min(F.struct(F.round(d, 9).alias("near"), "other_key", "other", d.alias("degrees"))).alias("b"))
-        found = best.select("feed_id", "stop_id", F.col("b.other").alias("nearest"), F.col("b.degrees").alias("degrees"))
-        found = found if last else found.where(F.col("degrees") <= size)
-        done = found if done is None else done.unionByName(found)
-        if not last:
-            todo = todo.join(found, ["feed_id", "stop_id"], "left_anti")
-            size *= 4
-    return done
+    box = base.groupBy("feed_id").agg((F.max("lon") - F.min("lon")).alias("wide"), (F.max("lat") - F.min("lat")).alias("high"))
+    widest = box.agg(F.max(F.greatest("wide", "high"))).first()[0] or 0.0
+    todo, found, size = base, [], cell
+    while True:
+        last = size > widest
+        met = _nearest_in_cells(todo, base, size)
+        met = save(met if last else met.where(F.col("degrees") <= size), "nearest")
+        found.append(met)
+        if last:
+            break
+        todo = save(todo.join(met, ["feed_id", "stop_id"], "left_anti"), "todo")
+        if not todo.limit(1).count():
+            break
+        size *= 4
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest_in_cells(todo: DataFrame, base: DataFrame, size: float) -> DataFrame:
+    """(feed, stop, nearest, degrees) among the stops in a stop's cell and those around it."""
+    cx, cy = F.floor(F.col("lon") / size), F.floor(F.col("lat") / size)
+    around = F.array(*(F.lit(k) for k in (-1, 0, 1)))
+    near = base.select("feed_id", F.col("stop_id").alias("other"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("key").alias("other_key"), cx.alias("cx"), cy.alias("cy"))
+    mine = todo.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumn("cx", cx + F.col("dx")).withColumn("cy", cy + F.col("dy"))
+    degrees = planar_distance(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))
+    best = F.min(F.struct(F.round(degrees, 9).alias("near"), "other_key", "other", degrees.alias("degrees"))).alias("b")
+    met = mine.join(near, ["feed_id", "cx", "cy"]).where("stop_id <> other").groupBy("feed_id", "stop_id").agg(best)
+    return met.select("feed_id", "stop_id", F.col("b.other").alias("nearest"), F.col("b.degrees").alias("degrees"))
 
 
 def journey_options(patterns: DataFrame, stops: DataFrame, pairs: DataFrame, ref_lat: float = REF_LAT) -> DataFrame:

@@ -34,7 +34,7 @@ def route_keys(s, d):
 
 def variant_similarity(s, d):
     """How alike the first two variants to each destination are."""
-    known = q._patterns(s, d).select("feed_id", "route_id", "destination", "variant_idx", "stops")
+    known = q.save(q._patterns(s, d).where("variant_idx < 2").select("feed_id", "route_id", "destination", "variant_idx", "stops"), "variants")
     a, b = (known.where(F.col("variant_idx") == i).select("feed_id", "route_id", "destination", F.col("stops").alias(x)) for i, x in enumerate("ab"))
     return a.join(b, ["feed_id", "route_id", "destination"]).select("feed_id", "route_id", "destination", F.round(order.jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"))
 
@@ -108,16 +108,12 @@ def stop_rings(s, d):
     return rings.select("feed_id", "stop_id", "corner", F.round(F.get("p", F.lit(0)), 8).alias("lon"), F.round(F.get("p", F.lit(1)), 8).alias("lat"))
 
 
-def _top(s, d):
-    return diagram.top_routes(diagram.drop_terminating(q._routes_at_stops(s, d)), q._scores(s, d))
-
-
 def prefix_groups(s, d):
-    return diagram.prefix_groups(diagram.forward(_top(s, d)), q._stops(s, d))
+    return diagram.prefix_groups(diagram.forward(q._top_routes(s, d)[0]), q._stops(s, d))
 
 
 def forward_id_order(s, d):
-    return diagram.order_by_forward_ids(_top(s, d))
+    return diagram.order_by_forward_ids(q._top_routes(s, d)[0])
 
 
 def ranking_rows(s, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clock, geo
 from ..functions.order import schedule_sort_key, service_sort_key
 from ..operators import diagram, feeds, graphs, importance, live, network, pairing, patterns, report, schedule, search, shapes
+from ..tables import save
 from .fixtures import DIRECTED, PATTERNS, VISITS, load, oracle
 
 NOW_HHMM = "08:00"
@@ -18,9 +19,16 @@ def _trips(s, d):
     return routes, feeds.with_direction(trips), times
 
 
-def _patterns(s, d):
+def _read_once(s, d):
+    """Directed trips and visits, saved, for queries that use them more than once."""
     _, directed, times = _trips(s, d)
-    return patterns.service_patterns(directed.where(F.col("direction").isin("0", "1")), times)
+    return save(directed, "trips"), save(times, "visits")
+
+
+def _patterns(s, d, base=None):
+    directed, times = base or _trips(s, d)[1:]
+    known = patterns.service_patterns(directed.where(F.col("direction").isin("0", "1")), times)
+    return save(known, "patterns") if base else known
 
 
 def _stops(s, d):
@@ -28,14 +36,14 @@ def _stops(s, d):
     return stops.select("feed_id", "stop_id", F.col("stop_lon").alias("lon"), F.col("stop_lat").alias("lat"), F.col("stop_name").alias("name"), "ord")
 
 
-def _schedule(s, d):
-    _, directed, times = _trips(s, d)
-    return schedule.stop_schedule(directed, times)
+def _schedule(s, d, base=None):
+    return schedule.stop_schedule(*(base or _trips(s, d)[1:]))
 
 
-def _scores(s, d):
-    pairs = importance.reachable_pairs(load(s, d, "stop_times")[0])
-    return importance.destination_counts(pairs).select("feed_id", "stop_id", F.col("destinations").cast("double").alias("score"))
+def _scores(s, d, base=None):
+    pairs = importance.reachable_pairs(base[1] if base else load(s, d, "stop_times")[0])
+    scores = importance.destination_counts(pairs).select("feed_id", "stop_id", F.col("destinations").cast("double").alias("score"))
+    return save(scores, "scores") if base else scores
 
 
 def _unnamed(s, d):
@@ -61,13 +69,28 @@ def service_span(s, d):
 
 
 def stop_importance(s, d):
-    (times,) = load(s, d, "sparse_times")
-    scored = importance.stop_importance(importance.reachable_pairs(times), importance.stop_neighbors(times))
+    lists = save(importance.distinct_patterns(load(s, d, "sparse_times")[0]), "lists")
+    pairs, around = save(importance.pairs_of_lists(lists), "pairs"), save(importance.neighbors_of_lists(lists), "neighbors")
+    scored = save(importance.stop_importance(pairs, around), "importance")
     return importance.normalize_0_100(scored).select("feed_id", "stop_id", "destinations", "neighbors", "exclusive", F.round("importance", 6).alias("importance"), F.round("score", 6).alias("score"))
 
 
+def _requests(s, d):
+    return save(load(s, d, "requests")[0], "requests")
+
+
+def journeys_one_transfer(s, d):
+    known = save(_patterns(s, d), "patterns")
+    return network.journeys_one_transfer(known, _requests(s, d)).withColumn("transfers", F.array_join("transfers", ","))
+
+
 def journey_options(s, d):
-    return network.journey_options(_patterns(s, d), _stops(s, d), load(s, d, "requests")[0])
+    return network.journey_options(save(_patterns(s, d), "patterns"), save(_stops(s, d), "stops"), _requests(s, d))
+
+
+def _stop_destinations(s, d):
+    base = _read_once(s, d)
+    return network.stop_destinations(network.stop_index(_patterns(s, d, base)), _schedule(s, d, base))
 
 
 def _live(s, d):
@@ -90,17 +113,26 @@ def arrivals_with_fallback(s, d):
     return live.arrivals_with_fallback(some, static).select("feed_id", "stop_id", "no", "destination", "frequency", F.col("next.duration_ms").alias("next_ms"), "live")
 
 
-def _routes_at_stops(s, d):
-    known = _patterns(s, d)
-    return diagram.trips_at_stop(diagram.routes_for_stop(known), _schedule(s, d), known)
+def _routes_at_stops(s, d, base):
+    known = _patterns(s, d, base)
+    return diagram.trips_at_stop(diagram.routes_for_stop(known), _schedule(s, d, base), known)
+
+
+def _top_routes(s, d, ending=False):
+    """The top routes at each stop, and the stops' scores; without routes that end at the stop unless ``ending``."""
+    base = _read_once(s, d)
+    at, scores = _routes_at_stops(s, d, base), _scores(s, d, base)
+    return save(diagram.top_routes(at if ending else diagram.drop_terminating(at), scores), "top"), scores
 
 
 def top_routes(s, d):
-    return diagram.top_routes(diagram.drop_terminating(_routes_at_stops(s, d)), _scores(s, d)).select("feed_id", "stop_id", "route_id", "destination", "trips", "place")
+    return _top_routes(s, d)[0].select("feed_id", "stop_id", "route_id", "destination", "trips", "place")
 
 
 def stop_diagram(s, d):
-    return diagram.stop_diagram(_routes_at_stops(s, d), _scores(s, d)).select("feed_id", "stop_id", "other", F.round("avg_position", 6).alias("avg_position"), "routes")
+    base = _read_once(s, d)
+    rows = diagram.stop_diagram(_routes_at_stops(s, d, base), _scores(s, d, base))
+    return rows.select("feed_id", "stop_id", "other", F.round("avg_position", 6).alias("avg_position"), "routes")
 
 
 def run_segments(s, d):
@@ -127,14 +159,26 @@ def shape_lengths(s, d):
     return shapes.shape_lengths(_shape_points(s, d)).select("feed_id", "shape_id", F.round("km", 6).alias("km"))
 
 
-def assign_levels(s, d):
-    members = graphs.route_stops(_patterns(s, d))
+def _members(s, d):
+    return save(graphs.route_stops(_patterns(s, d)), "members")
+
+
+def _levels(s, d, members):
     lengths = shapes.shape_lengths(_shape_points(s, d)).withColumn("route_id", F.regexp_replace("shape_id", "-[^-]*$", "")).groupBy("feed_id", "route_id").agg(F.min("km").alias("priority"))
     return graphs.assign_levels(members, lengths)
 
 
+def assign_levels(s, d):
+    return _levels(s, d, _members(s, d))
+
+
+def stop_levels(s, d):
+    members = _members(s, d)
+    return graphs.stop_levels(members, _levels(s, d, members), _stops(s, d))
+
+
 def cluster_routes(s, d):
-    return graphs.cluster_routes(graphs.route_stops(_patterns(s, d)))
+    return graphs.cluster_routes(_members(s, d))
 
 
 def snap_to_shapes(s, d):
@@ -182,10 +226,10 @@ QUERIES = {
     "stop_neighbors": lambda s, d: importance.stop_neighbors(load(s, d, "sparse_times")[0]),
     "stop_importance": stop_importance,
     "stop_index": lambda s, d: network.stop_index(_patterns(s, d), _stops(s, d)),
-    "stop_destinations": lambda s, d: network.stop_destinations(network.stop_index(_patterns(s, d)), _schedule(s, d)).withColumn("services", F.array_join("services", ",")),
+    "stop_destinations": lambda s, d: _stop_destinations(s, d).withColumn("services", F.array_join("services", ",")),
     "services_per_stop": lambda s, d: network.services_per_stop(network.stop_index(_patterns(s, d))).withColumn("services", F.array_join("services", ",")),
-    "journeys_direct": lambda s, d: network.journeys_direct(_patterns(s, d), load(s, d, "requests")[0]),
-    "journeys_one_transfer": lambda s, d: network.journeys_one_transfer(_patterns(s, d), load(s, d, "requests")[0]).withColumn("transfers", F.array_join("transfers", ",")),
+    "journeys_direct": lambda s, d: network.journeys_direct(save(_patterns(s, d), "patterns"), _requests(s, d)),
+    "journeys_one_transfer": journeys_one_transfer,
     "nearest_stop": lambda s, d: network.nearest_stop(_stops(s, d)).withColumn("degrees", F.round("degrees", 9)),
     "journey_options": journey_options,
     "opposite_side": lambda s, d: network.with_opposite_side(_stops(s, d)),
@@ -205,19 +249,19 @@ QUERIES = {
     "stop_diagram": stop_diagram,
     "run_segments": run_segments,
     "major_stops": major_stops,
-    "route_similarity": lambda s, d: graphs.route_similarity(graphs.route_stops(_patterns(s, d)), 0.2).withColumn("jaccard", F.round("jaccard", 9)),
+    "route_similarity": lambda s, d: graphs.route_similarity(_members(s, d), 0.2).withColumn("jaccard", F.round("jaccard", 9)),
     "cluster_routes": cluster_routes,
     "shape_round_trip": shape_round_trip,
     "shape_lengths": shape_lengths,
     "assign_levels": assign_levels,
-    "route_groups": lambda s, d: graphs.route_groups(graphs.route_stops(_patterns(s, d)), _stops(s, d)),
+    "route_groups": lambda s, d: graphs.route_groups(_members(s, d), _stops(s, d)),
     "snap_to_shapes": snap_to_shapes,
     "service_order": lambda s, d: _order(s, d, service_sort_key),
     "schedule_order": lambda s, d: _order(s, d, schedule_sort_key),
     "top_stops": lambda s, d: importance.top_stops(_scores(s, d)),
     "pair_opposite_stops": lambda s, d: pairing.pair_opposite_stops(_patterns(s, d)),
-    "stop_levels": lambda s, d: graphs.stop_levels(graphs.route_stops(_patterns(s, d)), assign_levels(s, d), _stops(s, d)),
-    "shared_prefix_order": lambda s, d: diagram.order_by_shared_prefix(diagram.top_routes(_routes_at_stops(s, d), _scores(s, d)), _stops(s, d)),
+    "stop_levels": stop_levels,
+    "shared_prefix_order": lambda s, d: diagram.order_by_shared_prefix(_top_routes(s, d, ending=True)[0], _stops(s, d)),
     "fuzzy_search": fuzzy_search,
     "feed_report": feed_report,
     "unknown_references": lambda s, d: feeds.unknown_references(load(s, d, "trips")[0], load(s, d, "stop_times")[0].where("stop_id <> 'S3'"), load(s, d, "routes")[0], _stops(s, d).where("stop_id <> 'S7'").select("feed_id", "stop_id", F.col("lat").alias("stop_lat"), F.expr("if(stop_id = 'S9', null, lon)").alias("stop_lon"))),

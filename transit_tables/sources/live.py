@@ -25,13 +25,21 @@ def read_payloads(spark: SparkSession, path: str, schema: str, stream: bool = Fa
     return reader.schema(schema).option("multiLine", True).json(path)
 
 
-def arrivals_rows(payloads: DataFrame, now, feed_id: str = "live") -> DataFrame:
-    """Canonical predictions of successful payloads; ``now`` is a UTC timestamp column without zone."""
-    rows = payloads.where("Issuccess").select("station", F.posexplode("data").alias("ord", "d"))
-    return rows.select(
-        F.lit(feed_id).alias("feed_id"), F.col("station").alias("stop_id"), F.col("d.routeno").alias("no"), F.col("d.tostationname").alias("destination"), duration_ms(parse_ist(F.col("d.arrivaltime")), now).alias("duration_ms"),
-        F.col("d.vehicleid").alias("vehicle_id"), "d.devicestatusflag", F.col("ord").cast("long").alias("ord"), F.col("d.fromstationname").alias("origin_code"), F.col("d.busno").alias("bus_no"),
-    ).where("no <> ''")
+def arrivals_rows(payloads: DataFrame, now, feed_id: str = "live", snapshot=None) -> DataFrame:
+    """Canonical predictions of successful payloads; ``now`` is a UTC timestamp column without zone.
+
+    ``snapshot``, a column of the payloads, becomes ``snapshot_id`` for the matching of
+    buses from one refresh to the next. Rows without a number are left out.
+    """
+    marks = [] if snapshot is None else [snapshot.cast("long").alias("snapshot_id")]
+    rows = payloads.where("Issuccess").select("station", *marks, F.posexplode("data").alias("ord", "d"))
+    d = lambda c: F.col(f"d.{c}")
+    canonical = {
+        "feed_id": F.lit(feed_id), "stop_id": F.col("station"), "no": d("routeno"), "destination": d("tostationname"), "duration_ms": duration_ms(parse_ist(d("arrivaltime")), now),
+        "vehicle_id": d("vehicleid"), "devicestatusflag": d("devicestatusflag"), "ord": F.col("ord").cast("long"), "type": F.lit("SD"), "feature": F.lit("WAB"), "visit_number": F.lit(1),
+        "origin_code": d("fromstationname"), "destination_code": d("tostationname"), "bus_no": d("busno"),
+    }
+    return rows.select(*(c.alias(n) for n, c in canonical.items()), *(["snapshot_id"] if marks else [])).where("no <> ''")
 
 
 def vehicle_rows(payloads: DataFrame, feed_id: str = "live") -> DataFrame:
