@@ -31,5 +31,6 @@ def route_key(service: Column, destination: Column, variant: Column) -> Column:
 
 
 def split_route_key(key: Column) -> Column:
-    parts = F.split(key, r"\|")
-    return F.struct(parts[0].alias("service"), parts[1].alias("destination"), parts[2].try_cast("int").alias("variant_idx"))
+    """Struct of service, destination and variant; parts that a key lacks are null."""
+    part = lambda i: F.get(F.split(key, r"\|"), F.lit(i))
+    return F.struct(part(0).alias("service"), part(1).alias("destination"), part(2).try_cast("int").alias("variant_idx"))
