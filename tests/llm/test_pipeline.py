@@ -173,3 +173,25 @@ def test_scores_are_those_of_plain_loops(spark):
     got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx(naive_score(model, t), abs=1e-6), repr(t)
+
+
+def test_training_is_bounded_whatever_repeats(spark):
+    """Repeated ids and very long texts add nothing beyond the sample's bound, and rows in another order give the same model."""
+    data = [(i, ("gut wort. " if i % 2 else "BAD!! ##") * (20 + i), 1) for i in range(60)]
+    long = [(1, "gut wort. " * 30_000, 1), (1, "gut wort. " * 21, 1), (None, "x", 1)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(7, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(data + long * 3, "doc_id long, text string, n int")
+    seen = []
+
+    class Model(quality.AttentionModel):
+        def fit(self, bags, y, **options):
+            seen.append((sorted(map(len, bags)), sorted(y)))
+            super().fit(bags, y, **options)
+
+    kept, quality.AttentionModel = quality.AttentionModel, Model
+    try:
+        a, b = (quality.train(d, labels, each_label=25, each_document=9) for d in (docs, docs.orderBy("text", ascending=False)))
+    finally:
+        quality.AttentionModel = kept
+    assert all(len(sizes) <= 50 and max(sizes) <= 9 and sum(y) <= 25 for sizes, y in seen) and seen[0] == seen[1]
+    assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p)

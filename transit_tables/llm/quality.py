@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 PASSAGE = 64
 #: Labelled documents of either label to learn from, at most: the training set's bound.
 EACH_LABEL = 1500
+#: Passages of a document to learn from, at most: longer ones give as many, evenly spaced. All passages are scored.
+EACH_DOCUMENT = 64
 ACCEPT = 0.7
 #: Character classes: each string is one, other ASCII punctuation one, bytes from 128 one.
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\f", "\n", ".,;:", "!?", "*", "#", "$", "%&", "|", "'\"()-")
@@ -115,22 +117,32 @@ class AttentionModel:
                     self.p[k] -= rate * (0.5 if epoch > epochs // 2 else 1) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
 
-def _encoded(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["label", "passages"])
+def _encoded(most: int):
+    """Features of up to ``most`` passages of each text, evenly spaced."""
 
+    def over(batches):
+        for batch in batches:
+            found = [features(t) for t in batch.column(1).to_pylist()]
+            some = [x if len(x) <= most else x[np.linspace(0, len(x) - 1, most).astype(int)] for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in some], pa.binary())], names=["label", "passages"])
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", each_label: int = EACH_LABEL):
+    return over
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", each_label: int = EACH_LABEL, each_document: int = EACH_DOCUMENT):
     """A model learnt from up to ``each_label`` documents of either label, or the share of label 1 if only one occurs.
 
     The sample is taken by a hash of the id. Ids that are null or whose labels are
-    null or contradict each other are left out.
+    null or contradict each other are left out. Of rows that repeat an id, one text is
+    learnt from, that of the smallest hash. So the driver gets at most twice ``each_label``
+    times ``each_document`` passages.
     """
     known = labels.where(f"`{id_col}` is not null").groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("top")).where("label = top and label in (0, 1)")
     sampled = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(each_label).select("id", "label") for y in (0, 1)]
     picked = sampled[0].unionByName(sampled[1])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").select("label", "text", "id")
-    got = rows.select("label", "text").mapInArrow(_encoded, "label int, passages binary").collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
+    once = rows.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = once.select("label", "text").mapInArrow(_encoded(each_document), "label int, passages binary").collect()
     bags = [np.frombuffer(r.passages, np.float32).reshape(-1, WIDTH) for r in got]
     y = np.array([r.label for r in got], float)
     if len(set(y)) < 2:
