@@ -153,6 +153,8 @@ def test_graphs(spark):
     clusters = graphs.cluster_routes(members)
     assert rows(clusters, "route_id", "cluster", "size") == [("1", "1", 3), ("2", "1", 3), ("3", "3", 1), ("4", "1", 3), ("5", "5", 1)]
     assert [r.route_id for r in graphs.order_cluster(clusters, alike).where("cluster = '1'").orderBy("place").collect()] == ["2", "1", "4"]
+    with pytest.raises(ValueError):
+        graphs.order_cluster(clusters, alike, most=2)
     prio = spark.createDataFrame([("f", "1", 3.0), ("f", "2", 1.0), ("f", "4", 2.0)], "feed_id string, route_id string, priority double")
     levels = graphs.assign_levels(members, prio)
     assert rows(levels, "route_id", "level") == [("1", 2), ("2", 1), ("3", 1), ("4", 2), ("5", 1)]
