@@ -53,11 +53,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 def delete(spark: SparkSession, *tables: DataFrame) -> None:
     """Remove saved tables that no later step reads."""
+    delete_folders(spark, *{f.rsplit("/", 1)[0] for table in tables for f in table.inputFiles()})
+
+
+def delete_folders(spark: SparkSession, *folders: str) -> None:
     jvm = spark.sparkContext._jvm
-    for table in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, delete, partitions, save
 
@@ -35,21 +36,29 @@ def plan(largest: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def _vectors(batches):
-    """Rows with a node: the hash of label and vector, null if the vector links with nothing."""
-    for batch in batches:
-        nodes, packed = [], []
-        for label, values in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            ok = label is not None and values and None not in values
-            x = np.array(values if ok else [], np.float64) + 0.0  # -0.0 is 0.0
-            ok = ok and bool(np.isfinite(x).all()) and bool(x.any())
-            data = x.tobytes() if ok else None
-            nodes.append(xxhash.xxh3_64_intdigest(repr(label).encode() + b"|" + data) - (1 << 63) if ok else None)
-            packed.append(data)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], names=["id", "label", "node", "vector"])
+def _vectors(kind: str):
+    """Rows with a node: the hash of label and vector, null if the vector links with nothing; components are packed as ``kind``."""
 
+    def over(batches):
+        for batch in batches:
+            nodes, packed = [], []
+            for label, values in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                ok = label is not None and values and None not in values
+                x = np.array(values if ok else [], np.float64) + 0.0  # -0.0 is 0.0
+                ok = ok and bool(np.isfinite(x).all()) and bool(x.any())
+                nodes.append(xxhash.xxh3_64_intdigest(repr(label).encode() + b"|" + x.tobytes()) - (1 << 63) if ok else None)
+                packed.append(x.astype(kind).tobytes() if ok else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], names=["id", "label", "node", "vector"])
+
+    return over
+
+
+def sign_kind(bits: int) -> str:
+    """The smallest unsigned integers that hold a table's signs."""
+    return "<u1" if bits <= 8 else "<u2" if bits <= 16 else "<u4"
 
-def _signed(bits: int, tables: int):
+
+def _signed(bits: int, tables: int, kind: str):
     planes: dict[int, np.ndarray] = {}
 
     def over(batches):
@@ -57,36 +66,39 @@ def _signed(bits: int, tables: int):
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             out = []
             for data in cols["vector"].to_pylist():
-                x = np.frombuffer(data)
+                x = np.frombuffer(data, kind).astype(np.float64)
                 if len(x) not in planes:
                     planes[len(x)] = np.random.default_rng([SEED, len(x)]).normal(size=(tables * bits, len(x)))
                 up = (planes[len(x)] @ (x / np.abs(x).max()) > 0).reshape(tables, bits)
-                out.append((up @ (1 << np.arange(bits))).astype("<u4").tobytes())
+                out.append((up @ (1 << np.arange(bits))).astype(sign_kind(bits)).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "signs"])
 
     return over
 
 
-def _exploded(batches):
-    for batch in batches:
-        cols = batch.to_pydict()
-        rows = [(i, t, int(s)) for i, signs in enumerate(cols["signs"]) for t, s in enumerate(np.frombuffer(signs, "<u4"))]
-        if rows:
-            i, t, s = (np.array(x) for x in zip(*rows, strict=True))
-            taken = [c.take(pa.array(i)) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays([*taken, pa.array(t, pa.int32()), pa.array(s, pa.int64())], names=[*batch.schema.names, "tab", "sign"])
+def _exploded(bits: int):
+    def over(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                signs = np.frombuffer(b"".join(batch.column("signs").to_pylist()), sign_kind(bits)).astype(np.int64)
+                tables = len(signs) // n
+                taken = batch.take(pa.array(np.repeat(np.arange(n), tables)))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(signs)], names=[*batch.schema.names, "tab", "sign"])
+
+    return over
 
 
 KEY = ("label", "dim", "tab", "sign", "bi", "bj")
 
 
-def _linked(cosine: float):
+def _linked(cosine: float, bits: int, kind: str):
     """Streams pieces of work that lie together in the partition; out: links and a local root of each node that has links."""
 
     def links(key, rows):
-        nodes, x = np.array([r[0] for r in rows]), np.array([np.frombuffer(r[2]) for r in rows])
+        nodes, x = np.array([r[0] for r in rows]), np.array([np.frombuffer(r[2], kind) for r in rows], np.float64)
         weight, block = np.array([r[1] for r in rows]), np.array([r[4] for r in rows])
-        signs = np.array([np.frombuffer(r[3], "<u4") for r in rows])
+        signs = np.array([np.frombuffer(r[3], sign_kind(bits)) for r in rows])
         x = x / np.abs(x).max(1, keepdims=True)
         x /= np.sqrt((x * x).sum(1, keepdims=True))
         near = x @ x.T >= cosine
@@ -149,21 +161,23 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = save(rows.mapInArrow(_vectors, f"id {kind}, label string, node long, vector binary"), "vectors")
+    single = isinstance(vectors.schema[vector_col].dataType, T.ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    packed = "<f4" if single else "<f8"  # as exact as the input
+    rows = save(rows.mapInArrow(_vectors(packed), f"id {kind}, label string, node long, vector binary"), "vectors")
     classes = save(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.min("id").alias("least"), F.min("label").alias("label"), F.min("vector").alias("vector")), "classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan(largest, cosine, recall)
 
-    base = classes.select("label", (F.octet_length("vector") / 8).cast("int").alias("dim"), "node", "weight", "vector")
-    signed = save(base.mapInArrow(_signed(bits, tables), "label string, dim int, node long, weight long, vector binary, signs binary"), "signed")
-    narrow = signed.select("label", "dim", "node", "signs").mapInArrow(_exploded, "label string, dim int, node long, signs binary, tab int, sign long")
+    base = classes.select("label", (F.octet_length("vector") / (4 if single else 8)).cast("int").alias("dim"), "node", "weight", "vector")
+    signed = save(base.mapInArrow(_signed(bits, tables, packed), "label string, dim int, node long, weight long, vector binary, signs binary"), "signed")
+    narrow = signed.select("label", "dim", "node", "signs").mapInArrow(_exploded(bits), "label string, dim int, node long, signs binary, tab int, sign long")
     crowded = narrow.groupBy("label", "dim", "tab", "sign").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    each = signed.mapInArrow(_exploded, "label string, dim int, node long, weight long, vector binary, signs binary, tab int, sign long")
+    each = signed.mapInArrow(_exploded(bits), "label string, dim int, node long, weight long, vector binary, signs binary, tab int, sign long")
     dealt = each.join(crowded, ["label", "dim", "tab", "sign"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     work = dealt.select("*", other).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
     work = work.select(*KEY, "node", "weight", "vector", "signs", "block").repartition(partitions(spark), *KEY).sortWithinPartitions(*KEY)
-    found = save(work.mapInArrow(_linked(cosine), "node long, links long, root long"), "links")
+    found = save(work.mapInArrow(_linked(cosine, bits, packed), "node long, links long, root long"), "links")
 
     joined = connected_components(found.select("node", "root"), "node", "root")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
