@@ -377,6 +377,7 @@ def test_bm25(spark, monkeypatch):
 def test_bm25_shard(monkeypatch):
     """A shard's search against plain sums, with ties, few hits, floors of earlier shards, and no common or only common terms."""
     monkeypatch.setattr(bm25, "BLOCK", 8)
+    monkeypatch.setattr(bm25, "SMALL", 2)
     rng = np.random.default_rng(5)
     texts = ["", None, *(" ".join(f"w{int(k)}" for k in rng.zipf(1.4, size=rng.integers(1, 50))) for _ in range(300))]
     texts += texts[10:60]
@@ -391,7 +392,9 @@ def test_bm25_shard(monkeypatch):
         monkeypatch.setattr(bm25, "COMMON", common)
         shard = bm25.Shard(parts, 20.0)
         got = shard.search(queries, np.zeros(len(queries)), 7)
+        shard.postings = shard.touched = 0
         raised = shard.search(queries, np.array([g[-1][0] if len(g) == 7 else 0.0 for g in got]), 7)
+        assert shard.touched < shard.postings or not shard.postings  # blocks are skipped
         for (term, w), have, again in zip(queries, got, raised, strict=True):
             of, scores = dict(zip(term.tolist(), w.tolist(), strict=True)), []
             for who, (t, tf) in zip(ids, bags, strict=True):
