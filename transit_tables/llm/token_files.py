@@ -18,7 +18,6 @@ import io
 import json
 import re
 import uuid
-from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ENTRY, files, new_path, partitions, save
+from .common import files, new_path, partitions, save
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -34,8 +33,8 @@ MAGIC = b"DACTOK01"
 SPAN = 512
 #: Tokens after which a file ends, at the next document.
 FILE_TOKENS = 4_000_000
-#: Bytes of a worker's memories of words and of pieces, and characters of the texts that are encoded together.
-WORDS, PIECES, TOGETHER = 96_000_000, 64_000_000, 2_000_000
+#: Bytes of a worker's memories of words and of pieces, about, and of an entry beside its text; characters of the texts that are encoded together.
+WORDS, PIECES, ENTRY, TOGETHER = 160_000_000, 100_000_000, 200, 2_000_000
 #: What the short cut of ``Tokens`` relies on: the tokenizer's normalizer and pre-tokenizer, and the end of its words. Fixed values.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 CUTS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -83,11 +82,6 @@ class Tokens:
         self.pieces: dict[str, bytes] = {}
         self.held = {"words": 0, "pieces": 0}
 
-    def forget(self) -> None:
-        """At the end of a task, as a worker that waits for its next one may wait long."""
-        self.known, self.pieces, self.held = {}, {}, {"words": 0, "pieces": 0}
-        pa.default_memory_pool().release_unused()
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_words:
             found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
@@ -105,8 +99,8 @@ class Tokens:
         self.known.update((w, of(x[0]) if len(x) == 1 else b"".join(map(of, x))) for w, x in cuts.items())
         if len(cuts) < len(new):
             self.known.update((w, self._one(w)) for w in new.difference(cuts))
-        self.held["words"] += sum(map(getsizeof, new)) + sum(getsizeof(self.known[w]) + ENTRY for w in new)
-        self.held["pieces"] += sum(map(getsizeof, lacking)) + sum(getsizeof(of(p)) + ENTRY for p in lacking)
+        self.held["words"] += sum(map(len, new)) + ENTRY * len(new)
+        self.held["pieces"] += sum(map(len, lacking)) + ENTRY * len(lacking)
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
     def _one(self, word: str) -> bytes:
@@ -197,6 +191,16 @@ class TokenFile:
 MANIFEST = "part int, seq int, path string, docs long, tokens long"
 
 
+_made: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """One for each worker process."""
+    if path not in _made:
+        _made[path] = Tokens(path)
+    return _made[path]
+
+
 def _together(texts: list[str | None]):
     """Ranges of texts of about ``TOGETHER`` characters, or of one text."""
     start = size = 0
@@ -216,7 +220,7 @@ def _written(path: str, folder: str, end: int):
         task = TaskContext.get()
         system, root = files(folder)
         system.create_dir(root, recursive=True)
-        enc, seq = Tokens(path), 0
+        enc, seq = tokens_of(path), 0
         docs, counts, held = [], [], []
 
         def close():
@@ -240,7 +244,6 @@ def _written(path: str, folder: str, end: int):
                         docs, counts, held, total, seq = [], [], [], 0, seq + 1
         if docs:
             yield close()
-        enc.forget()
 
     return over
 
