@@ -22,6 +22,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 CAP = 2.0
 SEED = "mix-1"
+#: Copies of a row that are made from one array.
+REPEATED = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
@@ -85,14 +87,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The rows of ``docs``, each as many times as the mix takes it, with all its columns.
 
     Rows that are equal in every column count together, so a large group of them is
-    one row with a number of copies. Map columns are compared as JSON.
+    one row with a number of copies, which are made ``REPEATED`` at a time. Map columns are compared as JSON.
     """
-    key, n = fresh(docs, "row_key", "row_copies")
+    key, n, lot = fresh(docs, "row_key", "row_copies", "row_lot")
     values = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
     keyed = docs.withColumn(key, F.to_json(F.struct(F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.xxhash64(*values).alias("h"), F.xxhash64(F.lit(1), *values).alias("g")), {"ignoreNullFields": "false"}))
     taken = copies(keyed, id_col=id_col, text_col=text_col, source_col=source_col, carry=key, **options).groupBy(key).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
     each = keyed.dropDuplicates([key]).join(taken, key)
-    return each.withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
+    lots = each.withColumn(lot, F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / REPEATED).cast("int"))))
+    held = F.least(F.lit(REPEATED), F.col(n) - F.col(lot) * REPEATED).cast("int")
+    return lots.withColumn(n, F.explode(F.array_repeat(F.lit(1), held))).select(*docs.columns)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
