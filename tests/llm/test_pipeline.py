@@ -165,6 +165,14 @@ def test_mixed_rows_of_one_id_and_of_no_id(spark):
     assert got[1, "b a", "s"] in (1, 2) and got[None, "a b", "s"] >= 50
 
 
+def test_many_copies_of_one_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATED", 7)
+    docs = spark.createDataFrame([(None, "a", "s")] * 100 + [(1, "a b c", "t")], "doc_id long, text string, source string")
+    got = Counter(tuple(r) for r in mixing.mixed(docs).collect())
+    want = {(r.doc_id, r.source): r["sum(copies)"] for r in mixing.copies(docs).groupBy("doc_id", "source").sum("copies").collect()}
+    assert {(i, s): n for (i, _, s), n in got.items()} == {k: v for k, v in want.items() if v} and max(got.values()) > 49
+
+
 def test_scores_are_those_of_plain_loops(spark):
     rng = random.Random(2)
     texts = [None, "", " \n ", "eins", "A1!! ##", "é ü ß", *(" ".join(rng.choice(["wort", "Wort!", "12", "zwei,", "x" * 25, "wort"]) for _ in range(n)) for n in (63, 64, 65, 300))]
