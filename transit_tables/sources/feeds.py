@@ -174,4 +174,4 @@ def feeds(spark: SparkSession, known=FEEDS) -> DataFrame:
 def with_feed(rows: DataFrame, registry: DataFrame, default: str = "default") -> DataFrame:
     """Rows with a feed of the registry; unknown and null codes become the default."""
     known = registry.select(F.col("feed_id").alias("known"))
-    return rows.join(F.broadcast(known), F.col("feed_id") == F.col("known"), "left").withColumn("feed_id", F.coalesce("known", F.lit(default))).drop("known")
+    return rows.join(known, F.col("feed_id") == F.col("known"), "left").withColumn("feed_id", F.coalesce("known", F.lit(default))).drop("known")
