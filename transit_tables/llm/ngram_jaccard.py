@@ -27,15 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, connected_components, delete, partitions, release, save
+from .common import connected_components, delete, partitions, release, save
 
 WORDS = 5
 #: Sets that share a token at most for it to count as rare, as 16 * log2.
 RARE = 80
 #: Frequent tokens in a prefix, up to which all their pairs are indexed.
 PAIRED = 16
-#: Tokens of one hash range, which one task holds at a time.
-RANGE_TOKENS = 3_000_000
+#: Tokens of one hash range, which one task holds at a time, and ranges at most; only beyond their product ranges grow.
+RANGE_TOKENS, RANGES = 3_000_000, 1 << 20
 #: Tokens gathered from documents before they are dealt to hash ranges.
 FLUSH_TOKENS = 1_000_000
 LOW = np.uint64((1 << 48) - 1)
@@ -48,16 +48,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Hashes of words that a worker has met, within so many bytes.
-_words = Memory(xxhash.xxh64_intdigest, 24_000_000)
-
-
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's k-word shingles; of all words if fewer; empty without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and the six ASCII spaces only
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     k = min(k, len(words))
     n = len(words) - k + 1
     out = np.full(n, k, np.uint64)
@@ -98,18 +94,17 @@ def _dealt(text_col: str, k: int, ranges: int):
     def packed(nodes, found):
         token = np.concatenate(found)
         node = np.repeat(np.arange(len(found), dtype=np.uint32), [len(x) for x in found])
-        part = ((token >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.uint16)
+        part = ((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
         order = np.argsort(part, kind="stable")
         token, node, part = token[order], node[order], part[order]
         names = np.array(nodes, np.int64)
         keys, blobs = [], []
         edges = np.searchsorted(part, np.arange(ranges + 1))
-        for p in range(ranges):
+        for p in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
             s, e = edges[p], edges[p + 1]
-            if s < e:
-                own, counts = _runs(node[s:e])
-                keys.append(p)
-                blobs.append(pack(names[own], counts, token[s:e]))
+            own, counts = _runs(node[s:e])
+            keys.append(p)
+            blobs.append(pack(names[own], counts, token[s:e]))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     def over(batches):
@@ -173,17 +168,16 @@ def _shared(ranges: int):
         node, token = node[keep], token[keep]
         classes = np.minimum(255, 16 * np.log2(df[keep])).astype(np.uint8)
         order = np.argsort(node)
-        order = order[np.argsort((node[order] % ranges).astype(np.uint16), kind="stable")]
-        to = (node % ranges).astype(np.uint16)
+        to = (node % ranges).astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
+        order = order[np.argsort(to[order], kind="stable")]
         node, token, classes, to = node[order], token[order], classes[order], to[order]
         edges = np.searchsorted(to, np.arange(ranges + 1))
         keys, blobs = [], []
-        for p in range(ranges):
+        for p in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
             s, e = edges[p], edges[p + 1]
-            if s < e:
-                own, counts = _runs(node[s:e])
-                keys.append(p)
-                blobs.append(pack(own, counts, token[s:e], classes[s:e]))
+            own, counts = _runs(node[s:e])
+            keys.append(p)
+            blobs.append(pack(own, counts, token[s:e], classes[s:e]))
         return pa.table([pa.array(keys, pa.int64()), pa.array([part] * len(keys), pa.int32()), pa.array(blobs, pa.binary())], names=["to", "part", "blob"])
 
     return over
@@ -197,7 +191,7 @@ def _prefixed(_key, sets, packed):
         for part, blob in zip(packed.column("part").to_pylist(), packed.column("blob"), strict=True):
             own, counts, low, kind = unpack(blob.as_buffer(), True)
             node.append(np.repeat(own, counts))
-            token.append(low | (np.uint64(part) << np.uint64(48)))
+            token.append(low | (np.uint64(part & 0xFFFF) << np.uint64(48)))
             classes.append(kind)
         node, token, classes = np.concatenate(node), np.concatenate(token), np.concatenate(classes)
         _, code = np.unique(node, return_inverse=True)
@@ -225,21 +219,25 @@ def _through_ties(token: np.ndarray, end: int) -> int:
     return end
 
 
-def _signed(batches):
+def _signed(rare_to: int, paired: int):
     """Index rows of each set.
 
     near: in the prefix of the smaller set of a pair. whole: false on single frequent
     tokens of sets whose pairs of tokens are indexed too.
     """
+    return lambda batches: _index_rows(batches, rare_to, paired)
+
+
+def _index_rows(batches, rare_to: int, paired: int):
     for batch in batches:
         columns: list[list] = [[] for _ in range(7)]
         for who, n, slack, prefix, tokens, classes in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "slack", "prefix", "tokens", "classes")), strict=True):
             token, kind = np.frombuffer(tokens, "<u8"), np.frombuffer(classes, np.uint8)
             end = _through_ties(token, prefix)
             short = _through_ties(token, n - (6 * n + 6) // 7 + 1 + slack - (n - len(token)))
-            rare = int((kind[:end] < RARE).sum())
+            rare = int((kind[:end] < rare_to).sum())
             longer = token[rare : min(end + 1, len(token))] if end > rare else token[:0]
-            few = len(longer) <= PAIRED
+            few = len(longer) <= paired
             rows, near = [mix(token[:end])], [np.arange(end) < short]
             whole = [np.arange(end) < rare if few else np.ones(end, bool)]
             if few and len(longer) > 1:
@@ -315,16 +313,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sized = save(rows.mapInArrow(_sizes("id", "text", words), "id long, n_shingles long, node long, slack long"), "sized")
     per_node = sized.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("slack").alias("slack"), F.min("id").alias("least"))
     total = per_node.agg(F.sum("n")).first()[0] or 0
-    ranges = min(1 << 16, partitions(spark, -(-total // RANGE_TOKENS)))
+    ranges = min(RANGES, partitions(spark, -(-total // RANGE_TOKENS)))
 
-    dealt = rows.select("text").mapInArrow(_dealt("text", words, ranges), "part int, blob binary")
-    shared = dealt.groupBy("part").applyInArrow(_shared(ranges), "to long, part int, blob binary")
-    by_node = per_node.select(F.expr(f"pmod(node, {ranges})").alias("to"), "node", "n", "slack")
+    # As many tasks as ranges, whatever the session's number of shuffle partitions is.
+    dealt = rows.select("text").mapInArrow(_dealt("text", words, ranges), "part int, blob binary").repartition(ranges, "part")
+    shared = dealt.groupBy("part").applyInArrow(_shared(ranges), "to long, part int, blob binary").repartition(ranges, "to")
+    by_node = per_node.select(F.expr(f"pmod(node, {ranges})").alias("to"), "node", "n", "slack").repartition(ranges, "to")
     sets = save(by_node.groupBy("to").cogroup(shared.groupBy("to")).applyInArrow(_prefixed, "node long, n long, slack long, prefix long, tokens binary, classes binary"), "sets")
     del dealt, shared
     release(spark)
 
-    index = save(sets.mapInArrow(_signed, "sig long, node long, n long, shared long, central long, near boolean, whole boolean"), "index")
+    index = save(sets.mapInArrow(_signed(RARE, PAIRED), "sig long, node long, n long, shared long, central long, near boolean, whole boolean"), "index")
     lists = index.groupBy("sig").agg(F.max(F.struct("central", "node", F.col("n").alias("m"), F.col("shared").alias("held"), F.col("near").alias("close"))).alias("pivot"), F.count("*").alias("rows"), F.max("whole").alias("whole")).where("whole and rows > 1").select("sig", F.col("pivot.node").alias("b"), F.col("pivot.m").alias("m"), F.col("pivot.held").alias("held"), F.col("pivot.close").alias("close"))
     tried = save(index.join(lists, "sig").where("node <> b").where(FITS).selectExpr(*PAIR).distinct(), "pairs")
     links = save(_verify(tried, sets), "links")
@@ -346,7 +345,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = per_node.join(every, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = save(roots.join(named, "root").select("node", "component_id"), "components")
-    delete(spark, sets, index, tried, open_rows)
+    delete(spark, sets, index, tried, open_rows, links, more, second)
     release(spark)
     out = sized.join(of_node, "node", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
