@@ -92,7 +92,7 @@ class Tokens:
         if self.held["pieces"] > PIECES:
             self.pieces, self.held["pieces"] = {}, 0
         new = set().union(*words).difference(self.known)
-        cuts = {w: self.cut(w.lower()) for w in new if self.plain(w) and "<|" not in w}
+        cuts = {w: [w.lower()] if w.isalpha() else self.cut(w.lower()) for w in new if self.plain(w) and "<|" not in w}
         lacking = set().union(*cuts.values()).difference(self.pieces)
         self._learn(sorted(lacking))
         of = self.pieces.__getitem__
