@@ -55,8 +55,9 @@ TURNS = 0.65
 FAILS = 0.01
 #: Expected share of false ones among the tokens found.
 DISCOVERIES = 0.05
-#: Length from which a token's weight grows no more, and steps of evidence for a factor of e.
-WEIGHT, STEPS = 64, 100
+#: Length from which a token's weight grows no more, steps of evidence for a factor of e, and steps beyond which more
+#: evidence makes no difference (a factor of e to the 100th, while the control asks for less than that for any table).
+WEIGHT, STEPS, ENOUGH = 64, 100, 10_000
 
 
 def kind_of(c: str) -> int:
@@ -179,7 +180,7 @@ def weight(size: int) -> int:
 
 def step(log_e: float, size: int) -> int:
     """Weighed evidence in whole steps, rounded down, so that what it stands for is an e-value still."""
-    return math.floor(STEPS * (log_e + math.log(weight(size))))
+    return max(-ENOUGH, min(ENOUGH, math.floor(STEPS * (log_e + math.log(weight(size))))))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -227,7 +228,7 @@ def least_evidence(docs: DataFrame, text_col: str = "text", share: float = DISCO
 
     Over all distinct tokens of the table: the most tokens k, each with an e-value times
     its weight of at least (sum of weights) / (k * share). Infinite if there are none.
-    The driver gets a count for each step of evidence, not the tokens.
+    The driver gets a count for each step of evidence, at most twice ``ENOUGH`` rows, not the tokens.
     """
     tested = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_tested, "token long, size long, steps long")
     once = tested.groupBy("token").agg(F.max("size").alias("size"), F.max("steps").alias("steps"))
