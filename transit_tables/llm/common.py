@@ -6,6 +6,7 @@ Steps that are read more than once are written as Parquet below the folder of
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import re
 import uuid
@@ -142,6 +143,17 @@ class Memory(dict):
         self.old, self.room = {}, self.half
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def files(uri: str):
     """The file system and path of a folder's URI, for tasks that write a format Spark has no writer for."""
     from pyarrow import fs
