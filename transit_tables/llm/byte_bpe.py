@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memory
+from .common import Memory, trim
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of a worker's memory of segments, and entries (about 120 bytes) of that of pairs of tokens.
@@ -99,7 +99,7 @@ class Encoder:
     def forget(self) -> None:
         """At the end of a task, as a worker that waits for its next one may wait long."""
         self.known.forget()
-        pa.default_memory_pool().release_unused()
+        trim()
 
     def longest(self, text: str, place: int) -> int | None:
         """The longest token at a place of a piece's bytes as Latin-1."""
