@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bm25, byte_bpe, mixing, near_vectors, ngram_jaccard, quality, secrets, token_files, url_rules, warc
+from . import bm25, byte_bpe, mixing, near_vectors, ngram_jaccard, quality, secrets, token_files, url_rules, warc, word_table
 
 
 def _table(spark, sf_dir, name):
@@ -20,6 +20,7 @@ QUERIES = {
     "op8_url_rules": lambda s, d: url_rules.judge(_table(s, d, "pages"), url_rules.rule_table(s)),
     "op9_bm25": lambda s, d: bm25.search_documents(_table(s, d, "documents")),
     "op10_near_vectors": lambda s, d: near_vectors.near_vectors(_table(s, d, "embeddings")),
+    "op13_word_bpe": lambda s, d: word_table.digests(_table(s, d, "documents")),
 }
 
 ORACLE = {
