@@ -12,7 +12,7 @@ import re
 import uuid
 from sys import getsizeof
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in local tests.
@@ -74,6 +74,24 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), least)
 
 
+def ranked(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Adds ``pos``, a row's place (from 0) among those of its key in ascending order, nulls first, and ``n``, their number.
+
+    Rows are sorted in ranges over all keys, counted for each key and range, and the counts of earlier ranges
+    added, so a key may have any share of the rows. Rows equal in ``key`` and ``order`` take their places in any one order.
+    """
+    spark = rows.sparkSession
+    tie, by = F.monotonically_increasing_id(), [F.col(key), *map(F.col, order)]
+    dealt = rows.withColumn("tie", tie).repartitionByRange(partitions(spark), *by, "tie").sortWithinPartitions(*by, "tie").drop("tie")
+    kept = save(dealt.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), "ranked")
+    counts = kept.groupBy(key, "part").agg(F.count("*").alias("here"), F.min("seq").alias("first"))
+    all_parts = Window.partitionBy(key)
+    before = F.coalesce(F.sum("here").over(all_parts.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(key).alias("of"), F.col("part").alias("in"), (before - F.col("first")).alias("shift"), F.sum("here").over(all_parts).alias("n"))
+    joined = kept.join(starts, F.col("part").eqNullSafe(F.col("in")) & F.col(key).eqNullSafe(F.col("of")))
+    return joined.withColumn("pos", F.col("seq") + F.col("shift")).drop("part", "seq", "of", "in", "shift")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every node of ``edges``; component is its smallest reachable node.
 
