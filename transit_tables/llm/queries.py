@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bm25, byte_bpe, merkle, mixing, near_vectors, ngram_jaccard, quality, secrets, token_files, url_rules, warc, word_table
+from . import bm25, byte_bpe, merkle, mixing, near_vectors, ngram_jaccard, quality, repair, secrets, token_files, url_rules, warc, word_table
 
 
 def _table(spark, sf_dir, name):
@@ -20,6 +20,7 @@ QUERIES = {
     "op8_url_rules": lambda s, d: url_rules.judge(_table(s, d, "pages"), url_rules.rule_table(s)),
     "op9_bm25": lambda s, d: bm25.search_documents(_table(s, d, "documents")),
     "op10_near_vectors": lambda s, d: near_vectors.near_vectors(_table(s, d, "embeddings")),
+    "op11_conversation_repair": lambda s, d: repair.repair_report(_table(s, d, "conversations")),
     "op12_merkle_manifest": lambda s, d: merkle.manifest_report(_table(s, d, "documents")),
     "op13_word_bpe": lambda s, d: word_table.digests(_table(s, d, "documents")),
 }
@@ -29,5 +30,6 @@ ORACLE = {
     "op5_warc": warc.ORACLE,
     "op8_url_rules": url_rules.ORACLE,
     "op10_near_vectors": near_vectors.ORACLE,
+    "op11_conversation_repair": repair.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
 }
