@@ -34,12 +34,12 @@ from .common import files, fresh, new_path, partitions, save, trim
 from .token_files import SUFFIX, known_kind
 
 TOKENIZER = "word_bpe_49k.json"
-#: Bytes of text of a block, words of documents that are put together at once, and places of words that go back in one lot.
-BLOCK, TOGETHER, LOT = 32_000_000, 1_000_000, 400_000
+#: Bytes of text of a block, words of documents that are put together at once, and ids of words that go back together.
+BLOCK, TOGETHER, LOT = 32_000_000, 1_000_000, 200_000
 #: Blocks of one partition, and partitions whose equal words are one row of the table.
 SEQUENCES, WAVE = 1 << 20, 4096
-#: Entries of the table of pieces up to which it is broadcast: about 50 MB.
-SMALL_VOCABULARY = 1_000_000
+#: A vocabulary's pieces at most: about 50 MB.
+MOST_PIECES = 1_000_000
 #: Words whose parts the tokenizer finds by itself: printable ASCII and Latin-1 letters, and where it cuts them.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
 CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
@@ -56,13 +56,14 @@ def splits_at_space(file: dict) -> bool:
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(token, piece) of a tokenizer's file, whose ids are decoded by spaces between their pieces."""
+    """(token, piece) of a tokenizer's file, whose ids are decoded by spaces between their pieces; it has ``MOST_PIECES`` rows at most, so that it may be broadcast."""
     file = _file(path)
     if file.get("decoder"):
         raise ValueError("the tokenizer has a decoder of its own")
     pieces = {i: t for t, i in file["model"]["vocab"].items()} | {t["id"]: t["content"] for t in file.get("added_tokens") or []}
-    table = spark.createDataFrame(pa.table({"token": pa.array(pieces, pa.int32()), "piece": list(pieces.values())}))
-    return F.broadcast(table) if len(pieces) <= SMALL_VOCABULARY else table
+    if len(pieces) > MOST_PIECES:
+        raise ValueError(f"the tokenizer has {len(pieces)} pieces")
+    return F.broadcast(spark.createDataFrame(pa.table({"token": pa.array(pieces, pa.int32()), "piece": list(pieces.values())})))
 
 
 class Words:
@@ -196,47 +197,53 @@ def _ids_of(path: str):
     def ids(words: pa.Array) -> pa.Array:
         return pa.array(words_of(path).encode(words.to_pylist()), pa.list_(pa.int32()))
 
-    return ids
+    return ids.asNondeterministic()  # else a filter on ids would call it before the words are made distinct
 
 
 def word_table(words: DataFrame, path: str, pieces: DataFrame) -> DataFrame:
-    """Adds ``ids`` and ``decoded`` to rows that are distinct by (wave, word): a word is encoded once and its ids joined with their pieces."""
-    coded = words.withColumn("ids", _ids_of(path)("word"))
-    each = coded.select("*", F.posexplode("ids").alias("at", "token")).join(pieces, "token")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), " ")
-    return each.groupBy("wave", "word").agg(F.first("asked").alias("asked"), F.first("ids").alias("ids"), text.alias("decoded"))
+    """Rows (at, token, piece, asked) of each distinct word's ids in turn, from rows (word, asked): a word is encoded once and its ids joined with their pieces.
+
+    A word's rows follow each other, as the broadcast join keeps the order of its larger side; only the first has ``asked``.
+    """
+    coded = words.select("asked", _ids_of(path)("word").alias("ids"))
+    each = coded.select("asked", F.posexplode("ids").alias("at", "token")).join(pieces, "token")
+    return each.select("at", "token", "piece", F.when(F.col("at") == 0, F.col("asked")).alias("asked"))
 
 
 def _lots(batches):
     """Words with all that asked for them to lots of one block each."""
 
-    def close(held):
-        rows = pa.Table.from_batches(held).combine_chunks()
-        asked, coded, text = (rows.column(i).combine_chunks() for i in range(3))
-        times = np.diff(asked.offsets.to_numpy())
+    def close(rows: pa.Table):
+        ats, tokens, pieces = rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).combine_chunks()
+        starts = np.flatnonzero(ats == 0)
+        counts = np.diff(np.r_[starts, len(ats)])
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[starts, len(ats)].astype(np.int32)), pieces), " ")
+        asked = rows.column(3).combine_chunks().take(pa.array(starts))
         blocks, numbers = (asked.flatten().field(i).to_numpy().astype(np.int64) for i in (0, 1))
-        word = np.repeat(np.arange(len(times)), times)
+        word = np.repeat(np.arange(len(starts)), pc.list_value_length(asked).to_numpy())
         order = np.lexsort((numbers, blocks))
         blocks, numbers, word = blocks[order], numbers[order], word[order]
-        counts, starts, tokens = np.diff(coded.offsets.to_numpy()), coded.offsets.to_numpy()[:-1].astype(np.int64), coded.values.to_numpy()
-        cuts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1], True]) if len(blocks) else np.zeros(1, np.int64)
+        cuts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1], True])
         for a, b in zip(cuts, cuts[1:], strict=False):
             w = word[a:b]
-            own = tokens[_spans(starts[w], counts[w])]
+            own, decoded = tokens[_spans(starts[w], counts[w])], text.take(pa.array(w))
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array([blocks[a]], pa.int64()), "path": pa.array([None], pa.string()), "numbers": [_packed(numbers[a:b])], "counts": [_packed(counts[w])],
-                "tokens": [_packed(own)], "widths": [_packed(pc.binary_length(text.take(pa.array(w))).to_numpy())], "texts": [pa.compress("".join(text.take(pa.array(w)).to_pylist()).encode(), "zstd", asbytes=True)],
+                "tokens": [_packed(own)], "widths": [_packed(pc.binary_length(decoded).to_numpy())], "texts": [pa.compress("".join(decoded.to_pylist()).encode(), "zstd", asbytes=True)],
             })
 
     held, size = [], 0
     for batch in batches:
         held.append(batch)
-        size += len(batch.column(0).values)
+        size += batch.num_rows
         if size >= LOT:
-            yield from close(held)
-            held, size = [], 0
+            rows = pa.Table.from_batches(held)
+            cut = int(np.flatnonzero(rows.column(0).to_numpy() == 0)[-1])  # the last word may go on
+            if cut:
+                yield from close(rows.slice(0, cut))
+                held, size = rows.slice(cut).to_batches(), size - cut
     if held:
-        yield from close(held)
+        yield from close(pa.Table.from_batches(held))
     trim()
 
 
@@ -310,8 +317,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     wave = F.expr(f"block div {SEQUENCES * WAVE}").alias("wave")
     dealt = asked.select(wave, "word", F.struct("block", "number").alias("asked")).repartition(n, "word", "wave")
     words = dealt.groupBy("wave", "word").agg(F.collect_list("asked").alias("asked"))
-    table = word_table(words, path, piece_table(spark, path))
-    lots = table.select("asked", "ids", "decoded").mapInArrow(_lots, LOTS)
+    lots = word_table(words, path, piece_table(spark, path)).mapInArrow(_lots, LOTS)
     none = [F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in LOTS.split(", ")[2:])]
     together = lots.unionByName(blocks.select("block", "path", *none)).repartition(n, "block").sortWithinPartitions("block", F.col("path").asc_nulls_first())
     kind = docs.schema[id_col].dataType.simpleString()
