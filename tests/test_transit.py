@@ -102,12 +102,33 @@ def test_clock(spark):
 
 
 def test_importance(feed):
-    pairs, around = importance.reachable_pairs(feed["times"]), importance.stop_neighbors(feed["times"])
-    got = {r.stop_id: r for r in importance.normalize_0_100(importance.stop_importance(pairs, around)).collect()}
+    got = {r.stop_id: r for r in importance.normalize_0_100(importance.stop_importance(feed["times"])).collect()}
     assert got["A"].destinations == 4 and got["B"].neighbors == 2 and {0.0, 100.0} <= {r.score for r in got.values()}
     assert all(r.exclusive <= r.destinations for r in got.values())
 
 
+@pytest.mark.parametrize("arrays", [0, 6, 4096])
+def test_importance_by_sets(spark, arrays):
+    """A hub on every other trip, and loops; arrays and bitmaps give what plain sets give."""
+    rng = random.Random(9)
+    trips = [[rng.randrange(40) for _ in range(rng.randrange(1, 7))] for _ in range(60)]
+    trips = [t[:2] + [99] + t[2:] if k % 2 else t for k, t in enumerate(trips)]
+    times = [("f", f"t{k}", f"s{x}", i, i) for k, t in enumerate(trips) for i, x in enumerate(t)]
+    got = importance.stop_importance(spark.createDataFrame(times, "feed_id string, trip_id string, stop_id string, stop_sequence int, ord int"), arrays)
+    reach, near = {}, {}
+    for t in trips:
+        for i, x in enumerate(t):
+            reach.setdefault(x, set()).update(t[i + 1 :])
+            near.setdefault(x, set()).update(y for y in t[max(0, i - 1) : i + 2] if y != x)
+    want = {}
+    for x, own in reach.items():
+        if own:
+            mean = sum(len(reach[y]) for y in near[x]) / len(near[x]) if near[x] else 0.0
+            alone = len(own - set().union(*(reach[y] for y in near[x])))
+            want[f"s{x}"] = (len(own), len(near[x]), mean, alone, 0.8 * (len(own) / mean if mean else len(own)) + 0.2 * alone if near[x] else len(own))
+    assert {r.stop_id: tuple(r)[2:] for r in got.collect()} == {s: pytest.approx(v) for s, v in want.items()}
+
+
 def test_network(spark, feed):
     known = patterns.service_patterns(feeds.with_direction(feed["trips"]), feed["times"])
     asked = spark.createDataFrame([("a", "A", "C"), ("a", "C", "D"), ("a", "D", "A")], "feed_id string, start_stop string, end_stop string")

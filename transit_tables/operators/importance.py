@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import save
 from .patterns import trip_stops
 
 STOP = ["feed_id", "stop_id"]
+#: Stop numbers of one part of a set of destinations, as many as a bitmap holds.
+PART = 32768
+#: Neighbours' destinations in one part up to which they are held as arrays; beyond it, as bitmaps.
+ARRAYS = 4096
 
 
 def distinct_patterns(stop_times: DataFrame) -> DataFrame:
@@ -34,9 +39,9 @@ def destination_counts(pairs: DataFrame) -> DataFrame:
 
 def neighbors_of_lists(lists: DataFrame) -> DataFrame:
     """Distinct (feed, stop, other) of stop lists: neighbours in some list, in either direction, other than the stop itself."""
-    each = lists.select("feed_id", "stops", F.posexplode("stops").alias("at", "stop_id")).withColumn("other", F.get("stops", F.col("at") + 1))
-    hops = each.where("other is not null and other <> stop_id").select("feed_id", "stop_id", "other").distinct()
-    return hops.unionByName(hops.select("feed_id", F.col("other").alias("stop_id"), F.col("stop_id").alias("other"))).distinct()
+    each = lists.select("feed_id", "stops", F.posexplode("stops").alias("at", "stop_id"))
+    beside = F.array(F.get("stops", F.col("at") - 1), F.get("stops", F.col("at") + 1))
+    return each.select(*STOP, F.explode(beside).alias("other")).where("other <> stop_id").distinct()
 
 
 def stop_neighbors(stop_times: DataFrame) -> DataFrame:
@@ -44,26 +49,70 @@ def stop_neighbors(stop_times: DataFrame) -> DataFrame:
     return neighbors_of_lists(distinct_patterns(stop_times))
 
 
-def exclusive_destinations(pairs: DataFrame, neighbors: DataFrame) -> DataFrame:
-    """(feed, stop, other): reachable from the stop and from none of its neighbours."""
-    of_neighbors = neighbors.join(pairs.select("feed_id", F.col("stop_id").alias("other"), F.col("other").alias("dest")), ["feed_id", "other"]).select("feed_id", "stop_id", F.col("dest").alias("other"))
-    return pairs.join(of_neighbors, ["feed_id", "stop_id", "other"], "left_anti")
+def stop_numbers(stop_times: DataFrame) -> DataFrame:
+    """(feed, stop, number) of all stops; numbers are dense in runs of a feed's stops. Saved, so that they stay."""
+    stops = stop_times.select(*STOP).distinct().repartitionByRange(*STOP).sortWithinPartitions(*STOP)
+    return save(stops.withColumn("number", F.monotonically_increasing_id()), "numbers")
+
+
+def destination_sets(lists: DataFrame) -> DataFrame:
+    """(feed, stop, part, dests) of stop lists of numbers: the distinct later stops, at most ``PART`` in a row."""
+    each = lists.select("feed_id", "stops", F.posexplode("stops").alias("at", "stop_id"))
+    later = each.select(*STOP, F.explode(F.slice("stops", F.col("at") + 2, F.size("stops"))).alias("dest"))
+    return later.groupBy(*STOP, F.expr(f"dest div {PART}").alias("part")).agg(F.collect_set("dest").alias("dests"))
+
+
+def neighbor_means(sets: DataFrame, neighbors: DataFrame) -> DataFrame:
+    """(feed, stop, neighbors, avg_neighbor, members): number of neighbours, mean and sum of their destinations."""
+    n = sets.groupBy("feed_id", F.col("stop_id").alias("other")).agg(F.sum(F.size("dests")).alias("m"))
+    m = F.coalesce("m", F.lit(0))
+    return neighbors.join(n, ["feed_id", "other"], "left").groupBy(*STOP).agg(F.count("*").alias("neighbors"), F.avg(m).alias("avg_neighbor"), F.sum(m).alias("members"))
 
 
-def stop_importance(pairs: DataFrame, neighbors: DataFrame) -> DataFrame:
+def exclusive_counts(sets: DataFrame, neighbors: DataFrame, means: DataFrame, arrays: int = ARRAYS) -> DataFrame:
+    """(feed, stop, exclusive): how many destinations of a stop none of its neighbours has.
+
+    A stop whose neighbours have few destinations together meets their arrays whole. Where they have
+    many, they are bitmaps, and the count is that of all bits less that of the neighbours'. So a
+    hub never needs more than ``arrays`` numbers or one bitmap of a part at a time.
+    """
+    others, hubs = F.col("stop_id").alias("other"), save(means.where(F.col("members") > arrays).select(*STOP), "hubs")
+    near = neighbors.join(hubs, STOP, "left_anti").join(sets.select("feed_id", others, F.col("dests").alias("near")), ["feed_id", "other"])
+    near = near.groupBy(*STOP).agg(F.flatten(F.collect_list("near")).alias("near"))
+    own = sets.join(hubs, STOP, "left_anti").join(near, STOP, "left")
+    few = own.select(*STOP, F.size(F.when(F.col("near").isNull(), F.col("dests")).otherwise(F.array_except("dests", "near"))).alias("n"))
+    if not hubs.limit(1).count():
+        return few.groupBy(*STOP).agg(F.sum("n").alias("exclusive"))
+    mine = sets.join(hubs, STOP, "left_semi").select(*STOP, "part")
+    wanted = save(neighbors.join(mine, STOP), "wanted")
+    key, at = [*STOP, "part"], ["feed_id", "other", "part"]
+    used = wanted.select(*at).unionByName(mine.select("feed_id", others, "part")).distinct()
+    members = sets.select("feed_id", others, "part", "dests").join(used, at).select(*at, F.explode("dests").alias("dest"))
+    bits = save(members.groupBy(*at).agg(F.bitmap_construct_agg(F.bitmap_bit_position("dest")).alias("bits")), "bits")
+    met = wanted.join(bits, at).select(*key, F.col("bits").alias("near"), "bits")
+    alone = mine.join(bits.withColumnRenamed("other", "stop_id"), key).select(*key, F.lit(None).cast("binary").alias("near"), "bits")
+    either = met.unionByName(alone).groupBy(*key).agg(F.bitmap_or_agg("bits").alias("either"), F.bitmap_or_agg("near").alias("near"))
+    many = either.select(*STOP, (F.bitmap_count("either") - F.bitmap_count("near")).cast("int").alias("n"))
+    return few.unionByName(many).groupBy(*STOP).agg(F.sum("n").alias("exclusive"))
+
+
+def stop_importance(stop_times: DataFrame, arrays: int = ARRAYS) -> DataFrame:
     """(feed, stop, destinations, neighbors, avg_neighbor, exclusive, importance) of stops with destinations.
 
     Without neighbours the importance is the number of destinations n; else 0.8 times
     n over the neighbours' mean (n if that is 0), plus 0.2 times the exclusive ones.
     """
-    n = destination_counts(pairs)
-    around = neighbors.join(n.select("feed_id", F.col("stop_id").alias("other"), F.col("destinations").alias("m")), ["feed_id", "other"], "left")
-    around = around.groupBy(*STOP).agg(F.count("*").alias("neighbors"), F.avg(F.coalesce("m", F.lit(0))).alias("avg_neighbor"))
-    own = exclusive_destinations(pairs, neighbors).groupBy(*STOP).agg(F.count("*").alias("exclusive"))
-    out = n.join(around, STOP, "left").join(own, STOP, "left").na.fill(0, ["neighbors", "exclusive"])
+    numbers = stop_numbers(stop_times)
+    lists = save(distinct_patterns(stop_times.join(numbers, STOP).drop("stop_id").withColumnRenamed("number", "stop_id")), "lists")
+    sets, around = save(destination_sets(lists), "sets"), save(neighbors_of_lists(lists), "neighbors")
+    means = save(neighbor_means(sets, around), "means")
+    n = sets.groupBy(*STOP).agg(F.sum(F.size("dests")).alias("destinations"))
+    out = n.join(means, STOP, "left").join(exclusive_counts(sets, around, means, arrays), STOP).na.fill(0, ["neighbors"])
     ratio = F.when(F.col("avg_neighbor") > 0, F.col("destinations") / F.col("avg_neighbor")).otherwise(F.col("destinations").cast("double"))
     score = F.when(F.col("neighbors") == 0, F.col("destinations").cast("double")).otherwise(F.lit(0.8) * ratio + F.lit(0.2) * F.col("exclusive"))
-    return out.withColumn("avg_neighbor", F.coalesce("avg_neighbor", F.lit(0.0))).withColumn("importance", score)
+    scored = out.withColumn("avg_neighbor", F.coalesce("avg_neighbor", F.lit(0.0))).withColumn("importance", score)
+    named = scored.withColumnRenamed("stop_id", "number").join(numbers, ["feed_id", "number"])
+    return named.select(*STOP, "destinations", "neighbors", "avg_neighbor", "exclusive", "importance")
 
 
 def normalize_0_100(scores: DataFrame, col: str = "importance", out: str = "score") -> DataFrame:

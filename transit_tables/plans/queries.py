@@ -69,9 +69,7 @@ def service_span(s, d):
 
 
 def stop_importance(s, d):
-    lists = save(importance.distinct_patterns(load(s, d, "sparse_times")[0]), "lists")
-    pairs, around = save(importance.pairs_of_lists(lists), "pairs"), save(importance.neighbors_of_lists(lists), "neighbors")
-    scored = save(importance.stop_importance(pairs, around), "importance")
+    scored = save(importance.stop_importance(save(load(s, d, "sparse_times")[0], "visits")), "importance")
     return importance.normalize_0_100(scored).select("feed_id", "stop_id", "destinations", "neighbors", "exclusive", F.round("importance", 6).alias("importance"), F.round("score", 6).alias("score"))
 
 
