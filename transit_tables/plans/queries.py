@@ -196,7 +196,7 @@ def _order(s, d, key):
 
 def fuzzy_search(s, d):
     names = load(s, d, "routes")[0].select(F.col("route_id").alias("id"), F.col("route_long_name").alias("text"))
-    asked = names.select(F.col("id").alias("query_id"), F.expr("replace(substring(text, 10, 9), '00', '0')").alias("text"))
+    asked = names.where("cast(substring(id, 2) as bigint) % 50 = 0").select(F.col("id").alias("query_id"), F.expr("replace(substring(text, 10, 9), '00', '0')").alias("text"))
     return search.fuzzy_search(asked, names, _stops(s, d).select("feed_id", F.concat_ws("|", "feed_id", "stop_id").alias("id"), F.col("name").alias("text")))
 
 
@@ -340,7 +340,18 @@ sim AS (SELECT p.feed_id, a, b, both_ / CAST(ca.n + cb.n - both_ AS DOUBLE) AS j
   JOIN cnt ca ON ca.feed_id = p.feed_id AND ca.route_id = a JOIN cnt cb ON cb.feed_id = p.feed_id AND cb.route_id = b)"""
 R, T, ST, SP, S = "routes", "trips", "stop_times", "sparse_times", "stops"
 
+#: Approximate search: every window of a target against every query.
+SEARCH = """,
+asked AS (SELECT DISTINCT route_id AS query_id, lower(trim(replace(substr(route_long_name, 10, 9), '00', '0'))) AS q FROM v_routes WHERE CAST(substr(route_id, 2) AS BIGINT) % 50 = 0),
+services AS (SELECT query_id, id, min(levenshtein(q, substr(t, CAST(i AS BIGINT), len(q))) / len(q)) AS score
+  FROM asked, (SELECT route_id AS id, lower(trim(route_long_name)) AS t FROM v_routes), LATERAL (SELECT unnest(range(1, greatest(len(t) - len(q) + 1, 1) + 1)) AS i) WHERE q <> '' GROUP BY ALL HAVING score <= 0.3),
+others AS (SELECT query_id, id, min(levenshtein(q, substr(t, CAST(i AS BIGINT), len(q))) / len(q)) AS score
+  FROM (SELECT * FROM asked WHERE query_id NOT IN (SELECT query_id FROM services GROUP BY query_id HAVING count(*) >= 20)), (SELECT feed_id || '|' || stop_id AS id, lower(trim(stop_name)) AS t FROM v_stops), LATERAL (SELECT unnest(range(1, greatest(len(t) - len(q) + 1, 1) + 1)) AS i) WHERE q <> '' GROUP BY ALL HAVING score <= 0.3),
+hits AS (SELECT 'service' AS kind, * FROM services UNION ALL SELECT 'stop', * FROM others)
+SELECT query_id, kind, id, score, row_number() OVER (PARTITION BY query_id, kind ORDER BY score, id) AS place FROM hits"""
+
 ORACLE = {
+    "fuzzy_search": oracle(SEARCH, "routes", "stops"),
     "first_last_times": oracle(FIRST_LAST + " SELECT *, no || ' ' || first || ' ' || last || ' = = = =' AS entry FROM fl", T, ST),
     "trip_counts": oracle(DIRECTED + " SELECT feed_id, route_id, count(*) FILTER (direction = '0') AS trips_0, count(*) FILTER (direction = '1') AS trips_1 FROM directed GROUP BY ALL", T),
     "valid_routes": oracle(DIRECTED + " SELECT DISTINCT feed_id, route_id FROM (SELECT feed_id, route_id, direction, count(*) AS n FROM directed GROUP BY ALL) WHERE n >= 2", T),
