@@ -1,11 +1,13 @@
 """Small tables on which a query that reads only a part of its input gives too few rows."""
 
+import io
 import random
 import zipfile
 
 from transit_tables.operators import graphs, search
 from transit_tables.plans import fixtures, queries
 from transit_tables.sources import feeds as sources
+from transit_tables.sources import zips
 
 
 def tables(spark, path, customers=(), orders=(), lines=(), suppliers=()):
@@ -75,6 +77,58 @@ def test_shared_stops_and_search_take_all_routes(spark, tmp_path):
     assert {q for q, _ in found} == {"R50", "R100"} and {r for _, r in found} == {"R1", "R50", "R100"}  # every 50th asks, all answer
 
 
+class Counted(io.BytesIO):
+    """A file that counts the bytes read from it."""
+
+    taken = 0
+
+    def read(self, size=-1):
+        out = super().read(size)
+        self.taken += len(out)
+        return out
+
+
+def test_only_the_members_bytes_of_a_zip_are_read():
+    rng, packed = random.Random(1), io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("big/stop_times.txt", "trip_id,stop_id\n" + "".join(f"t{rng.random()},s{rng.random()}\n" for _ in range(50_000)))
+        z.writestr("big/routes.txt", "route_id\nr1\nr2\n")
+    source = Counted(packed.getvalue())
+    assert list(zips.member_rows(source, "routes")) == [["route_id"], ["r1"], ["r2"]]
+    assert source.taken < 2_000 and len(packed.getvalue()) > 900_000
+    assert list(zips.member_rows(Counted(packed.getvalue()), "stops")) == []
+
+
+def test_zips_of_over_two_gigabytes_and_damaged_ones(spark, tmp_path):
+    """A hole of 2.5 GB before the zip proper takes no disk."""
+    (tmp_path / "z").mkdir()
+    with open(tmp_path / "z" / "large feed.zip", "wb") as out:
+        out.truncate(2_500_000_000)
+        out.seek(0, 2)
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("stops.txt", "stop_id,stop_name,extra\ns1,One,x\n\ns2\n")
+    with zipfile.ZipFile(tmp_path / "z" / "torn.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("stops.txt", "stop_id,stop_name\n" + "s9,Nine\n" * 30_000)
+    torn = (tmp_path / "z" / "torn.zip").read_bytes()
+    (tmp_path / "z" / "torn.zip").write_bytes(torn[:100_000] + b"X" + torn[100_001:])
+    (tmp_path / "z" / "no.zip").write_bytes(b"no")
+    got = sources.read_gtfs_table(spark, f"{tmp_path}/z", "stops").where("feed_id = 'large feed'").orderBy("ord").select("stop_id", "stop_name", "ord.row", "absent")
+    assert [tuple(r) for r in got.collect()] == [("s1", "One", 1, ["stop_lat", "stop_lon"]), ("s2", None, 3, ["stop_lat", "stop_lon"])]
+    found = zips.read_zips(spark, f"{tmp_path}/z", "stops", ["stop_id"])
+    assert {r.feed_id for r in found.where("error is not null and row is null").collect()} == {"torn", "no"}
+    assert found.columns == ["feed_id", "row", "absent", "error", "stop_id"]
+    listing = {tuple(r) for r in sources.unzip_feeds(spark, f"{tmp_path}/z", f"{tmp_path}/out").collect()}
+    assert {("no", None, None), ("torn", None, None), ("large feed", "stops", 4)} <= listing
+
+
+def test_tables_read_by_line_tell_which_lines_are_broken(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "trips.txt").write_text('trip_id,route_id,shape_id\nt1,r1,"x\ny"\nt2,r2,\n')
+    assert [tuple(r) for r in sources.broken_lines(spark, str(tmp_path), "trips").collect()] == [("a", 2)]
+    whole = sources.read_gtfs_table(spark, str(tmp_path), "trips", multi_line=True)
+    assert {(r.trip_id, r.shape_id) for r in whole.collect()} == {("t1", "x\ny"), ("t2", None)}
+
+
 def test_levels_of_bands_equal_those_of_one_loop(spark):
     rng = random.Random(7)
     stops = {(f, f"r{i}"): rng.sample("abcdefghij", rng.randint(1, 3)) for f in "fg" for i in range(40)}

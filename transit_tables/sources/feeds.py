@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import itertools
-import zipfile
-import zlib
-from urllib.parse import unquote
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import save
+from .zips import listed, read_heads, read_zips
+
 #: Columns of each table and their types; ids are text. The first is mandatory.
 TABLES = {
     "routes": {"route_id": "string", "route_long_name": "string"},
@@ -21,11 +19,8 @@ TABLES = {
     "shapes": {"shape_id": "string", "shape_pt_sequence": "int", "shape_pt_lat": "double", "shape_pt_lon": "double"},
 }
 MANDATORY = ("routes", "trips", "stop_times", "stops")
-
-
-def _column_names(head: list[str]) -> list[str]:
-    """Names of a header row without marks of byte order and spaces around them."""
-    return [c.replace("\ufeff", "").strip() for c in head]
+#: Tables with names of things, whose quoted values may go over lines; the others hold ids, numbers and times.
+FREE_TEXT = ("routes", "stops")
 
 
 def _absent(table: str, names: list[str]) -> list[str]:
@@ -38,27 +33,22 @@ def _typed(rows: DataFrame, table: str, absent) -> DataFrame:
     return rows.select("feed_id", *cols, "ord", absent.alias("absent"))
 
 
-def _folder_heads(spark: SparkSession, path: str, name: str) -> list[tuple[str, str, list[str], bool]]:
-    """(file, feed, column names, whether a quoted value goes over lines) of each ``path``/<feed>/``name``.txt: a row for each feed."""
-    lines = spark.read.option("pathGlobFilter", f"{name}.txt").option("recursiveFileLookup", True).text(path)
-    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    named = lines.select(F.col("_metadata.file_path").alias("file"), at.alias("ord"), "value", (quotes % 2 == 1).alias("open"))
-    heads = named.groupBy("file").agg(F.min_by("value", "ord").alias("head"), F.bool_or("open").alias("open")).collect()
-    return [(r.file, unquote(r.file.split("/")[-2]), _column_names(next(csv.reader([r.head]), [])), r.open) for r in sorted(heads)]
+def _heads(spark: SparkSession, path: str, name: str, zipped: bool) -> list[tuple[str, str, list[str]]]:
+    """(file, feed, column names) of a table in all folders or zips: a row for each feed."""
+    found = read_heads(spark, path, name).where("columns is not null").collect()
+    return sorted((r.file, r.feed_id, r.columns) for r in found if r.file.endswith(".zip") == zipped)
 
 
-def _folder_rows(spark: SparkSession, path: str, name: str) -> list[DataFrame]:
+def _folder_rows(spark: SparkSession, path: str, name: str, multi_line: bool) -> list[DataFrame]:
     """Typed rows of all folders: files of one header are read together, and only the known columns of them."""
     alike: dict[tuple, list[str]] = {}
-    for file, _, names, lines in _folder_heads(spark, path, name):
-        alike.setdefault((tuple(names), lines), []).append(unquote(file))
+    scheme = path.split("://")[0] + "://" if "://" in path else ""
+    for file, _, names in _heads(spark, path, name, zipped=False):
+        alike.setdefault(tuple(names), []).append(scheme + file)
     out = []
-    for (names, lines), found in alike.items():
-        if not names:
-            continue
+    for names, found in alike.items():
         kind = ", ".join(f"c{i} string" for i in range(len(names)))
-        rows = spark.read.schema(kind).options(header=True, enforceSchema=True, multiLine=lines, escape='"', mode="PERMISSIVE").csv(found)
+        rows = spark.read.schema(kind).options(header=True, enforceSchema=True, multiLine=multi_line, escape='"', mode="PERMISSIVE").csv(found)
         feed = F.url_decode(F.replace(F.element_at(F.split("_metadata.file_path", "/"), -2), F.lit("+"), F.lit("%2B"))).alias("feed_id")
         at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("ord")
         known = [(F.col(f"c{names.index(c)}") if c in names else F.lit(None).cast("string")).alias(c) for c in TABLES[name]]
@@ -67,70 +57,25 @@ def _folder_rows(spark: SparkSession, path: str, name: str) -> list[DataFrame]:
     return out
 
 
-def _zip_rows(spark: SparkSession, path: str, *names: str, heads: bool = False) -> DataFrame:
-    """(file, feed, name, row, fields): rows of the named members of every <feed>.zip below ``path``, their headers as row 0 and, if ``heads``, no others. Blank lines have no fields.
-
-    A task holds one packed zip and unpacks its members row by row. A zip that can't
-    be opened or read to its end gives one row without name, and stops no other.
-    """
-    def parsed(batches):
-        import pyarrow as pa
-
-        csv.field_size_limit(1 << 30)
-        kinds = pa.schema([("file", pa.string()), ("feed_id", pa.string()), ("name", pa.string()), ("row", pa.int64()), ("fields", pa.list_(pa.string()))])
-        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
-        for batch in batches:
-            for file, content in zip(batch.column(0), batch.column(1), strict=True):
-                file, rows = file.as_py(), []
-                feed = unquote(file.rsplit("/", 1)[-1].removesuffix(".zip"))
-                try:
-                    with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
-                        inside = {n.rsplit("/", 1)[-1]: n for n in z.namelist() if not n.startswith("__MACOSX/")}
-                        for name in names:
-                            if f"{name}.txt" not in inside:
-                                continue
-                            with io.TextIOWrapper(z.open(inside[f"{name}.txt"]), "utf-8-sig", errors="replace", newline="") as text:
-                                full = (f if any(x.strip() for x in f) else [] for f in csv.reader(text))
-                                for row, fields in enumerate(itertools.dropwhile(lambda f: not f, full)):
-                                    rows.append((file, feed, name, row, fields))
-                                    if len(rows) == 10_000:
-                                        yield pack(rows)
-                                        rows = []
-                                    if heads:
-                                        break
-                except (zipfile.BadZipFile, zlib.error, csv.Error, EOFError, NotImplementedError, RuntimeError):
-                    rows.append((file, feed, None, None, None))
-                if rows:
-                    yield pack(rows)
-
-    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return packed.mapInArrow(parsed, "file string, feed_id string, name string, row long, fields array<string>")
-
-
-def _zipped_table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
-    """Typed rows of all zips; None if there are none. The places of the known columns, a row for each zip, are sent to all tasks."""
-    heads = _zip_rows(spark, path, name, heads=True).where("name is not null").select("file", "fields").collect()
-    if not heads:
-        return None
-    places = [(r.file, [n.index(c) if c in n else None for c in TABLES[name]], _absent(name, n)) for r in heads for n in [_column_names(r.fields)]]
-    where = spark.createDataFrame(places, "file string, places array<int>, absent array<string>")
-    rows = _zip_rows(spark, path, name).where("row > 0 and size(fields) > 0").join(F.broadcast(where), "file")
+def _zipped(rows: DataFrame, name: str) -> DataFrame:
     at = F.struct(F.lit(0).cast("long").alias("block"), "row").alias("ord")
-    known = [F.get("fields", F.get("places", F.lit(i))).alias(c) for i, c in enumerate(TABLES[name])]
-    return _typed(rows.select("feed_id", *known, at, "absent"), name, F.col("absent"))
+    return _typed(rows.where("error is null").select("feed_id", *TABLES[name], at, "absent"), name, F.col("absent"))
 
 
-def read_gtfs_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+def read_gtfs_table(spark: SparkSession, path: str, name: str, multi_line: bool | None = None) -> DataFrame:
     """Rows of ``path``/<feed>/``name``.txt and of ``name``.txt in ``path``/<feed>.zip of all feeds, read as text and cast; values that don't fit are null.
 
     ``ord`` keeps each file's order. Feeds may have different columns, any number of
     them and in any order: columns are taken by name, file by file, the first of those
     with one name. ``absent`` lists the known columns that a row's feed lacks, as
-    directions fall back by that, not by null values. Quoted values may hold commas and line ends.
+    directions fall back by that, not by null values. Quoted values may hold commas and, in zips and with ``multi_line``,
+    line ends; by default that is so in ``FREE_TEXT``. A file read so is one task; others are split, and
+    ``broken_lines`` finds those of them that would need it.
     """
-    parts = _folder_rows(spark, path, name)
-    if (zipped := _zipped_table(spark, path, name)) is not None:
-        parts.append(zipped)
+    lines = name in FREE_TEXT if multi_line is None else multi_line
+    parts = _folder_rows(spark, path, name, lines)
+    if listed(path, ".zip"):
+        parts.append(_zipped(read_zips(spark, path, name, list(TABLES[name])), name))
     if not parts:
         kind = "feed_id string, " + ", ".join(f"{c} {t}" for c, t in TABLES[name].items())
         return spark.createDataFrame([], kind + ", ord struct<block: bigint, row: bigint>, absent array<string>")
@@ -140,11 +85,17 @@ def read_gtfs_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return out
 
 
+def broken_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(feed, lines): how many lines of a table in folders leave a quote open; such a table needs ``multi_line``."""
+    lines = spark.read.option("pathGlobFilter", f"{name}.txt").option("recursiveFileLookup", True).text(path)
+    feed = F.url_decode(F.replace(F.element_at(F.split("_metadata.file_path", "/"), -2), F.lit("+"), F.lit("%2B"))).alias("feed_id")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return lines.where(quotes % 2 == 1).select(feed).groupBy("feed_id").agg(F.count("*").alias("lines"))
+
+
 def present_columns(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(feed, columns): the header of each feed's table."""
-    zips = _zip_rows(spark, path, name, heads=True).where("name is not null").select("feed_id", "fields").collect()
-    heads = [(feed, names) for _, feed, names, _ in _folder_heads(spark, path, name)] + [(r.feed_id, _column_names(r.fields)) for r in zips]
-    return spark.createDataFrame(heads, "feed_id string, columns array<string>")
+    return read_heads(spark, path, name).where("columns is not null").select("feed_id", "columns")
 
 
 def load_feed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -153,14 +104,20 @@ def load_feed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def unzip_feeds(spark: SparkSession, zips: str, out: str) -> DataFrame:
-    """Writes the tables of every <feed>.zip as Parquet below ``out``/<table>, typed and with ``ord``, and returns (feed, table, lines): its rows and header.
+    """Writes the tables of every <feed>.zip as Parquet below ``out``/<table>, typed and with ``ord``, and returns (feed, table, lines): lines from the header to the last row.
 
-    A damaged zip is reported with null table and lines and stops no other.
+    Each member is read once. A damaged zip is reported with null table and lines and stops no other.
     """
+    reports = []
     for t in TABLES:
-        read_gtfs_table(spark, zips, t).write.mode("overwrite").parquet(f"{out}/{t}")
-    got = _zip_rows(spark, zips, *TABLES)
-    return got.groupBy("feed_id", "name").agg(F.when(F.col("name").isNotNull(), F.count("*")).alias("lines"))
+        raw = save(read_zips(spark, zips, t, list(TABLES[t])), "unzipped")
+        _zipped(raw, t).write.mode("overwrite").parquet(f"{out}/{t}")
+        last = raw.groupBy("feed_id").agg(F.max("row").alias("last"), F.bool_or(F.col("error").isNotNull()).alias("broken"))
+        there = read_heads(spark, zips, t).where("columns is not null").select("feed_id").distinct().withColumn("there", F.lit(True))
+        both = last.join(there, "feed_id", "full")
+        reports.append(both.where("there").select("feed_id", F.lit(t).alias("name"), (F.coalesce("last", F.lit(0)) + 1).alias("lines")))
+        reports.append(both.where("broken").select("feed_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("lines")))
+    return reduce(DataFrame.unionByName, reports).distinct()
 
 
 #: code, name, west, south, east, north, live arrivals, live vehicles; the first is the default. Our own example registry.
