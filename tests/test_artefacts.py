@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transit_tables.operators import network, pairing, schedule, shapes
-from transit_tables.sources import artefacts
+from transit_tables.sources import artefacts, pieces
 from transit_tables.sources import feeds as sources
 
 
@@ -32,6 +32,38 @@ def test_documents_come_back_as_rows(spark, tmp_path):
     assert artefacts.routes_document(lines.limit(0)).count() == 0
 
 
+def test_documents_in_pieces_have_the_same_bytes(spark, tmp_path):
+    rng = random.Random(2)
+    feeds = ["f", "g h", "a/b:c", None]
+    stops = spark.createDataFrame([(f, f"s{i}\n", rng.random(), None if i % 7 else 1.5, f'N "{i}" é') for f in feeds for i in range(rng.randrange(1, 300))] + [("f", "s1\n", 0.5, 1.0, None)], "feed_id string, stop_id string, lon double, lat double, name string").repartition(7)
+    found = {
+        "stops": (artefacts.stops_pieces(stops), artefacts.OBJECT),
+        "levels": (artefacts.stop_levels_pieces(stops.withColumn("level", F.length("stop_id"))), artefacts.OBJECT),
+        "features": (artefacts.feature_pieces(stops.select("feed_id", F.col("stop_id").alias("id"), F.create_map(F.lit("n"), "name").alias("properties"), F.array("lon", "lat").alias("coordinates"))), artefacts.FEATURES),
+        "none": (artefacts.stops_pieces(stops.limit(0)), artefacts.OBJECT),
+    }
+    for name, (parts, ends) in found.items():
+        artefacts.write_documents(artefacts.whole(parts, ends), f"{tmp_path}/whole/{name}")
+        for _ in range(2):  # the second replaces the first
+            sizes = pieces.write_pieces(parts, f"{tmp_path}/pieces/{name}", ends)
+        want = {p.parent.name: p.read_bytes() for p in (tmp_path / "whole" / name).rglob("*.txt")}
+        assert {p.parent.name: p.read_bytes() for p in (tmp_path / "pieces" / name).rglob("part-*")} == want
+        assert sorted(n for _, n in sizes) == sorted(map(len, want.values())) and len(want) == (0 if name == "none" else len(feeds))
+        assert {p.name for p in (tmp_path / "pieces" / name).iterdir()} == set(want)
+    back = artefacts.read_stops(spark, f"{tmp_path}/pieces/stops")
+    assert rows(back.where("feed_id = 'f'").distinct(), "stop_id", "lon") == rows(stops.where("feed_id = 'f'").distinct(), "stop_id", "lon")
+
+
+def test_services_and_markers_in_pieces(spark, tmp_path):
+    known = spark.createDataFrame([("f", f"r{i}", f"d{k}", k, v, [f"s{i}", f"s{k}", f"s{v}"]) for i in range(40) for k in (1, 2) for v in (0, 1)], "feed_id string, route_id string, destination string, dest_rank int, variant_idx int, stops array<string>")
+    names = spark.createDataFrame([("f", f"r{i}", f'Line "{i}"') for i in range(0, 40, 2)], "feed_id string, route_id string, route_long_name string")
+    pieces.write_pieces(artefacts.services_pieces(known, names), f"{tmp_path}/services", artefacts.OBJECT)
+    (file,) = (tmp_path / "services").rglob("part-*")
+    assert file.read_text() == artefacts.services_document(known, names).first().value + "\n"
+    cols = ("route_id", "destination", "dest_rank", "variant_idx", "stops")
+    assert rows(artefacts.read_services(spark, f"{tmp_path}/services"), *cols) == rows(known, *cols)
+
+
 def test_ranking(spark, tmp_path):
     scores = spark.createDataFrame([("f", "a", 1.006), ("f", "b", 100.0), ("f", "c", 1.0)], "feed_id string, stop_id string, score double")
     assert [(r.stop_id, r.score) for r in artefacts.ranking_rows(scores).collect()] == [("b", 100.0), ("a", 1.01), ("c", 1.0)]

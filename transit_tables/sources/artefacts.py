@@ -10,7 +10,8 @@ SCHEDULE = "services array<struct<no:string,origin:string,destination:string,tri
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
     """(feed, value): each JSON file whole; the feed is its folder."""
-    return spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("feed_id"), "value")
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    return spark.read.option("wholetext", True).text(path).select(F.regexp_replace(folder, "^feed_id=", "").alias("feed_id"), "value")
 
 
 def _entries(docs: DataFrame, kind: str) -> DataFrame:
@@ -58,35 +59,73 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("feed_id", F.explode("d.features").alias("f")).select("feed_id", F.col("f.geometry.type").alias("type"), "f.properties", "f.geometry.coordinates")
 
 
-def _document(rows: DataFrame, key: str, value) -> DataFrame:
-    """One JSON object for each feed, keys in order. An export format: a feed's artefact is one document by definition."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))))
-    text = F.transform(pairs, lambda x: F.concat(F.substring(F.to_json(F.array(x["k"])), 2, 1 << 20).substr(F.lit(1), F.length(F.to_json(F.array(x["k"]))) - 2), F.lit(":"), x["v"]))
-    return rows.groupBy("feed_id").agg(F.concat(F.lit("{"), F.array_join(text, ","), F.lit("}")).alias("value"))
+#: Heads and tails of documents.
+OBJECT, LIST, FEATURES = ("{", "}"), ("[", "]"), ('{"type":"FeatureCollection","features":[', "]}")
+
+
+def _quoted(text):
+    """A text as a JSON string."""
+    one = F.to_json(F.array(text))
+    return F.substring(one, F.lit(2), F.length(one) - 2)
+
+
+def _entries_of(rows: DataFrame, key: str, value) -> DataFrame:
+    """(feed, key, piece): an entry of a JSON object for each row."""
+    return rows.select("feed_id", F.col(key).alias("key"), F.concat(_quoted(F.col(key)), F.lit(":"), value).alias("piece"))
+
+
+def whole(pieces: DataFrame, ends: tuple[str, str] = OBJECT) -> DataFrame:
+    """(feed, value): documents as values, for those that fit into a row; ``write_pieces`` writes any."""
+    ordered = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("key", "piece"))))
+    joined = F.array_join(F.transform(ordered, lambda x: x["piece"]), ",")
+    return pieces.groupBy("feed_id").agg(F.concat(F.lit(ends[0]), joined, F.lit(ends[1])).alias("value"))
+
+
+def stops_pieces(stops: DataFrame) -> DataFrame:
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    return _entries_of(stops, "stop_id", F.concat(F.lit("["), number("lon"), F.lit(","), number("lat"), F.lit(","), _quoted(F.col("name")), F.lit(',""]')))
 
 
 def stops_document(stops: DataFrame) -> DataFrame:
-    return _document(stops, "stop_id", F.concat(F.lit("["), F.coalesce(F.col("lon").cast("string"), F.lit("null")), F.lit(","), F.coalesce(F.col("lat").cast("string"), F.lit("null")), F.lit(","), F.expr("substring(to_json(array(name)), 2, length(to_json(array(name))) - 2)"), F.lit(',""]')))
+    return whole(stops_pieces(stops))
+
+
+def _texts(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """(feed, key, v): a JSON list of a key's texts in order."""
+    listed = F.array_sort(F.collect_list(F.struct(order, text)))
+    return rows.groupBy("feed_id", key).agg(F.to_json(F.transform(listed, lambda x: x[text])).alias("v"))
+
+
+def routes_pieces(lines: DataFrame) -> DataFrame:
+    return _entries_of(_texts(lines, "route_id", "shape_id", "polyline"), "route_id", F.col("v"))
 
 
 def routes_document(lines: DataFrame) -> DataFrame:
-    per = lines.groupBy("feed_id", "route_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("shape_id", "polyline"))), lambda x: x["polyline"])).alias("v"))
-    return _document(per, "route_id", F.col("v"))
+    return whole(routes_pieces(lines))
 
 
-def services_document(patterns: DataFrame, routes: DataFrame) -> DataFrame:
+def services_pieces(patterns: DataFrame, routes: DataFrame) -> DataFrame:
     """Each service: its name, then destinations by rank, each with its variants in order."""
-    dest = patterns.groupBy("feed_id", "route_id", "destination", "dest_rank").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("variant_idx", "stops"))), lambda x: x["stops"])).alias("v"))
-    quoted = lambda c: f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)"
-    dest = dest.withColumn("pair", F.expr(f"concat({quoted('destination')}, ':', v)"))
-    per = dest.groupBy("feed_id", "route_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dest_rank", "pair"))), lambda x: x["pair"]), ",").alias("d"))
-    named = per.join(routes.select("feed_id", "route_id", "route_long_name"), ["feed_id", "route_id"], "left").withColumn("route_long_name", F.coalesce("route_long_name", F.lit("")))
-    return _document(named, "route_id", F.expr(f"concat('{{\"name\":', {quoted('route_long_name')}, ',', d, '}}')"))
+    variants = F.transform(F.array_sort(F.collect_list(F.struct("variant_idx", "stops"))), lambda x: x["stops"])
+    dest = patterns.groupBy("feed_id", "route_id", "destination", "dest_rank").agg(F.to_json(variants).alias("v"))
+    dest = dest.withColumn("pair", F.concat(_quoted(F.col("destination")), F.lit(":"), "v"))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("dest_rank", "pair"))), lambda x: x["pair"])
+    per = dest.groupBy("feed_id", "route_id").agg(F.array_join(pairs, ",").alias("d"))
+    named = per.join(routes.select("feed_id", "route_id", "route_long_name"), ["feed_id", "route_id"], "left")
+    name = _quoted(F.coalesce("route_long_name", F.lit("")))
+    return _entries_of(named, "route_id", F.concat(F.lit('{"name":'), name, F.lit(","), "d", F.lit("}")))
+
+
+def services_document(patterns: DataFrame, routes: DataFrame) -> DataFrame:
+    return whole(services_pieces(patterns, routes))
+
+
+def firstlast_pieces(entries: DataFrame) -> DataFrame:
+    return _entries_of(_texts(entries, "stop_id", "no", "entry"), "stop_id", F.col("v"))
 
 
 def firstlast_document(entries: DataFrame) -> DataFrame:
-    per = entries.groupBy("feed_id", "stop_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("no", "entry"))), lambda x: x["entry"])).alias("v"))
-    return _document(per, "stop_id", F.col("v"))
+    return whole(firstlast_pieces(entries))
 
 
 def ranking_rows(scores: DataFrame) -> DataFrame:
@@ -94,25 +133,37 @@ def ranking_rows(scores: DataFrame) -> DataFrame:
     return scores.select("feed_id", "stop_id", F.round("score", 2).alias("score")).orderBy("feed_id", F.desc("score"), "stop_id")
 
 
-def route_levels_document(paths: DataFrame) -> DataFrame:
-    """(feed, value): a list of {level, number, path} by route and shape; a path is a list of [lon, lat, height]."""
+def route_levels_pieces(paths: DataFrame) -> DataFrame:
+    """{level, number, path} by route and shape; a path is a list of [lon, lat, height]."""
     points = F.transform(F.array_sort(F.collect_list(F.struct("pt_seq", "lon", "lat", "z"))), lambda x: F.array(x["lon"], x["lat"], x["z"]))
     each = paths.groupBy("feed_id", "route_id", "shape_id", "level").agg(points.alias("path"))
-    listed = F.array_sort(F.collect_list(F.struct(F.col("route_id").alias("number"), "shape_id", "level", "path")))
-    out = F.transform(listed, lambda x: F.struct(x["level"].alias("level"), x["number"].alias("number"), x["path"].alias("path")))
-    return each.groupBy("feed_id").agg(F.to_json(out).alias("value"))
+    return each.select("feed_id", F.struct("route_id", "shape_id").alias("key"), F.to_json(F.struct("level", F.col("route_id").alias("number"), "path")).alias("piece"))
+
+
+def route_levels_document(paths: DataFrame) -> DataFrame:
+    """(feed, value): the list of ``route_levels_pieces``."""
+    return whole(route_levels_pieces(paths), LIST)
+
+
+def stop_levels_pieces(levels: DataFrame) -> DataFrame:
+    return _entries_of(levels, "stop_id", F.col("level").cast("string"))
 
 
 def stop_levels_document(levels: DataFrame) -> DataFrame:
     """(feed, value): the level of each stop by its id."""
-    return _document(levels, "stop_id", F.col("level").cast("string"))
+    return whole(stop_levels_pieces(levels))
 
 
-def stop_markers_document(markers: DataFrame, levels: DataFrame, names: DataFrame) -> DataFrame:
-    """(feed, value): a list of {number, name, level, contour} by stop."""
+def stop_markers_pieces(markers: DataFrame, levels: DataFrame, names: DataFrame) -> DataFrame:
+    """{number, name, level, contour} by stop."""
     rows = markers.join(levels, ["feed_id", "stop_id"], "left").join(names.select("feed_id", "stop_id", "name"), ["feed_id", "stop_id"], "left")
     one = F.struct(F.col("stop_id").alias("number"), "name", "level", F.array("ring").alias("contour"))
-    return rows.groupBy("feed_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("value"))
+    return rows.select("feed_id", F.col("stop_id").alias("key"), F.to_json(one).alias("piece"))
+
+
+def stop_markers_document(markers: DataFrame, levels: DataFrame, names: DataFrame) -> DataFrame:
+    """(feed, value): the list of ``stop_markers_pieces``."""
+    return whole(stop_markers_pieces(markers, levels, names), LIST)
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
@@ -127,10 +178,15 @@ def write_schedules(schedule: DataFrame, path: str) -> None:
     schedule.groupBy("feed_id", "stop_id").agg(services.alias("services")).write.mode("overwrite").partitionBy("feed_id", "stop_id").json(path)
 
 
-def to_feature_collection(features: DataFrame, kind: str = "Point") -> DataFrame:
-    """(feed, value): GeoJSON of rows (feed, id, properties map, coordinates array)."""
+def feature_pieces(features: DataFrame, kind: str = "Point") -> DataFrame:
+    """GeoJSON features by id of rows (feed, id, properties map, coordinates array)."""
     one = F.struct(F.lit("Feature").alias("type"), "id", F.col("properties"), F.struct(F.lit(kind).alias("type"), F.col("coordinates")).alias("geometry"))
-    return features.groupBy("feed_id").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(one).alias("features"))).alias("value"))
+    return features.select("feed_id", F.col("id").alias("key"), F.to_json(one).alias("piece"))
+
+
+def to_feature_collection(features: DataFrame, kind: str = "Point") -> DataFrame:
+    """(feed, value): a FeatureCollection of ``feature_pieces``."""
+    return whole(feature_pieces(features, kind), FEATURES)
 
 
 def services_record(services: DataFrame) -> DataFrame:
