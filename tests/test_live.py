@@ -132,12 +132,34 @@ def test_positions_go_when_their_service_is_unpinned(spark, tmp_path):
         spark.createDataFrame(p, pin).coalesce(1).write.parquet(f"{tmp_path}/pins/{i}")
         spark.createDataFrame(v, seen).coalesce(1).write.parquet(f"{tmp_path}/seen/{i}")
     stream = lambda kind, path: spark.readStream.schema(kind).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{path}")
-    drained(streams.cached_positions(stream(seen, "seen"), stream(pin, "pins")).writeStream.format("memory").queryName("cached").option("checkpointLocation", f"{tmp_path}/cp").start())
+    drained(streams.cached_positions(stream(seen, "seen"), stream(pin, "pins"), timeout="NoTimeout").writeStream.format("memory").queryName("cached").option("checkpointLocation", f"{tmp_path}/cp").start())
     assert rows(spark.table("cached"), "no", "vehicle_id", "lat", "gone") == sorted(
         [("7", "a", 1.0, False), ("7", "b", 1.0, False), ("7", "a", 1.5, False), ("7", "a", None, True), ("7", "b", None, True), ("8", "c", 3.0, False), ("8", "c", 4.0, False)], key=str
     )
 
 
+def test_silent_services_are_forgotten_and_state_outlives_a_restart(spark, tmp_path):
+    """Each step is a query of its own that goes on from the checkpoint."""
+    pin, seen = "feed_id string, no string, pinned boolean, ord long", "feed_id string, no string, vehicle_id string, lat double, lng double, ord long"
+    stream = lambda kind, path: spark.readStream.schema(kind).parquet(f"{tmp_path}/{path}")
+
+    def step(pins, vehicles, silence_ms):
+        got = []
+        for path, kind, data in (("pins", pin, pins), ("seen", seen, vehicles)):
+            spark.createDataFrame(data, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{path}")
+        query = streams.cached_positions(stream(seen, "seen"), stream(pin, "pins"), silence_ms=silence_ms)
+        query.writeStream.foreachBatch(lambda batch, _: got.extend(tuple(r)[1:] for r in batch.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(once=True).start().awaitTermination()
+        return sorted(got, key=str)
+
+    long = 600_000
+    assert step([("l", "7", True, 1), ("l", "8", True, 1)], [("l", "7", "a", 1.0, 2.0, 2)], long) == [("7", "a", 1.0, 2.0, False)]
+    assert step([], [("l", "7", "b", 1.0, 2.0, 3), ("l", "8", "c", 1.0, 2.0, 3)], 500) == [("7", "b", 1.0, 2.0, False), ("8", "c", 1.0, 2.0, False)]
+    time.sleep(1)  # both are silent for longer than they may be
+    gone = step([("l", "9", True, 4)], [("l", "9", "d", 1.0, 2.0, 5)], long)
+    assert gone == [("7", "a", None, None, True), ("7", "b", None, None, True), ("8", "c", None, None, True), ("9", "d", 1.0, 2.0, False)]
+    assert step([], [("l", "7", "a", 3.0, 4.0, 6), ("l", "9", "d", 3.0, 4.0, 6)], long) == [("9", "d", 3.0, 4.0, False)]
+
+
 def test_schema_is_checked(spark):
     with pytest.raises(ValueError):
         live.live_services(spark.createDataFrame([("l",)], "feed_id string"))

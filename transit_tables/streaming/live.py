@@ -47,11 +47,12 @@ def first_of_snapshots(batch: DataFrame, _epoch: int = 0) -> DataFrame:
     return batch.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 
-def cached_positions(vehicles: DataFrame, pins: DataFrame, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
+def cached_positions(vehicles: DataFrame, pins: DataFrame, timeout: str = GroupStateTimeout.ProcessingTimeTimeout, silence_ms: int = 3_600_000) -> DataFrame:
     """Rows (feed, no, vehicle, lat, lng, gone) of streams of vehicles (feed, no, vehicle, lat, lng, ord) and of pins (feed, no, pinned, ord).
 
     A vehicle's last position is kept while its service is pinned. When the service is unpinned, its
     vehicles are given once as gone and forgotten; positions of services that aren't pinned are left out.
+    The same goes for a pinned service without data for ``silence_ms``, which then counts as unpinned, unless ``timeout`` is NoTimeout.
     Rows of one service are taken in order of ``ord``.
     """
     kind = "feed_id string, no string, vehicle_id string, lat double, lng double, gone boolean"
@@ -59,6 +60,10 @@ def cached_positions(vehicles: DataFrame, pins: DataFrame, timeout: str = GroupS
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pinned, held = state.get if state.exists else (False, [])
         held, out = list(held), []
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(*key, v, None, None, True) for v in held], columns=["feed_id", "no", "vehicle_id", "lat", "lng", "gone"])
+            return
         for r in pd.concat(list(frames)).sort_values("ord").itertuples():
             if r.vehicle_id is None:
                 if pinned and not r.pinned:
@@ -70,6 +75,8 @@ def cached_positions(vehicles: DataFrame, pins: DataFrame, timeout: str = GroupS
                 out.append((*key, r.vehicle_id, r.lat, r.lng, False))
         if pinned:
             state.update((pinned, held))
+            if timeout != GroupStateTimeout.NoTimeout:
+                state.setTimeoutDuration(silence_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["feed_id", "no", "vehicle_id", "lat", "lng", "gone"])
