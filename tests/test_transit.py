@@ -141,6 +141,29 @@ def test_network(spark, feed):
     assert rows(network.usable_services(known), "route_id") == [("1",), ("2_x",)]
 
 
+def test_transfers_with_a_hub_by_brute_force(spark):
+    """Half of all variants visit the hub, some twice; requests from and to it, repeated and unknown ones."""
+    rng = random.Random(12)
+    known = [("f", f"r{i // 3}", f"d{i % 2}", i % 3, rng.choices(range(25), k=rng.randrange(1, 8))) for i in range(40)]
+    known = [(*v, stops[:2] + [99] + stops[2:] + [99] * (i % 4 == 0) if i % 2 else stops) for i, (*v, stops) in enumerate(known)]
+    asked = [(rng.choice([*range(25), 99]), rng.choice([*range(25), 99])) for _ in range(60)]
+    asked = [(a, b) for a, b in asked if a != b] + [(0, 1), (0, 1), (1, 1000)]
+    want = set()
+    for s, e in asked:
+        for *v, a in known:
+            if s in a and e not in a[a.index(s) :]:
+                after = set(a[a.index(s) + 1 :]) - {s, e}
+                for *w, b in known:
+                    if e in b and (met := [x for x in dict.fromkeys(b[: b.index(e) + 1]) if x in after and x not in (s, e)]):
+                        want.add((str(s), str(e), v[1], v[2], v[3], w[1], w[2], w[3], ",".join(map(str, met))))
+    patterns_ = spark.createDataFrame([(*v, 1, [str(x) for x in stops]) for *v, stops in known], "feed_id string, route_id string, destination string, variant_idx int, dest_rank int, stops array<string>")
+    pairs = spark.createDataFrame([("f", str(s), str(e)) for s, e in asked], "feed_id string, start_stop string, end_stop string")
+    got = [(r.start_stop, r.end_stop, r.from_route, r.from_destination, r.from_idx, r.to_route, r.to_destination, r.to_idx, ",".join(r.transfers)) for r in network.journeys_one_transfer(patterns_, pairs).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    direct = {(str(s), str(e), *v[1:]) for s, e in asked for *v, a in known if s in a and e in a[a.index(s) :]}
+    assert {(r.start_stop, r.end_stop, r.route_id, r.destination, r.variant_idx) for r in network.journeys_direct(patterns_, pairs).collect()} == direct
+
+
 def test_nearest_by_brute_force(spark):
     rng = random.Random(3)
     at = [(f"s{i}", rng.choice([0, 5, 50]) + rng.random(), rng.random()) for i in range(120)]

@@ -47,12 +47,19 @@ def services_per_stop(index: DataFrame) -> DataFrame:
     return index.groupBy("feed_id", "stop_id").agg(F.array_sort(F.collect_set("route_id")).alias("services"))
 
 
+def _variants_at(patterns: DataFrame, pairs: DataFrame, stop: str) -> DataFrame:
+    """(pair, variant, stops, first): the variants that visit a request's start or end, with the stop's first position."""
+    at = patterns.select(*VARIANT, F.explode(F.array_distinct("stops")).alias(stop))
+    asked = pairs.select("feed_id", "start_stop", "end_stop").distinct()
+    named = asked.join(at, ["feed_id", stop]).join(patterns.select(*VARIANT, "stops"), VARIANT)
+    return named.withColumn("first", F.array_position("stops", F.col(stop)).cast("int"))
+
+
 def journeys_direct(patterns: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair, variant) of variants that visit the end at or after the first position of the start."""
-    visits = pattern_visits(patterns)
-    start = pairs.join(visits.withColumnRenamed("stop_id", "start_stop"), ["feed_id", "start_stop"]).groupBy("feed_id", "start_stop", "end_stop", "route_id", "destination", "variant_idx").agg(F.min("pos").alias("start_pos"))
-    end = visits.select(*VARIANT, F.col("stop_id").alias("end_stop"), "pos")
-    return start.join(end, [*VARIANT, "end_stop"]).where("pos >= start_pos").select("feed_id", "start_stop", "end_stop", "route_id", "destination", "variant_idx").distinct()
+    start = _variants_at(patterns, pairs, "start_stop")
+    later = F.slice("stops", F.col("first"), F.size("stops"))
+    return start.where(F.array_contains(later, F.col("end_stop"))).select("feed_id", "start_stop", "end_stop", "route_id", "destination", "variant_idx").distinct()
 
 
 def journeys_one_transfer(patterns: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -60,19 +67,21 @@ def journeys_one_transfer(patterns: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Start variants with a direct way are left out, and so are the start and the end
     as transfer stops. Stops come in the order of the end variant.
+
+    A request's start and end variants meet as pairs, each with its set of stops, so a
+    stop is never a key of a join, however many variants share it.
     """
-    visits = pattern_visits(patterns)
-    firsts = visits.groupBy(*VARIANT, "stop_id").agg(F.min("pos").alias("first_pos"))
-    start = pairs.join(firsts.withColumnRenamed("stop_id", "start_stop"), ["feed_id", "start_stop"]).join(journeys_direct(patterns, pairs), ["feed_id", "start_stop", "end_stop", "route_id", "destination", "variant_idx"], "left_anti")
-    forward = start.join(visits.select(*VARIANT, "stop_id", "pos"), VARIANT).where("pos > first_pos and stop_id <> start_stop and stop_id <> end_stop")
-    forward = forward.select("feed_id", "start_stop", "end_stop", "stop_id", F.struct("route_id", "destination", "variant_idx").alias("from_variant")).distinct()
-    end = pairs.join(firsts.withColumnRenamed("stop_id", "end_stop"), ["feed_id", "end_stop"])
-    backward = end.join(visits.select(*VARIANT, "stop_id", "pos"), VARIANT).where("pos <= first_pos and stop_id <> start_stop and stop_id <> end_stop")
-    backward = backward.groupBy("feed_id", "start_stop", "end_stop", "stop_id", F.struct("route_id", "destination", "variant_idx").alias("to_variant")).agg(F.min("pos").alias("pos"))
-    both = forward.join(backward, ["feed_id", "start_stop", "end_stop", "stop_id"])
-    stops = F.transform(F.array_sort(F.collect_list(F.struct("pos", "stop_id"))), lambda x: x["stop_id"])
-    out = both.groupBy("feed_id", "start_stop", "end_stop", "from_variant", "to_variant").agg(stops.alias("transfers"))
-    return out.select("feed_id", "start_stop", "end_stop", F.col("from_variant.route_id").alias("from_route"), F.col("from_variant.destination").alias("from_destination"), F.col("from_variant.variant_idx").alias("from_idx"), F.col("to_variant.route_id").alias("to_route"), F.col("to_variant.destination").alias("to_destination"), F.col("to_variant.variant_idx").alias("to_idx"), "transfers")
+    request = ["feed_id", "start_stop", "end_stop"]
+    variant = F.struct("route_id", "destination", "variant_idx")
+    other = lambda stops: F.array_except(stops, F.array("start_stop", "end_stop"))  # noqa: E731  keeps the first of each stop, in order
+    start = _variants_at(patterns, pairs, "start_stop")
+    start = start.where(~F.array_contains(F.slice("stops", F.col("first"), F.size("stops")), F.col("end_stop")))
+    forward = start.select(*request, variant.alias("a"), other(F.slice("stops", F.col("first") + 1, F.size("stops"))).alias("after")).where("size(after) > 0")
+    end = _variants_at(patterns, pairs, "end_stop")
+    backward = end.select(*request, variant.alias("b"), other(F.slice("stops", F.lit(1), F.col("first"))).alias("before")).where("size(before) > 0")
+    both = forward.join(backward, request).where(F.arrays_overlap("after", "before"))
+    named = [F.col(f"{x}.{c}").alias(f"{y}_{d}") for x, y in (("a", "from"), ("b", "to")) for c, d in (("route_id", "route"), ("destination", "destination"), ("variant_idx", "idx"))]
+    return both.select(*request, *named, F.array_intersect("before", "after").alias("transfers"))
 
 
 def is_interchange(name):
