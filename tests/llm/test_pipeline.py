@@ -162,7 +162,15 @@ def test_mixed_rows_of_one_id_and_of_no_id(spark):
     want = mixing.copies(docs).groupBy("doc_id", "source", "size").sum("copies").collect()
     for r in want:
         assert r[3] == sum(n for (i, t, s), n in got.items() if (i, s, len((t or "").split())) == tuple(r)[:3])
-    assert got[1, "b a", "s"] in (1, 2) and got[None, "a b", "s"] >= 50
+    assert (got[1, "b a", "s"], got[1, "a b", "s"], got[None, "a b", "s"]) == (2, 4, 75)
+
+
+def test_mixed_rows_are_the_same_in_every_layout(spark):
+    rng = random.Random(4)
+    data = [(rng.choice([None, 1, 2, 3]), rng.choice(["a b", "b a", "a a", "x y z"]), rng.choice("st"), i % 9) for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, n int")
+    one, two, three = (Counter(tuple(r) for r in mixing.mixed(d).collect()) for d in (docs, docs.orderBy("text", "n", ascending=False), docs.repartition(7, "n")))
+    assert one == two == three and sum(one.values()) > 400
 
 
 def test_many_copies_of_one_row(spark, monkeypatch):

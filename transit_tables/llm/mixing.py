@@ -56,13 +56,16 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
 
     A null source is a source of its own. Null and empty texts have size 0 and, like
     all rows of a source without words, add nothing whatever their copies. Repeated
-    ids are separate documents. The same input and seed give the same result.
+    ids are separate documents, in order of what they carry. The same input and seed give the same result,
+    but for rows of one id, source and size that carry nothing or the same, which take their copies in any order.
     Sources are few: their totals are put in order in one task.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), (F.col(carry) if carry else F.lit(None).cast("string")).alias("carried"))
     rows = save(rows, "sizes")  # words are counted once
     key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
-    rows = rows.withColumn("key", key).withColumn("bucket", F.substring("key", 1, 2))
+    # Rows without an id are dealt by what they carry, else they would share a bucket.
+    more = F.when(F.col("id").isNull(), F.substring(F.md5(F.col("carried").cast("string").cast("binary")), 1, 2)) if carry else F.lit(None).cast("string")
+    rows = rows.withColumn("key", key).withColumn("bucket", F.concat(F.substring("key", 1, 2), F.coalesce(more, F.lit(""))))
     per_size = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     per_bucket = rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
     earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
@@ -74,7 +77,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
     # Named sides for joins that treat null sources as equal.
     s = sizes.alias("s").join(targets.withColumn("offset", start).alias("t"), F.expr("s.source <=> t.source")).select("s.source", "s.size", "s.smaller", "t.source_size", "t.target", "t.offset")
     b = buckets.alias("b").join(s.alias("s"), F.expr("b.source <=> s.source and b.size = s.size")).select("b.source", "b.size", "b.bucket", "b.before", "s.smaller", "s.source_size", "s.target", "s.offset")
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("key", "id")))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("key", "id", "carried")))
     out = placed.alias("r").join(b.alias("b"), F.expr("r.source <=> b.source and r.size = b.size and r.bucket = b.bucket"))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     out = out.select("r.id", "r.source", "r.size", "r.carried", "b.source_size", F.coalesce("b.target", F.lit(0.0)).alias("target"), share.alias("share"), (F.col("b.smaller") + F.col("b.before") + F.col("r.place")).alias("at"), "b.offset")
@@ -88,6 +91,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     Rows that are equal in every column count together, so a large group of them is
     one row with a number of copies, which are made ``REPEATED`` at a time. Map columns are compared as JSON.
+    Rows in any layout give the same result, also where ids repeat or are null.
     """
     key, n, lot = fresh(docs, "row_key", "row_copies", "row_lot")
     values = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
