@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import REF_LAT, opposite_stop_id, planar_distance, ruler_bearing, ruler_distance_km, walking_minutes
+from ..functions.order import service_sort_key
 from ..tables import save
 
 VARIANT = ["feed_id", "route_id", "destination", "variant_idx"]
@@ -172,6 +173,14 @@ def shared_stops(patterns: DataFrame, services: DataFrame) -> DataFrame:
     return out.where("n > 1").select("feed_id", "stop_id", "services", F.when(F.col("terminal"), "end").otherwise("intersect").alias("kind"))
 
 
+def shared_labels(patterns: DataFrame, services: DataFrame) -> DataFrame:
+    """(feed, stop, route, place): at each stop of ``shared_stops`` the chosen services that visit it on any variant, in service order."""
+    chosen = patterns.join(services, ["feed_id", "route_id"], "left_semi")
+    present = chosen.select("feed_id", "route_id", F.explode("stops").alias("stop_id")).distinct().join(shared_stops(patterns, services), ["feed_id", "stop_id"], "left_semi")
+    order = Window.partitionBy("feed_id", "stop_id").orderBy(*service_sort_key(F.col("route_id")))
+    return present.select("feed_id", "stop_id", "route_id", F.row_number().over(order).alias("place"))
+
+
 def known_services(requested: DataFrame, patterns: DataFrame) -> DataFrame:
     """Rows (feed, wanted) with "a~b~c" as one row for each service that exists."""
     each = requested.select("feed_id", F.explode(F.split("wanted", "~")).alias("route_id"))

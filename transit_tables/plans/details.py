@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import clock, order
-from ..operators import diagram, graphs, live, network, schedule, shapes
-from ..sources import artefacts
+from ..functions import clock, order, sql
+from ..operators import diagram, graphs, live, network, places, schedule, shapes
+from ..sources import artefacts, feeds
 from . import queries as q
 from .fixtures import DIRECTED, PATTERNS, VISITS, load, oracle
 
@@ -134,11 +134,42 @@ def universal_names(s, d):
     return graphs.universal_names(members, q._stops(s, d))
 
 
+#: An example registry around the stops of the test tables: boxes in boxes, two of one size, one over the date line.
+PLACES = (
+    ("default", "Default feed", -180.0, -90.0, 180.0, 90.0, False, False),
+    ("city", "City", 77.4, 12.8, 77.7, 13.1, True, False),
+    ("core", "Core", 77.5, 12.9, 77.6, 13.0, True, True),
+    ("gate", "Gate", 77.6, 12.9, 77.7, 13.0, False, True),
+    ("north", "North", 77.3, 13.0, 77.8, 13.3, False, True),
+    ("dateline", "Dateline", 175.0, -20.0, -175.0, -10.0, True, True),
+)
+
+
+def feed_of_stops(s, d):
+    """The feed of the smallest box around each stop."""
+    stops = q._stops(s, d).select(F.col("feed_id").alias("own_feed"), "stop_id", "lon", "lat")
+    return places.locate_feeds(stops, feeds.feeds(s, PLACES)).select("own_feed", "stop_id", "feed_id", "live_arrivals", "live_vehicles")
+
+
+def shared_stop_labels(s, d):
+    return network.shared_labels(q._patterns(s, d), load(s, d, "routes")[0].select("feed_id", "route_id"))
+
+
+def stop_hours_in_sql(s, d):
+    """Hours of service at each stop, by the functions that SQL can call."""
+    sql.register(s)
+    text = """SELECT feed_id, stop_id, min(gtfs_seconds(arrival_time)) AS first_s, max(gtfs_seconds(arrival_time)) AS last_s,
+      hhmm_packed(min(gtfs_hhmm(arrival_time))) AS first, format_hhmm(hhmm_packed(max(gtfs_hhmm(arrival_time)))) AS last,
+      max(arrival_label(schedule_ms(gtfs_hhmm(arrival_time, true), '12:00'))) AS label FROM {times} GROUP BY feed_id, stop_id"""
+    return s.sql(text, times=load(s, d, "stop_times")[0])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         parsed_arrivals, service_durations, route_keys, variant_similarity, strict_positions, fresh_stops, pinned_services, located_vehicles, numbered_routes, weekend_services, usable_services,
         route_shapes, level_paths, stop_rings, prefix_groups, forward_id_order, ranking_rows, variant_geometry, universal_names,
+        feed_of_stops, shared_stop_labels, stop_hours_in_sql,
     )
 }
 
@@ -150,7 +181,24 @@ MEMBERS = PATTERNS + """,
 mem AS (SELECT DISTINCT feed_id, route_id, unnest(stops) AS stop_id FROM patterns)"""
 KY0 = shapes.scales(0.0)[1]
 
+BOXES = ", ".join(f"('{f}', {w}, {s}, {e}, {n}, {a}, {v})" for f, _, w, s, e, n, a, v in PLACES)
+SHARED = VISITS + """,
+two AS (SELECT *, dense_rank() OVER (PARTITION BY feed_id, route_id ORDER BY dest_rank, variant_idx) AS k FROM visits),
+met AS (SELECT feed_id, stop_id FROM two WHERE k <= 2 GROUP BY ALL HAVING count(DISTINCT route_id) > 1)"""
+
 ORACLE = {
+    "feed_of_stops": oracle(f""",
+box (feed, west, south, east, north, a, v) AS (VALUES {BOXES}),
+held AS (SELECT s.feed_id AS own_feed, stop_id, feed, a, v, row_number() OVER (PARTITION BY s.feed_id, stop_id ORDER BY (CASE WHEN west > east THEN east + 360 - west ELSE east - west END) * (north - south), feed) AS k FROM v_stops s
+  JOIN box ON stop_lat BETWEEN south AND north AND CASE WHEN west > east THEN stop_lon >= west OR stop_lon <= east ELSE stop_lon BETWEEN west AND east END)
+ SELECT own_feed, stop_id, feed AS feed_id, a AS live_arrivals, v AS live_vehicles FROM held WHERE k = 1""", S),
+    "shared_stop_labels": oracle(SHARED + """
+ SELECT feed_id, stop_id, route_id, row_number() OVER (PARTITION BY feed_id, stop_id ORDER BY route_id) AS place FROM (SELECT DISTINCT feed_id, stop_id, route_id FROM visits SEMI JOIN met USING (feed_id, stop_id))""", T, ST),
+    "stop_hours_in_sql": oracle("""
+, t AS (SELECT *, CAST(substr(arrival_time, 1, 2) AS BIGINT) AS h, CAST(substr(arrival_time, 4, 2) AS BIGINT) AS m FROM v_stop_times),
+u AS (SELECT feed_id, stop_id, h * 3600 + m * 60 AS s, lpad(CAST(h % 24 AS VARCHAR), 2, '0') AS hh, lpad(CAST(m AS VARCHAR), 2, '0') AS mm, h * 60 + m - 720 AS d FROM t)
+ SELECT feed_id, stop_id, min(s) AS first_s, max(s) AS last_s, replace(min(hh || ':' || mm), ':', '') AS first, max(hh || ':' || mm) AS last,
+  max(CASE WHEN d = 0 THEN 'N/A' WHEN d < 0 THEN 'Arriving' WHEN d = 1 THEN '1 min' ELSE CAST(d AS VARCHAR) || ' min' END) AS label FROM u GROUP BY ALL""", ST),
     "parsed_arrivals": oracle(f""", p AS (SELECT event_id, strptime(arrivaltime, '%d-%m-%Y %H:%M:%S') - INTERVAL 330 MINUTE AS at_ FROM v_arrival_texts),
 m AS (SELECT event_id, epoch_ms(at_) AS epoch_ms, epoch_ms(at_) - epoch_ms(TIMESTAMP '{NOW}') AS duration_ms FROM p)
  SELECT *, CASE WHEN duration_ms < 60000 THEN 'Arr' ELSE CAST(duration_ms // 60000 AS VARCHAR) || 'm' END AS text,
