@@ -129,6 +129,18 @@ def test_tables_read_by_line_tell_which_lines_are_broken(spark, tmp_path):
     assert {(r.trip_id, r.shape_id) for r in whole.collect()} == {("t1", "x\ny"), ("t2", None)}
 
 
+def test_similar_routes_by_brute_force(spark):
+    """Every route visits the hub; blocks of 5 and of 256 routes, any least share."""
+    rng = random.Random(8)
+    stops = {f"r{i}": {99, *rng.sample(range(30), rng.randint(0, 9))} for i in range(70)} | {"twin": {99, 1, 2, 3}, "twin2": {99, 1, 2, 3}}
+    members = spark.createDataFrame([("f", r, f"s{x}") for r, xs in stops.items() for x in xs] + [("g", "r1", "s99")], "feed_id string, route_id string, stop_id string")
+    for least, block in ((0.0, 5), (0.2, 5), (0.5, 256), (1.0, 5)):
+        want = {(a, b): j for a in stops for b in stops if a < b and (j := len(stops[a] & stops[b]) / len(stops[a] | stops[b])) >= least and j > 0}
+        got = {(r.a, r.b): r.jaccard for r in graphs.route_similarity(members, least, block).collect()}
+        assert got == want and ("twin", "twin2") in got
+    assert graphs.rarest_stops(members, 1.0).count() == len(stops) + 1 < graphs.rarest_stops(members, 0.5).count() < members.count()
+
+
 def test_levels_of_bands_equal_those_of_one_loop(spark):
     rng = random.Random(7)
     stops = {(f, f"r{i}"): rng.sample("abcdefghij", rng.randint(1, 3)) for f in "fg" for i in range(40)}
