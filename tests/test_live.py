@@ -160,6 +160,43 @@ def test_silent_services_are_forgotten_and_state_outlives_a_restart(spark, tmp_p
     assert step([], [("l", "7", "a", 3.0, 4.0, 6), ("l", "9", "d", 3.0, 4.0, 6)], long) == [("9", "d", 3.0, 4.0, False)]
 
 
+def test_lost_snapshots_give_the_schedule(spark, tmp_path):
+    at = lambda minute, second=0: datetime(2024, 1, 1, 8, minute, second)
+    due, came = "feed_id string, stop_id string, due timestamp", "feed_id string, stop_id string, ts timestamp"
+    schedule = spark.createDataFrame([("l", s, "2", "x", ["08:10"]) for s in "ab"], "feed_id string, stop_id string, no string, destination string, trips array<string>")
+    static, lost, shown = live.static_services(schedule, F.lit("08:00")), [], []
+
+    def each(batch, _):
+        lost.extend((r.stop_id, r.due) for r in batch.collect())
+        shown.extend((r.stop_id, r.no, r.next.duration_ms) for r in streams.lost_to_schedule(batch, static).collect())
+
+    steps = [([(s, at(0)) for s in "ab"], [("a", at(0, 10)), ("b", at(1))]), ([("a", at(20))], [("a", at(20, 29))]), ([("a", at(40))], [("a", at(40, 1))]), ([("a", at(59))], [("a", at(59))])]
+    for expected, arrived in steps:
+        for path, kind, data in (("due", due, expected), ("came", came, arrived)):
+            spark.createDataFrame([("l", *x) for x in data], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{path}")
+        source = lambda path, kind: spark.readStream.schema(kind).parquet(f"{tmp_path}/{path}")
+        query = streams.lost_snapshots(source("due", due), source("came", came), watermark="1 minute")
+        query.writeStream.foreachBatch(each).option("checkpointLocation", f"{tmp_path}/cp").trigger(once=True).start().awaitTermination()
+    assert lost == [("b", at(0))] and shown == [("b", "2", 600_000)]  # b's snapshot came after its grace
+
+
+def test_a_batch_is_tried_again_and_given_once(spark, tmp_path):
+    batch, seen, fails = spark.createDataFrame([(1,)], "n int"), [], iter([True, False, True, True, True])
+
+    def sink(rows, epoch):
+        if next(fails, False):
+            raise ValueError("no sink")
+        seen.append((epoch, rows.count()))
+
+    each = streams.retried(sink, f"{tmp_path}/marks")
+    each(batch, 0)
+    each(batch, 0)  # replayed after a restart
+    with pytest.raises(ValueError):
+        each(batch, 1)  # three failures
+    each(batch, 1)
+    assert seen == [(0, 1), (1, 1)]
+
+
 def test_schema_is_checked(spark):
     with pytest.raises(ValueError):
         live.live_services(spark.createDataFrame([("l",)], "feed_id string"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import live
+from ..tables import files
 
 WATERMARK = "10 minutes"
 #: Minutes that a bus may come sooner or later than at the last refresh and still be the same.
@@ -25,6 +26,53 @@ def stream_live_services(predictions: DataFrame, sink: Callable[[DataFrame, int]
     return predictions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).start()
 
 
+def retried(sink: Callable[[DataFrame, int], None], marks: str, tries: int = 3) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a batch is given to ``sink`` up to ``tries`` times, and never again once that went well.
+
+    Each batch that went well leaves a file of its number in the folder ``marks``, so one that is replayed after a restart is
+    passed over. The last failure is raised and stops the query, which goes on with that batch when it is started again.
+    """
+    def each(batch: DataFrame, epoch: int) -> None:
+        from pyarrow import fs
+
+        system, root = files(marks)
+        if system.get_file_info(f"{root}/{epoch}").type != fs.FileType.NotFound:
+            return
+        kept = batch.persist()
+        try:
+            for k in range(tries):
+                try:
+                    sink(kept, epoch)
+                    break
+                except Exception:
+                    if k + 1 == tries:
+                        raise
+        finally:
+            kept.unpersist()
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/{epoch}"):
+            pass
+
+    return each
+
+
+def lost_snapshots(expected: DataFrame, arrived: DataFrame, grace: str = "30 seconds", watermark: str = WATERMARK) -> DataFrame:
+    """(feed, stop, due) of a stream of expected refreshes (feed, stop, due) for which no snapshot (feed, stop, ts) came from ``due`` on within ``grace``.
+
+    A refresh is given up once both streams have passed it by ``watermark`` and the grace; state is kept until then.
+    """
+    due = expected.select("feed_id", "stop_id", "due").withWatermark("due", watermark)
+    came = arrived.select(F.col("feed_id").alias("_feed"), F.col("stop_id").alias("_stop"), "ts").withWatermark("ts", watermark)
+    on = F.expr(f"feed_id = _feed and stop_id = _stop and ts >= due and ts < due + interval {grace}")
+    return due.join(came, on, "leftOuter").where("ts is null").select("feed_id", "stop_id", "due")
+
+
+def lost_to_schedule(lost: DataFrame, static: DataFrame) -> DataFrame:
+    """The schedule's services for a batch of lost refreshes, as ``arrivals_with_fallback`` gives them for stops without live data."""
+    at = lost.select("feed_id", "stop_id").distinct()
+    return static.join(at, ["feed_id", "stop_id"], "left_semi")
+
+
 def latest_positions(vehicles: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """The newest mappable record of each vehicle; ``ts`` is a timestamp. For update mode."""
     ok = vehicles.where(live.mappable(F.col("lat"), F.col("lng"))).withWatermark("ts", watermark)
