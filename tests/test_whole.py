@@ -1,10 +1,11 @@
 """Small tables on which a query that reads only a part of its input gives too few rows."""
 
 import io
+import math
 import random
 import zipfile
 
-from transit_tables.operators import graphs, search
+from transit_tables.operators import diagram, graphs, search, shapes
 from transit_tables.plans import fixtures, queries
 from transit_tables.sources import feeds as sources
 from transit_tables.sources import zips
@@ -178,3 +179,47 @@ def test_zips_load_as_folders_do(spark, tmp_path):
         for got in (zips[name], spark.read.parquet(f"{tmp_path}/out/{name}")):
             assert [tuple(r) for r in got.orderBy("ord").drop("ord").collect()] == want
         assert [tuple(r) for r in sources.present_columns(spark, f"{tmp_path}/zips", name).collect()] == [tuple(r) for r in sources.present_columns(spark, f"{tmp_path}/folder", name).collect()]
+
+
+def test_levels_are_handed_from_band_to_band(spark):
+    """A hub of all routes fills one range; a stop that pauses for several bands keeps its levels."""
+    stops = {f"r{i:03}": ["hub"] + (["pause"] if i in (0, 1, 90) else []) + [f"own{i}"] for i in range(100)}
+    members = spark.createDataFrame([("f", r, s) for r, ss in stops.items() for s in ss], "feed_id string, route_id string, stop_id string")
+    priority = spark.createDataFrame([("f", r, float(i)) for i, r in enumerate(stops)], "feed_id string, route_id string, priority double")
+    found = graphs.assign_levels(members, priority, 10 * (graphs.ROUTE_WEIGHT + 3)).collect()
+    assert {r.route_id: r.level for r in found} == {r: i + 1 for i, r in enumerate(stops)}
+    apart = members.where("stop_id <> 'hub'")
+    found = {r.route_id: r.level for r in graphs.assign_levels(apart, priority, 10 * (graphs.ROUTE_WEIGHT + 3)).collect()}
+    assert found == {r: 2 if r == "r001" else 3 if r == "r090" else 1 for r in stops}
+
+
+def test_simplified_shapes_equal_a_recursion(spark):
+    rng = random.Random(3)
+    tolerance = 0.05
+
+    def kept(points, a, b):
+        far, at = tolerance, None
+        (x0, y0), (x1, y1) = points[a], points[b]
+        for i in range(a + 1, b):
+            x, y = points[i]
+            size = (x1 - x0) ** 2 + (y1 - y0) ** 2
+            t = 0 if size == 0 else min(1, max(0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / size))
+            off = math.hypot(x - x0 - t * (x1 - x0), y - y0 - t * (y1 - y0))
+            if off > far:
+                far, at = off, i
+        return [] if at is None else [*kept(points, a, at), at, *kept(points, at, b)]
+
+    lines = {f"s{n}": [(77 + rng.random() / 2, 12 + rng.random() / 2) for _ in range(n)] for n in (1, 2, 3, 10, 60)}
+    lines["loop"] = [(77.0, 12.0), (77.3, 12.0), (77.3, 12.3), (77.0, 12.0)]
+    lines["same"] = [(77.0, 12.0)] * 4
+    points = spark.createDataFrame([("f", k, i, y, x) for k, line in lines.items() for i, (x, y) in enumerate(line)], "feed_id string, shape_id string, pt_seq int, lat double, lon double")
+    want = {(k, i) for k, line in lines.items() for i in {0, len(line) - 1, *kept(line, 0, len(line) - 1)}}
+    assert {(r.shape_id, r.pt_seq) for r in shapes.simplify_shapes(points, tolerance).collect()} == want
+    assert shapes.simplify_shapes(points.limit(0), tolerance).count() == 0
+
+
+def test_forward_ids_are_compared_as_numbers_before_texts(spark):
+    stops = {"a": ["0", "10"], "b": ["0", "9"], "c": ["0", "x"], "d": ["0"], "e": ["0", "9", "2"], "10": ["0", "9"], "2": ["0", "9"]}
+    routes = spark.createDataFrame([("f", "0", r, ss) for r, ss in stops.items()], "feed_id string, stop_id string, route_id string, stops array<string>")
+    placed = diagram.order_by_forward_ids(routes).orderBy("place").collect()
+    assert [r.route_id for r in placed] == ["d", "10", "2", "b", "e", "a", "c"]  # ties by service order: first digit, then number

@@ -130,10 +130,27 @@ def variant_geometry(s, d):
 
 
 def universal_names(s, d):
-    members = graphs.route_stops(q._patterns(s, d)).where("route_id like '%7'").unionByName(load(s, d, "routes")[0].where("route_id like '%7'").select("feed_id", "route_id", F.lit("S1").alias("stop_id"))).distinct()
-    return graphs.universal_names(members, q._stops(s, d))
+    """Areas, as names of their stops, that all routes of a feed reach."""
+    areas = q._stops(s, d).withColumn("name", F.when(F.col("lat") < AREAS, "South").otherwise("North"))
+    return graphs.universal_names(graphs.route_stops(q._patterns(s, d)), areas)
 
 
+def simplified_shapes(s, d):
+    return shapes.simplify_shapes(q._shape_points(s, d), 0.05)
+
+
+def undecodable_shapes(s, d):
+    """Lines by whether they can be decoded, where a third lost their last character and a third got one outside the alphabet."""
+    lines = shapes.encode_shapes(q._shape_points(s, d))
+    third = F.substring("shape_id", 2, 20).substr(F.lit(1), F.instr(F.substring("shape_id", 2, 20), "-") - 1).cast("bigint") % 3
+    cut = F.col("polyline").substr(F.lit(1), F.length("polyline") - 1)
+    broken = lines.withColumn("polyline", F.when(third == 0, cut).when(third == 1, F.concat("polyline", F.lit("!"))).otherwise(F.col("polyline")))
+    return shapes.decodable(broken).select("feed_id", "shape_id", "error")
+
+
+#: The latitude between two areas of the test tables' stops.
+AREAS = 12.9705
+
 #: An example registry around the stops of the test tables: boxes in boxes, two of one size, one over the date line.
 PLACES = (
     ("default", "Default feed", -180.0, -90.0, 180.0, 90.0, False, False),
@@ -168,7 +185,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         parsed_arrivals, service_durations, route_keys, variant_similarity, strict_positions, fresh_stops, pinned_services, located_vehicles, numbered_routes, weekend_services, usable_services,
-        route_shapes, level_paths, stop_rings, prefix_groups, forward_id_order, ranking_rows, variant_geometry, universal_names,
+        route_shapes, level_paths, stop_rings, prefix_groups, forward_id_order, ranking_rows, variant_geometry, universal_names, simplified_shapes, undecodable_shapes,
         feed_of_stops, shared_stop_labels, stop_hours_in_sql,
     )
 }
@@ -180,6 +197,7 @@ an AS (SELECT ah.*, coalesce(stop_name, other) AS name FROM ah LEFT JOIN v_stops
 MEMBERS = PATTERNS + """,
 mem AS (SELECT DISTINCT feed_id, route_id, unnest(stops) AS stop_id FROM patterns)"""
 KY0 = shapes.scales(0.0)[1]
+FEED_LIST = "[" + ", ".join(f"'{f}'" for f in q.FEEDS) + "]"
 
 BOXES = ", ".join(f"('{f}', {w}, {s}, {e}, {n}, {a}, {v})" for f, _, w, s, e, n, a, v in PLACES)
 SHARED = VISITS + """,
@@ -235,10 +253,11 @@ ks AS (SELECT feed_id, stop_id, route_id, list(other ORDER BY off_) AS key FROM
     "variant_geometry": oracle(VISITS + q.STANDIN.removeprefix(DIRECTED) + """,
 ks AS (SELECT DISTINCT feed_id, route_id || '-' || CAST(variant_idx AS VARCHAR) AS shape_id FROM patterns)
  SELECT feed_id, shape_id, count(*) AS points FROM pts WHERE EXISTS (SELECT 1 FROM ks WHERE ks.feed_id = pts.feed_id AND ks.shape_id = pts.shape_id) GROUP BY ALL""", T, ST, S),
-    "universal_names": oracle(MEMBERS + """,
-chosen AS (SELECT feed_id, route_id, stop_id FROM mem WHERE route_id LIKE '%7' UNION SELECT feed_id, route_id, 'S1' FROM v_routes WHERE route_id LIKE '%7'),
-nm AS (SELECT DISTINCT chosen.feed_id, route_id, stop_name AS name FROM chosen JOIN v_stops n ON n.feed_id = chosen.feed_id AND n.stop_id = chosen.stop_id)
- SELECT feed_id, name FROM nm GROUP BY feed_id, name HAVING count(*) = (SELECT count(DISTINCT route_id) FROM nm n2 WHERE n2.feed_id = nm.feed_id)""", T, ST, S, R),
+    "universal_names": oracle(MEMBERS + f""",
+nm AS (SELECT DISTINCT mem.feed_id, route_id, CASE WHEN stop_lat < CAST({AREAS!r} AS DOUBLE) THEN 'South' ELSE 'North' END AS name FROM mem JOIN v_stops n ON n.feed_id = mem.feed_id AND n.stop_id = mem.stop_id)
+ SELECT feed_id, name FROM nm GROUP BY feed_id, name HAVING count(*) = (SELECT count(DISTINCT route_id) FROM nm n2 WHERE n2.feed_id = nm.feed_id)""", T, ST, S),
+    "undecodable_shapes": oracle(q.STANDIN + """
+ SELECT DISTINCT feed_id, shape_id, CASE WHEN CAST(split_part(substr(shape_id, 2), '-', 1) AS BIGINT) % 3 < 2 THEN 'not a polyline' END AS error FROM pts""", T, ST, S),
 }
 
 #: SQL of queries in ``queries`` that have none there.
@@ -265,12 +284,12 @@ ks AS (SELECT feed_id, stop_id, route_id, list({'less': less, 'name': name} ORDE
  FROM top8 t LEFT JOIN ks ON ks.feed_id = t.feed_id AND ks.stop_id = t.stop_id AND ks.route_id = t.route_id""", T, ST, S),
     "snap_to_shapes": oracle(q.VEHICLE + q.STANDIN + f""",
 legs AS (SELECT feed_id, lag(lon) OVER w AS x1, lag(lat) OVER w AS y1, lon AS x2, lat AS y2 FROM pts WINDOW w AS (PARTITION BY feed_id, shape_id ORDER BY pt_seq)),
-lg AS (SELECT DISTINCT * FROM legs WHERE x1 IS NOT NULL AND feed_id = 'BUILDING'),
-v AS (SELECT vehicle_id, lat, lng FROM vmap),
-t0 AS (SELECT *, (x2 - x1) * {q.KX!r} AS dx, (y2 - y1) * {q.KY!r} AS dy, (lng - x1) * {q.KX!r} AS px, (lat - y1) * {q.KY!r} AS py FROM v JOIN lg
-  ON lng BETWEEN least(x1, x2) - 0.01 AND greatest(x1, x2) + 0.01 AND lat BETWEEN least(y1, y2) - 0.01 AND greatest(y1, y2) + 0.01),
+lg AS (SELECT DISTINCT * FROM legs WHERE x1 IS NOT NULL),
+v AS (SELECT {FEED_LIST}[CAST(vehicle_id AS INTEGER) % 5 + 1] AS feed_id, vehicle_id, lat, lng FROM vmap),
+t0 AS (SELECT v.*, x1, y1, (x2 - x1) * {q.KX!r} AS dx, (y2 - y1) * {q.KY!r} AS dy, (lng - x1) * {q.KX!r} AS px, (lat - y1) * {q.KY!r} AS py, x2, y2 FROM v JOIN lg ON lg.feed_id = v.feed_id
+  AND lng BETWEEN least(x1, x2) - 0.01 AND greatest(x1, x2) + 0.01 AND lat BETWEEN least(y1, y2) - 0.01 AND greatest(y1, y2) + 0.01),
 t1 AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0, least(1, (px * dx + py * dy) / (dx * dx + dy * dy))) ELSE 0 END AS t FROM t0),
 t2 AS (SELECT *, x1 + t * (x2 - x1) AS sx, y1 + t * (y2 - y1) AS sy FROM t1),
 t3 AS (SELECT vehicle_id, arg_min(sx, km) AS sx, arg_min(sy, km) AS sy, min(km) AS km FROM (SELECT *, sqrt(pow((sx - lng) * {q.KX!r}, 2) + pow((sy - lat) * {q.KY!r}, 2)) AS km FROM t2) WHERE km < 0.5 GROUP BY ALL)
- SELECT 'BUILDING' AS feed_id, v.vehicle_id, round(coalesce(sy, lat), 9) AS lat, round(coalesce(sx, lng), 9) AS lng, round(km * 1000, 3) AS metres FROM v LEFT JOIN t3 ON t3.vehicle_id = v.vehicle_id""", "vehicles", T, ST, S),
+ SELECT v.feed_id, v.vehicle_id, round(coalesce(sy, lat), 9) AS lat, round(coalesce(sx, lng), 9) AS lng, round(km * 1000, 3) AS metres FROM v LEFT JOIN t3 ON t3.vehicle_id = v.vehicle_id""", "vehicles", T, ST, S),
 }

@@ -12,6 +12,8 @@ from ..tables import save
 from .fixtures import DIRECTED, PATTERNS, VISITS, load, oracle
 
 NOW_HHMM = "08:00"
+#: The feeds of the test tables.
+FEEDS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
 def _trips(s, d):
@@ -180,7 +182,9 @@ def cluster_routes(s, d):
 
 
 def snap_to_shapes(s, d):
-    vehicles = live.vehicle_map(load(s, d, "vehicles")[0]).withColumn("feed_id", F.lit("BUILDING")).select("feed_id", "vehicle_id", "lat", "lng")
+    """Vehicles go to the feeds by their numbers."""
+    of = F.element_at(F.array(*map(F.lit, FEEDS)), (F.col("vehicle_id").cast("int") % len(FEEDS) + 1).cast("int"))
+    vehicles = live.vehicle_map(load(s, d, "vehicles")[0]).select(of.alias("feed_id"), "vehicle_id", "lat", "lng")
     return shapes.snap_to_shapes(vehicles, _shape_points(s, d), 500.0).select("feed_id", "vehicle_id", F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng"), F.round("metres", 3).alias("metres"))
 
 

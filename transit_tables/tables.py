@@ -22,11 +22,20 @@ def work_dir(spark: SparkSession) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so its lineage ends there."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def append(df: DataFrame, path: str, by: str) -> None:
+    """Add ``df`` to the table at ``path``, in a folder for each value of ``by``."""
+    df.write.mode("append").partitionBy(by).parquet(path)
+
+
 def files(uri: str):
     """The file system and path of a folder's URI, for formats that Spark has no reader or writer for."""
     from pyarrow import fs
