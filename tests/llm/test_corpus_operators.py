@@ -427,11 +427,25 @@ def test_near_vectors(spark, monkeypatch):
     want, degree = components(len(data), linked), Counter(i for p in linked for i in p)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(frame).collect()}
     assert got == {i: (degree[i], want[i], want[i] == i) for i in range(len(data))}
+    monkeypatch.setattr(near_vectors, "SKETCH", 8)  # most sketches are within reach of each other
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(frame).collect()} == got
+    monkeypatch.undo()
     repeated = spark.createDataFrame([(None, [1.0, 2.0], 1), (3, [1.0, 2.0], 1), (3, [1.0, 2.0], 1)], "vec_id long, embedding array<double>, label int")
     assert sorted(map(tuple, near_vectors.near_vectors(repeated).collect()), key=str) == sorted([(None, 2, 3, False), (3, 2, 3, True), (3, 2, 3, True)], key=str)
     assert near_vectors.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_sketches_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(5)
+    reach = near_vectors.sketch_reach()
+    x, y = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    z = 0.93 * x + math.sqrt(1 - 0.93**2) * y
+    planes = rng.normal(size=(4000, near_vectors.SKETCH, 64))
+    differ = ((planes @ x > 0) != (planes @ z > 0)).sum(1)
+    assert abs(differ.mean() / near_vectors.SKETCH - math.acos(0.93) / math.pi) < 0.005
+    assert differ.max() <= reach < near_vectors.SKETCH / 3 and near_vectors.sketch_reach(1.0) == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

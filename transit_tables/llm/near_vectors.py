@@ -1,11 +1,14 @@
 """Near-duplicate vectors by random-hyperplane sign hashing in several tables.
 
 Equal vectors of a label are one class with a weight. Classes of a label whose signs
-agree in a table meet in one bucket, where every cosine is computed in double
-precision. A pair is counted in the first table in which it meets, so links need no
-list of pairs: each bucket gives sums for its members and a forest of its links.
-Buckets over ``BLOCK`` members are dealt into blocks, and each pair of blocks is a
-piece of work of its own.
+agree in a table meet in one bucket, first without their vectors: each has a sketch,
+the signs for hyperplanes of its own, and is a candidate in a bucket if another
+sketch there differs in few enough signs. Only candidates' vectors are sent to their buckets,
+where every cosine is computed in double precision. A pair is counted in the first
+table in which it meets, so a vector goes to few tables and links need no list of
+pairs: each bucket gives sums for its members and a forest of its links. Buckets
+over ``BLOCK`` members are dealt into blocks, and each pair of blocks is a piece of
+work of its own.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ COSINE = 0.93
 RECALL = 0.9999
 #: Vectors expected in a bucket of the largest label, and the most in a block.
 BUCKET, BLOCK = 128, 1024
+#: Signs in a sketch, and the share of pairs at the threshold whose sketches may differ too much; closer pairs do more rarely.
+SKETCH, MISSED = 128, 1e-6
 SEED = 7
 
 
@@ -36,6 +41,16 @@ def plan(largest: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
+def sketch_reach(cosine: float = COSINE, missed: float = MISSED) -> int:
+    """The fewest signs of a sketch so that more differ in at most a share ``missed`` of pairs at the threshold."""
+    p, above = math.acos(cosine) / math.pi, 0.0
+    for k in range(SKETCH, -1, -1):
+        above += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if above > missed:
+            return k
+    return 0
+
+
 def _vectors(kind: str):
     """Rows with a node: the hash of label and vector, null if the vector links with nothing; components are packed as ``kind``."""
 
@@ -59,43 +74,113 @@ def sign_kind(bits: int) -> str:
 
 
 def _signed(bits: int, tables: int, kind: str):
+    """Adds the signs of each table and the sketch."""
     planes: dict[int, np.ndarray] = {}
+    of_tables = tables * bits
 
     def over(batches):
         for batch in batches:
-            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            out = []
-            for data in cols["vector"].to_pylist():
+            signs, sketch = [], []
+            for data in batch.column(batch.schema.get_field_index("vector")).to_pylist():
                 x = np.frombuffer(data, kind).astype(np.float64)
                 if len(x) not in planes:
-                    planes[len(x)] = np.random.default_rng([SEED, len(x)]).normal(size=(tables * bits, len(x)))
-                up = (planes[len(x)] @ (x / np.abs(x).max()) > 0).reshape(tables, bits)
-                out.append((up @ (1 << np.arange(bits))).astype(sign_kind(bits)).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "signs"])
+                    planes[len(x)] = np.random.default_rng([SEED, len(x)]).normal(size=(of_tables + SKETCH, len(x)))
+                up = planes[len(x)] @ (x / np.abs(x).max()) > 0
+                signs.append((up[:of_tables].reshape(tables, bits) @ (1 << np.arange(bits))).astype(sign_kind(bits)).tobytes())
+                sketch.append(np.packbits(up[of_tables:]).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.binary()), pa.array(sketch, pa.binary())], names=[*batch.schema.names, "signs", "sketch"])
 
     return over
 
 
 def _exploded(bits: int):
+    """A row for each table: its number, and a hash of label, length, table and sign; of the signs it keeps those of earlier tables."""
+    width = np.dtype(sign_kind(bits)).itemsize
+
     def over(batches):
         for batch in batches:
-            n = batch.num_rows
-            if n:
-                signs = np.frombuffer(b"".join(batch.column("signs").to_pylist()), sign_kind(bits)).astype(np.int64)
-                tables = len(signs) // n
-                taken = batch.take(pa.array(np.repeat(np.arange(n), tables)))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(signs)], names=[*batch.schema.names, "tab", "sign"])
+            key, tab, node, earlier, sketch = [], [], [], [], []
+            for label, dim, n, signs, sk in zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "node", "signs", "sketch")), strict=True):
+                of = f"{label}|{dim}|".encode()
+                for t in range(len(signs) // width):
+                    key.append(xxhash.xxh3_64_intdigest(of + bytes([t & 255, t >> 8]) + signs[t * width : (t + 1) * width]) - (1 << 63))
+                    tab.append(t)
+                    node.append(n)
+                    earlier.append(signs[: t * width])
+                    sketch.append(sk)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(tab, pa.int32()), pa.array(node, pa.int64()), pa.array(earlier, pa.binary()), pa.array(sketch, pa.binary())], names=["key", "tab", "node", "signs", "sketch"])
 
     return over
 
 
-KEY = ("label", "dim", "tab", "sign", "bi", "bj")
+def _groups(batches, key: tuple[str, ...], columns: tuple[str, ...]):
+    """(key, rows) of groups of two rows or more, which lie together in the stream."""
+    now, rows = None, []
+    for batch in batches:
+        cols = batch.to_pydict()
+        for k, row in zip(zip(*(cols[c] for c in key), strict=True), zip(*(cols[c] for c in columns), strict=True), strict=True):
+            if k != now:
+                if len(rows) > 1:
+                    yield now, rows
+                now, rows = k, []
+            rows.append(row)
+    if len(rows) > 1:
+        yield now, rows
+
+
+def _first_here(signs: np.ndarray, a: np.ndarray, b: np.ndarray, tab: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that met in no table before ``tab``."""
+    for t in range(tab):
+        new = signs[a, t] != signs[b, t]
+        a, b = a[new], b[new]
+    return a, b
+
+
+PIECE = ("key", "tab", "bi", "bj")
+
+
+def _candidates(reach: int, bits: int):
+    """Of pieces of work without vectors, the members with a partner whose sketch is within reach and which they met in no earlier table."""
+
+    def over(batches):
+        out: list[list] = [[] for _ in range(6)]
+        for (key, tab, bi, bj), rows in _groups(batches, PIECE, ("node", "signs", "sketch", "block")):
+            nodes, block = np.array([r[0] for r in rows]), np.array([r[3] for r in rows])
+            words = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1)
+            apart = np.zeros((len(rows), len(rows)), np.uint16)
+            for w in words.T:
+                apart += np.bitwise_count(w[:, None] ^ w[None, :])
+            near = (apart <= reach) & (nodes[:, None] != nodes[None, :])
+            if bi != bj:
+                near &= block[:, None] != block[None, :]
+            a, b = np.nonzero(near)
+            if tab and len(a):
+                signs = np.frombuffer(b"".join(r[1] for r in rows), sign_kind(bits)).reshape(len(rows), tab)
+                a, b = _first_here(signs, a, b, tab)
+            for i in np.unique(a).tolist():
+                for col, value in zip(out, (rows[i][0], key, tab, bi, bj, rows[i][3]), strict=True):
+                    col.append(value)
+            if len(out[0]) > 50_000:
+                yield _batch(out)
+                out = [[] for _ in range(6)]
+        if out[0]:
+            yield _batch(out)
+
+    def _batch(cols):
+        kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["node", *PIECE, "block"])
+
+    return over
+
+
+KEY = ("label", "dim", *PIECE)
 
 
 def _linked(cosine: float, bits: int, kind: str):
     """Streams pieces of work that lie together in the partition; out: links and a local root of each node that has links."""
 
     def links(key, rows):
+        _, _, _, tab, bi, bj = key
         nodes, x = np.array([r[0] for r in rows]), np.array([np.frombuffer(r[2], kind) for r in rows], np.float64)
         weight, block = np.array([r[1] for r in rows]), np.array([r[4] for r in rows])
         signs = np.array([np.frombuffer(r[3], sign_kind(bits)) for r in rows])
@@ -103,13 +188,11 @@ def _linked(cosine: float, bits: int, kind: str):
         x /= np.sqrt((x * x).sum(1, keepdims=True))
         near = x @ x.T >= cosine
         near &= nodes[:, None] != nodes[None, :]
-        if key[4] != key[5]:
+        if bi != bj:
             near &= block[:, None] != block[None, :]
-        if not near.any():
-            return None
         a, b = np.nonzero(near)
-        new = ~(signs[a, : key[2]] == signs[b, : key[2]]).any(1) if key[2] else np.ones(len(a), bool)
-        a, b = a[new], b[new]
+        here = signs[a, tab] == signs[b, tab]  # two signs may have one hash
+        a, b = _first_here(signs, a[here], b[here], tab)
         if not len(a):
             return None
         total = np.bincount(a, weight[b], len(nodes)).astype(np.int64)
@@ -128,20 +211,13 @@ def _linked(cosine: float, bits: int, kind: str):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(3)], names=["node", "links", "root"])
 
     def over(batches):
-        key, rows, found = None, [], []
-        for batch in batches:
-            cols = batch.to_pydict()
-            for *k, node, weight, vector, signs, block in zip(*(cols[c] for c in (*KEY, "node", "weight", "vector", "signs", "block")), strict=True):
-                if k != key:
-                    if len(rows) > 1 and (got := links(key, rows)):
-                        found.append(got)
-                    key, rows = k, []
-                    if sum(len(f[0]) for f in found) > 50_000:
-                        yield batch_of(found)
-                        found = []
-                rows.append((node, weight, vector, signs, block))
-        if len(rows) > 1 and (got := links(key, rows)):
-            found.append(got)
+        found = []
+        for key, rows in _groups(batches, KEY, ("node", "weight", "vector", "signs", "block")):
+            if got := links(key, rows):
+                found.append(got)
+            if sum(len(f[0]) for f in found) > 50_000:
+                yield batch_of(found)
+                found = []
         if found:
             yield batch_of(found)
 
@@ -169,14 +245,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     bits, tables = plan(largest, cosine, recall)
 
     base = classes.select("label", (F.octet_length("vector") / (4 if single else 8)).cast("int").alias("dim"), "node", "weight", "vector")
-    signed = save(base.mapInArrow(_signed(bits, tables, packed), "label string, dim int, node long, weight long, vector binary, signs binary"), "signed")
-    narrow = signed.select("label", "dim", "node", "signs").mapInArrow(_exploded(bits), "label string, dim int, node long, signs binary, tab int, sign long")
-    crowded = narrow.groupBy("label", "dim", "tab", "sign").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    each = signed.mapInArrow(_exploded(bits), "label string, dim int, node long, weight long, vector binary, signs binary, tab int, sign long")
-    dealt = each.join(crowded, ["label", "dim", "tab", "sign"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    signed = save(base.mapInArrow(_signed(bits, tables, packed), "label string, dim int, node long, weight long, vector binary, signs binary, sketch binary"), "signed")
+    narrow = signed.drop("vector", "weight").mapInArrow(_exploded(bits), "key long, tab int, node long, signs binary, sketch binary")
+    counts = narrow.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    crowded = save(counts.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "crowded")
+    dealt = narrow.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    work = dealt.select("*", other).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-    work = work.select(*KEY, "node", "weight", "vector", "signs", "block").repartition(partitions(spark), *KEY).sortWithinPartitions(*KEY)
+    pieces = dealt.select("*", other).select("key", "tab", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "node", "signs", "sketch", "block")
+    pieces = pieces.repartition(partitions(spark), *PIECE).sortWithinPartitions(*PIECE)
+    candidates = save(pieces.mapInArrow(_candidates(sketch_reach(cosine), bits), "node long, key long, tab int, bi int, bj int, block int"), "candidates")
+    work = candidates.join(signed.drop("sketch"), "node").select(*KEY, "node", "weight", "vector", "signs", "block")
+    work = work.repartition(partitions(spark), *KEY).sortWithinPartitions(*KEY)
     found = save(work.mapInArrow(_linked(cosine, bits, packed), "node long, links long, root long"), "links")
 
     joined = connected_components(found.select("node", "root"), "node", "root")
@@ -184,7 +263,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     roots = classes.select("node", "least", "weight").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = save(roots.join(named, "root").join(links, "node", "left").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "components")
-    delete(spark, signed, classes)
+    delete(spark, signed, classes, crowded, candidates, found)
     out = rows.drop("label", "vector").join(of_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
