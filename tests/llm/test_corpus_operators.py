@@ -427,7 +427,7 @@ def test_near_vectors(spark, monkeypatch):
     want, degree = components(len(data), linked), Counter(i for p in linked for i in p)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(frame).collect()}
     assert got == {i: (degree[i], want[i], want[i] == i) for i in range(len(data))}
-    monkeypatch.setattr(near_vectors, "SKETCH", 8)  # most sketches are within reach of each other
+    monkeypatch.setattr(near_vectors, "sketch_reach", lambda cosine: near_vectors.SKETCH)  # no sketch is too far
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(frame).collect()} == got
     monkeypatch.undo()
     repeated = spark.createDataFrame([(None, [1.0, 2.0], 1), (3, [1.0, 2.0], 1), (3, [1.0, 2.0], 1)], "vec_id long, embedding array<double>, label int")

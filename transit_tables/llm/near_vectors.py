@@ -80,14 +80,18 @@ def _signed(bits: int, tables: int, kind: str):
 
     def over(batches):
         for batch in batches:
-            signs, sketch = [], []
-            for data in batch.column(batch.schema.get_field_index("vector")).to_pylist():
-                x = np.frombuffer(data, kind).astype(np.float64)
-                if len(x) not in planes:
-                    planes[len(x)] = np.random.default_rng([SEED, len(x)]).normal(size=(of_tables + SKETCH, len(x)))
-                up = planes[len(x)] @ (x / np.abs(x).max()) > 0
-                signs.append((up[:of_tables].reshape(tables, bits) @ (1 << np.arange(bits))).astype(sign_kind(bits)).tobytes())
-                sketch.append(np.packbits(up[of_tables:]).tobytes())
+            data = batch.column(batch.schema.get_field_index("vector")).to_pylist()
+            signs, sketch = [None] * len(data), [None] * len(data)
+            sizes = np.array([len(d) for d in data])
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                x = np.frombuffer(b"".join(data[i] for i in at), kind).reshape(len(at), -1).astype(np.float64)
+                if size not in planes:
+                    planes[size] = np.random.default_rng([SEED, x.shape[1]]).normal(size=(of_tables + SKETCH, x.shape[1])).T
+                up = (x / np.abs(x).max(1, keepdims=True)) @ planes[size] > 0
+                codes = (up[:, :of_tables].reshape(len(at), tables, bits) @ (1 << np.arange(bits))).astype(sign_kind(bits))
+                for i, own, other in zip(at, codes, np.packbits(up[:, of_tables:], axis=1), strict=True):
+                    signs[i], sketch[i] = own.tobytes(), other.tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.binary()), pa.array(sketch, pa.binary())], names=[*batch.schema.names, "signs", "sketch"])
 
     return over
@@ -147,9 +151,7 @@ def _candidates(reach: int, bits: int):
         for (key, tab, bi, bj), rows in _groups(batches, PIECE, ("node", "signs", "sketch", "block")):
             nodes, block = np.array([r[0] for r in rows]), np.array([r[3] for r in rows])
             words = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), -1)
-            apart = np.zeros((len(rows), len(rows)), np.uint16)
-            for w in words.T:
-                apart += np.bitwise_count(w[:, None] ^ w[None, :])
+            apart = sum(np.bitwise_count(w[:, None] ^ w[None, :]) for w in words.T.copy())  # at most SKETCH, so a byte holds it
             near = (apart <= reach) & (nodes[:, None] != nodes[None, :])
             if bi != bj:
                 near &= block[:, None] != block[None, :]
