@@ -223,3 +223,15 @@ def test_forward_ids_are_compared_as_numbers_before_texts(spark):
     routes = spark.createDataFrame([("f", "0", r, ss) for r, ss in stops.items()], "feed_id string, stop_id string, route_id string, stops array<string>")
     placed = diagram.order_by_forward_ids(routes).orderBy("place").collect()
     assert [r.route_id for r in placed] == ["d", "10", "2", "b", "e", "a", "c"]  # ties by service order: first digit, then number
+
+
+def test_pairs_of_routes_are_counted_in_tasks(spark):
+    """Two feeds, blocks of 4; a pair is no row for each stop that both have."""
+    rng = random.Random(12)
+    stops = {(f, f"r{i}"): set(rng.sample(range(12), rng.randint(1, 8))) for f in "fg" for i in range(25)}
+    members = spark.createDataFrame([(*k, f"s{x}") for k, xs in stops.items() for x in xs], "feed_id string, route_id string, stop_id string")
+    found = graphs.route_similarity(members, 0.2, 4)
+    want = {(*a, b[1]): j for a in stops for b in stops if a[0] == b[0] and a[1] < b[1] and (j := len(stops[a] & stops[b]) / len(stops[a] | stops[b])) >= 0.2}
+    rows = found.collect()
+    assert {(r.feed_id, r.a, r.b): r.jaccard for r in rows} == want and len(rows) == len(want)
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()
