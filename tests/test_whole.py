@@ -5,7 +5,8 @@ import math
 import random
 import zipfile
 
-from transit_tables.operators import diagram, graphs, search, shapes
+import pytest
+from transit_tables.operators import diagram, graphs, network, search, shapes
 from transit_tables.plans import fixtures, queries
 from transit_tables.sources import feeds as sources
 from transit_tables.sources import zips
@@ -235,3 +236,33 @@ def test_pairs_of_routes_are_counted_in_tasks(spark):
     rows = found.collect()
     assert {(r.feed_id, r.a, r.b): r.jaccard for r in rows} == want and len(rows) == len(want)
     assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_stops_at_one_place_meet_as_one(spark, monkeypatch):
+    """80 stops at 4 places, two of them less than the nine decimals apart, and a lone one: four or five rows meet, not 81."""
+    rng = random.Random(4)
+    places = [(0.0, 0.0), (0.001, 0.0), (0.001, 1e-11), (7.0, 7.0)]
+    at = [(f"s{i}", *places[i % 4], "x Int" if i % 3 else "x", rng.randint(0, 9)) for i in range(80)] + [("lone", 3.0, 3.0, "x", 1)]
+    met, plain = [], network._nearest_in_cells
+    monkeypatch.setattr(network, "_nearest_in_cells", lambda todo, base, size: met.append((todo.count(), base.count())) or plain(todo, base, size))
+    df = spark.createDataFrame([("f", *r) for r in at], "feed_id string, stop_id string, lon double, lat double, name string, ord long")
+    got = {r.stop_id: (r.nearest, r.degrees) for r in network.nearest_stop(df).collect()}
+    for s, x, y, *_ in at:
+        key = lambda o: (round(((x - o[1]) ** 2 + (y - o[2]) ** 2) ** 0.5, 9), o[3].endswith(" Int"), o[4], o[0])
+        best = min((o for o in at if o[0] != s), key=key)
+        assert got[s] == (best[0], pytest.approx(((x - best[1]) ** 2 + (y - best[2]) ** 2) ** 0.5))
+    assert len(got) == 81 and max(x for m in met for x in m) <= 5
+
+
+def test_areas_that_share_no_stop_go_beside_each_other(spark):
+    """40 separate areas of 3 routes: one band or two for all, and requests only within an area."""
+    lists = {f"r{i}": [f"s{i // 3 * 3 + i % 3}", f"s{i // 3 * 3 + (i + 1) % 3}"] for i in range(120)}
+    members = spark.createDataFrame([("f", r, s) for r, ss in lists.items() for s in ss], "feed_id string, route_id string, stop_id string")
+    found = {r.route_id: r.area for r in graphs.areas(members).collect()}
+    assert found == {r: min(f"r{int(r[1:]) // 3 * 3 + k}" for k in range(3)) for r in lists}
+    size = 3 * (graphs.ROUTE_WEIGHT + 2) + 1
+    bands = graphs.level_bands(members.join(graphs.areas(members), graphs.ROUTE), members.limit(0).selectExpr("feed_id", "route_id", "0d as priority"), size)
+    assert {r.band for r in bands.select("band").distinct().collect()} == {0}
+    known = spark.createDataFrame([("f", r, ss[-1], 1, 0, ss) for r, ss in lists.items()], "feed_id string, route_id string, destination string, dest_rank int, variant_idx int, stops array<string>")
+    asked = spark.createDataFrame([("f", f"s{i}", f"s{i + k}") for i in range(0, 117, 3) for k in (1, 3)], "feed_id string, start_stop string, end_stop string")
+    assert {(r.start_stop, r.end_stop) for r in network.connected_requests(known, asked).collect()} == {(f"s{i}", f"s{i + 1}") for i in range(0, 117, 3)}
