@@ -266,3 +266,34 @@ def test_areas_that_share_no_stop_go_beside_each_other(spark):
     known = spark.createDataFrame([("f", r, ss[-1], 1, 0, ss) for r, ss in lists.items()], "feed_id string, route_id string, destination string, dest_rank int, variant_idx int, stops array<string>")
     asked = spark.createDataFrame([("f", f"s{i}", f"s{i + k}") for i in range(0, 117, 3) for k in (1, 3)], "feed_id string, start_stop string, end_stop string")
     assert {(r.start_stop, r.end_stop) for r in network.connected_requests(known, asked).collect()} == {(f"s{i}", f"s{i + 1}") for i in range(0, 117, 3)}
+
+
+def test_snapping_by_brute_force_over_few_cells(spark, monkeypatch):
+    """Segments lie in the cells along their line, not in all of their bounds."""
+    rng = random.Random(6)
+    at = lambda: (77 + rng.random() / 2, 12 + rng.random() / 2)
+    lines = [(*at(), *at()) for _ in range(12)] + [(77.1, 12.1, 77.4, 12.1), (77.2, 12.0, 77.2, 12.4), (77.3, 12.3, 77.3, 12.3)]
+    points = spark.createDataFrame([("f", f"l{i}", k, y, x) for i, (a, b, c, d) in enumerate(lines) for k, (x, y) in enumerate(((a, b), (c, d)))], "feed_id string, shape_id string, pt_seq int, lat double, lon double")
+    where = [at() for _ in range(150)]
+    cars = spark.createDataFrame([("f", f"v{i}", y, x) for i, (x, y) in enumerate(where)], "feed_id string, vehicle_id string, lat double, lng double")
+    kept, plain = [], shapes.save
+    monkeypatch.setattr(shapes, "save", lambda rows, name: kept.append(rows.count()) or plain(rows, name))
+    kx, ky = shapes.scales()
+    for metres in (500.0, 3000.0):
+        got = {r.vehicle_id: r.metres for r in shapes.snap_to_shapes(cars, points, metres).collect()}
+        for i, (x, y) in enumerate(where):
+            off = []
+            for a, b, c, d in lines:
+                dx, dy, px, py = (c - a) * kx, (d - b) * ky, (x - a) * kx, (y - b) * ky
+                t = max(0, min(1, (px * dx + py * dy) / (dx * dx + dy * dy))) if dx or dy else 0
+                off.append(1000 * math.hypot(px - t * dx, py - t * dy))
+            assert got[f"v{i}"] == (pytest.approx(min(off)) if min(off) < metres else None)
+    assert 0 < kept[0] < 15 * 300
+
+
+def test_equal_texts_are_searched_once(spark, monkeypatch):
+    met, plain = [], search.candidates
+    monkeypatch.setattr(search, "candidates", lambda q, t, least: met.append((q.count(), t.count())) or plain(q, t, least))
+    frame = lambda n, k: spark.createDataFrame([(f"{k}{i}", "Route 335E" if i % 2 else " route 335e ") for i in range(n)], f"{k} string, text string")
+    got = search.fuzzy_search(frame(6, "query_id"), frame(30, "id"), frame(2, "id")).collect()
+    assert len(got) == 180 and {r.score for r in got} == {0.0} and met[0] == (1, 1)

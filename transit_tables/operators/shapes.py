@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import REF_LAT, ruler_distance_km, scales
 from ..functions.order import split_route_key
+from ..tables import save
 from .patterns import representative_trips
 
 SHAPE = ["feed_id", "shape_id"]
@@ -133,24 +134,32 @@ def stop_markers(stops: DataFrame, metres: float = 15.0, corners: int = 3) -> Da
 def snap_to_shapes(positions: DataFrame, points: DataFrame, metres: float = 10.0, ref_lat: float = REF_LAT) -> DataFrame:
     """(feed, vehicle, lat, lng, metres) with positions moved onto the nearest segment within reach, null metres if none is.
 
-    Segments are registered in every cell of their bounds widened by the reach, and a
-    position looks in its own cell, so none within reach is missed.
+    Segments are registered in every cell that their line widened by the reach may touch: row by row, from
+    the part of the line in the widened row. A position looks in its own cell, so none within reach is missed.
+    Positions at one place are looked up once.
     """
     kx, ky = scales(ref_lat)
-    cell = 0.005
+    reach = metres / 1000
+    cell = max(0.005, 2 * reach / ky)
     order = Window.partitionBy(*SHAPE).orderBy("pt_seq")
     legs = points.select("feed_id", F.lag("lon").over(order).alias("x1"), F.lag("lat").over(order).alias("y1"), F.col("lon").alias("x2"), F.col("lat").alias("y2")).where("x1 is not null").distinct()
-    reach = metres / 1000
     at = lambda c: F.floor(c / cell).cast("long")
     span = lambda a, b, k: F.sequence(at(F.least(a, b) - reach / k), at(F.greatest(a, b) + reach / k))
-    legs = legs.withColumn("cx", F.explode(span(F.col("x1"), F.col("x2"), kx))).withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"), ky)))
-    placed = positions.withColumn("cx", at(F.col("lng"))).withColumn("cy", at(F.col("lat")))
+    legs = legs.withColumns({"dx": (F.col("x2") - F.col("x1")) * kx, "dy": (F.col("y2") - F.col("y1")) * ky}).withColumn("square", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    legs = legs.withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"), ky)))
+    rise, slack = F.col("y2") - F.col("y1"), 1e-9
+    share = lambda y: F.when(rise == 0, F.lit(None)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - F.col("y1")) / rise)))
+    low, high = share(F.col("cy") * cell - reach / ky - slack), share((F.col("cy") + 1) * cell + reach / ky + slack)
+    x = lambda t: F.col("x1") + t * (F.col("x2") - F.col("x1"))
+    west, east = F.coalesce(x(low), F.col("x1")), F.coalesce(x(high), F.col("x2"))
+    legs = legs.withColumn("west", F.least(west, east) - slack).withColumn("east", F.greatest(west, east) + slack).withColumn("cx", F.explode(span(F.col("west"), F.col("east"), kx))).drop("west", "east")
+    legs = save(legs, "legs")
+    placed = positions.select("feed_id", "lng", "lat").distinct().withColumn("cx", at(F.col("lng"))).withColumn("cy", at(F.col("lat")))
     near = placed.join(legs, ["feed_id", "cx", "cy"])
-    dx, dy = (F.col("x2") - F.col("x1")) * kx, (F.col("y2") - F.col("y1")) * ky
-    px, py = (F.col("lng") - F.col("x1")) * kx, (F.col("lat") - F.col("y1")) * ky
-    t = F.when(dx * dx + dy * dy > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / (dx * dx + dy * dy)))).otherwise(0.0)
-    near = near.withColumn("t", t).withColumn("sx", F.col("x1") + F.col("t") * (F.col("x2") - F.col("x1"))).withColumn("sy", F.col("y1") + F.col("t") * (F.col("y2") - F.col("y1")))
-    near = near.withColumn("km", ruler_distance_km(F.col("lng"), F.col("lat"), F.col("sx"), F.col("sy"), ref_lat)).where(F.col("km") < reach)
-    best = near.groupBy("feed_id", "vehicle_id").agg(F.min(F.struct("km", "sx", "sy")).alias("b"))
-    out = positions.join(best, ["feed_id", "vehicle_id"], "left")
+    along = (F.col("lng") - F.col("x1")) * kx * F.col("dx") + (F.col("lat") - F.col("y1")) * ky * F.col("dy")
+    near = near.withColumn("t", F.when(F.col("square") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), along / F.col("square")))).otherwise(0.0))
+    near = near.withColumn("sx", F.col("x1") + F.col("t") * (F.col("x2") - F.col("x1"))).withColumn("sy", F.col("y1") + F.col("t") * (F.col("y2") - F.col("y1")))
+    near = near.withColumn("km", F.sqrt(F.pow((F.col("sx") - F.col("lng")) * kx, F.lit(2.0)) + F.pow((F.col("sy") - F.col("lat")) * ky, F.lit(2.0)))).where(F.col("km") < reach)
+    best = near.groupBy("feed_id", "lng", "lat").agg(F.min(F.struct("km", "sx", "sy")).alias("b"))
+    out = positions.join(best, ["feed_id", "lng", "lat"], "left")
     return out.select("feed_id", "vehicle_id", F.coalesce("b.sy", "lat").alias("lat"), F.coalesce("b.sx", "lng").alias("lng"), (F.col("b.km") * 1000).alias("metres"))
