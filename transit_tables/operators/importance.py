@@ -39,9 +39,10 @@ def destination_counts(pairs: DataFrame) -> DataFrame:
 
 def neighbors_of_lists(lists: DataFrame) -> DataFrame:
     """Distinct (feed, stop, other) of stop lists: neighbours in some list, in either direction, other than the stop itself."""
-    each = lists.select("feed_id", "stops", F.posexplode("stops").alias("at", "stop_id"))
-    beside = F.array(F.get("stops", F.col("at") - 1), F.get("stops", F.col("at") + 1))
-    return each.select(*STOP, F.explode(beside).alias("other")).where("other <> stop_id").distinct()
+    each = lists.select("feed_id", F.explode(F.arrays_zip(F.col("stops").alias("a"), F.slice("stops", 2, F.size("stops")).alias("b"))).alias("hop")).select("feed_id", "hop.*").where("a <> b")
+    once = each.select("feed_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ways = F.array(F.struct(F.col("a").alias("stop_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("stop_id"), F.col("a").alias("other")))
+    return once.select("feed_id", F.explode(ways).alias("way")).select("feed_id", "way.*")
 
 
 def stop_neighbors(stop_times: DataFrame) -> DataFrame:
