@@ -21,10 +21,13 @@ def distinct_patterns(stop_times: DataFrame) -> DataFrame:
 
 
 def pairs_of_lists(lists: DataFrame) -> DataFrame:
-    """Distinct (feed, stop, other) of distinct stop lists: other comes later in some list; a loop reaches its own stop."""
+    """Distinct (feed, stop, other) of distinct stop lists: other comes later in some list; a loop reaches its own stop.
+
+    The later stops are sent as lists, to where the pairs are made, and counts of a stop's pairs need no exchange more.
+    """
     each = lists.select("feed_id", "stops", F.posexplode("stops").alias("at", "stop_id"))
-    later = each.select("feed_id", "stop_id", F.explode(F.slice("stops", F.col("at") + 2, F.size("stops"))).alias("other"))
-    return later.distinct()
+    later = each.select(*STOP, F.slice("stops", F.col("at") + 2, F.size("stops")).alias("later")).where("size(later) > 0").repartition(*STOP)
+    return later.select(*STOP, F.explode("later").alias("other")).distinct()
 
 
 def reachable_pairs(stop_times: DataFrame) -> DataFrame:
