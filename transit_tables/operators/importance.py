@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import save
@@ -11,8 +11,10 @@ from .patterns import trip_stops
 STOP = ["feed_id", "stop_id"]
 #: Stop numbers of one part of a set of destinations, as many as a bitmap holds.
 PART = 32768
-#: Neighbours' destinations in one part up to which they are held as arrays; beyond it, as bitmaps.
+#: Neighbours' destinations up to which they are held as arrays; beyond it, as bitmaps.
 ARRAYS = 4096
+#: The part of a set that is held whole.
+WHOLE = -1
 
 
 def distinct_patterns(stop_times: DataFrame) -> DataFrame:
@@ -60,10 +62,17 @@ def stop_numbers(stop_times: DataFrame) -> DataFrame:
 
 
 def destination_sets(lists: DataFrame) -> DataFrame:
-    """(feed, stop, part, dests) of stop lists of numbers: the distinct later stops, at most ``PART`` in a row."""
-    each = lists.select("feed_id", "stops", F.posexplode("stops").alias("at", "stop_id"))
-    later = each.select(*STOP, F.explode(F.slice("stops", F.col("at") + 2, F.size("stops"))).alias("dest"))
-    return later.groupBy(*STOP, F.expr(f"dest div {PART}").alias("part")).agg(F.collect_set("dest").alias("dests"))
+    """(feed, stop, part, dests) of stop lists of numbers: the distinct later stops, at most ``PART`` in a row.
+
+    Up to ``PART`` destinations of a stop are one row, whatever their numbers: their part is ``WHOLE``. Lists are sent to
+    the stop that they are for once, and parts are made and put together there.
+    """
+    each = lists.select("feed_id", F.posexplode("stops").alias("at", "stop_id"), "stops")
+    later = each.select(*STOP, F.slice("stops", F.col("at") + 2, F.size("stops")).alias("later")).where("size(later) > 0").repartition(*STOP)
+    parts = later.select(*STOP, F.explode("later").alias("dest")).groupBy(*STOP, F.expr(f"dest div {PART}").alias("part")).agg(F.collect_set("dest").alias("dests"))
+    small = F.sum(F.size("dests")).over(Window.partitionBy(*STOP)) <= PART
+    joined = parts.withColumn("part", F.when(small, F.lit(WHOLE)).otherwise(F.col("part")))
+    return joined.groupBy(*STOP, "part").agg(F.flatten(F.collect_list("dests")).alias("dests"))
 
 
 def neighbor_means(sets: DataFrame, neighbors: DataFrame) -> DataFrame:
@@ -78,22 +87,23 @@ def exclusive_counts(sets: DataFrame, neighbors: DataFrame, means: DataFrame, ar
 
     A stop whose neighbours have few destinations together meets their arrays whole. Where they have
     many, they are bitmaps, and the count is that of all bits less that of the neighbours'. So a
-    hub never needs more than ``arrays`` numbers or one bitmap of a part at a time.
+    hub never needs more than ``arrays`` numbers of its neighbours or one bitmap of a part at a time.
     """
     others, hubs = F.col("stop_id").alias("other"), save(means.where(F.col("members") > arrays).select(*STOP), "hubs")
     near = neighbors.join(hubs, STOP, "left_anti").join(sets.select("feed_id", others, F.col("dests").alias("near")), ["feed_id", "other"])
-    near = near.groupBy(*STOP).agg(F.flatten(F.collect_list("near")).alias("near"))
+    near = near.repartition(*STOP).groupBy(*STOP).agg(F.flatten(F.collect_list("near")).alias("near"))
     own = sets.join(hubs, STOP, "left_anti").join(near, STOP, "left")
     few = own.select(*STOP, F.size(F.when(F.col("near").isNull(), F.col("dests")).otherwise(F.array_except("dests", "near"))).alias("n"))
     if not hubs.limit(1).count():
         return few.groupBy(*STOP).agg(F.sum("n").alias("exclusive"))
-    mine = sets.join(hubs, STOP, "left_semi").select(*STOP, "part")
-    wanted = save(neighbors.join(mine, STOP), "wanted")
     key, at = [*STOP, "part"], ["feed_id", "other", "part"]
-    used = wanted.select(*at).unionByName(mine.select("feed_id", others, "part")).distinct()
-    members = sets.select("feed_id", others, "part", "dests").join(used, at).select(*at, F.explode("dests").alias("dest"))
-    bits = save(members.groupBy(*at).agg(F.bitmap_construct_agg(F.bitmap_bit_position("dest")).alias("bits")), "bits")
-    met = wanted.join(bits, at).select(*key, F.col("bits").alias("near"), "bits")
+    around = save(neighbors.join(hubs, STOP, "left_semi"), "around")
+    used = around.select("feed_id", "other").unionByName(hubs.select("feed_id", others)).distinct()
+    members = sets.select("feed_id", others, "dests").join(used, ["feed_id", "other"]).select("feed_id", "other", F.explode("dests").alias("dest"))
+    bits = members.groupBy("feed_id", "other", F.expr(f"dest div {PART}").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("dest")).alias("bits"))
+    bits = save(bits, "bits")
+    mine = bits.join(hubs.select("feed_id", others), ["feed_id", "other"], "left_semi").select("feed_id", F.col("other").alias("stop_id"), "part")
+    met = around.join(mine, STOP).join(bits, at).select(*key, F.col("bits").alias("near"), "bits")
     alone = mine.join(bits.withColumnRenamed("other", "stop_id"), key).select(*key, F.lit(None).cast("binary").alias("near"), "bits")
     either = met.unionByName(alone).groupBy(*key).agg(F.bitmap_or_agg("bits").alias("either"), F.bitmap_or_agg("near").alias("near"))
     many = either.select(*STOP, (F.bitmap_count("either") - F.bitmap_count("near")).cast("int").alias("n"))
