@@ -15,6 +15,8 @@ from ..tables import save
 from .patterns import representative_trips
 
 SHAPE = ["feed_id", "shape_id"]
+#: A number of a polyline: characters from _ on go on, any below ends it.
+NUMBER = r"[^\x00-\x5E]*[\x00-\x5E]"
 
 
 def encode_shapes(points: DataFrame) -> DataFrame:
@@ -34,14 +36,16 @@ def encode_shapes(points: DataFrame) -> DataFrame:
 
 
 def decode_shapes(lines: DataFrame) -> DataFrame:
-    """(feed, shape, pt_seq, lat, lon) of polylines; pt_seq counts from 1. Points cut short at the end are left out."""
-    chars = lines.select(*SHAPE, F.posexplode(F.split("polyline", "")).alias("i", "c")).where("c <> ''").withColumn("v", F.ascii("c") - 63)
-    order = Window.partitionBy(*SHAPE).orderBy("i")
-    chars = chars.withColumn("num", F.coalesce(F.sum((F.col("v") < 32).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    chars = chars.withColumn("k", F.row_number().over(Window.partitionBy(*SHAPE, "num").orderBy("i")) - 1)
-    numbers = chars.groupBy(*SHAPE, "num").agg(F.sum(F.expr("shiftleft(cast(v & 31 as bigint), 5 * k)")).alias("z"), F.min("v").alias("ends")).where("ends < 32")
-    deltas = numbers.select(*SHAPE, F.floor(F.col("num") / 2).cast("int").alias("pt"), (F.col("num") % 2).alias("axis"), F.shiftright("z", 1).bitwiseXOR(-(F.col("z").bitwiseAND(1))).alias("d"))
-    points = deltas.groupBy(*SHAPE, "pt").agg(F.max(F.when(F.col("axis") == 0, F.col("d"))).alias("dlat"), F.max(F.when(F.col("axis") == 1, F.col("d"))).alias("dlon")).where("dlat is not null and dlon is not null")
+    """(feed, shape, pt_seq, lat, lon) of polylines; pt_seq counts from 1. Points cut short at the end are left out.
+
+    A line is cut into points where it is; only points are summed up in order.
+    """
+    numbers = F.regexp_extract_all("polyline", F.lit(f"({NUMBER})({NUMBER})"), F.lit(0))
+    pairs = lines.select(*SHAPE, F.posexplode(numbers).alias("pt", "pair"))
+    texts = pairs.select(*SHAPE, "pt", F.regexp_extract("pair", f"^({NUMBER})", 1).alias("dlat"), F.regexp_extract("pair", f"({NUMBER})\\z", 1).alias("dlon"))
+    number = "aggregate(sequence(0, length({c}) - 1), 0L, (z, k) -> z + shiftleft(cast((ascii(substr({c}, k + 1, 1)) - 63) & 31 as bigint), 5 * k))"
+    points = texts.select(*SHAPE, "pt", *(F.expr(number.format(c=c)).alias(c) for c in ("dlat", "dlon")))
+    points = points.select(*SHAPE, "pt", *(F.shiftright(c, 1).bitwiseXOR(-(F.col(c).bitwiseAND(1))).alias(c) for c in ("dlat", "dlon")))
     upto = Window.partitionBy(*SHAPE).orderBy("pt").rowsBetween(Window.unboundedPreceding, 0)
     return points.select(*SHAPE, (F.col("pt") + 1).alias("pt_seq"), (F.sum("dlat").over(upto) / 100000).alias("lat"), (F.sum("dlon").over(upto) / 100000).alias("lon"))
 
