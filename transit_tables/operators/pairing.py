@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Marks the turning point of a loop.
 TURN = "~~~"
@@ -71,12 +74,19 @@ def pair_opposite_stops(patterns: DataFrame) -> DataFrame:
     """(feed, route, row, outbound, inbound, same, opposite) from the first two variants of each service.
 
     A single variant that ends where it starts is split at its turn; other single ones
-    have no inbound stops. Each service is one group, of the size of two stop lists.
+    have no inbound stops. Each service is one row of two stop lists, and a task takes them in batches.
     """
-    def rows(group: pd.DataFrame) -> pd.DataFrame:
-        lists = [list(x) for x in group.sort_values(["dest_rank", "variant_idx"])["stops"].head(2)]
-        two = [lists[0], lists[1] if len(lists) > 1 and len(lists[1]) > 1 else None]
-        got = pair_rows(*two)
-        return pd.DataFrame({"feed_id": group["feed_id"].iloc[0], "route_id": group["route_id"].iloc[0], "row": range(1, len(got) + 1), "outbound": [a for a, _ in got], "inbound": [b for _, b in got], "same": [a is not None and a == b for a, b in got], "opposite": [a is not None and opposite(a) == b for a, b in got]})
-
-    return patterns.select("feed_id", "route_id", "dest_rank", "variant_idx", "stops").groupBy("feed_id", "route_id").applyInPandas(rows, "feed_id string, route_id string, row int, outbound string, inbound string, same boolean, opposite boolean")
+    place = F.row_number().over(Window.partitionBy("feed_id", "route_id").orderBy("dest_rank", "variant_idx"))
+    two = patterns.select("feed_id", "route_id", "stops", place.alias("k")).where("k <= 2")
+    lists = two.groupBy("feed_id", "route_id").agg(*(F.max(F.when(F.col("k") == k, F.col("stops"))).alias(c) for k, c in ((1, "a"), (2, "b"))))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [pair_rows(a, b if b is not None and len(b) > 1 else None) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)]
+            of = pa.array([k for k, x in enumerate(got) for _ in x], pa.int64())
+            out, back = ([x[c] for y in got for x in y] for c in (0, 1))
+            cols = [batch["feed_id"].take(of), batch["route_id"].take(of), pa.array([i for x in got for i in range(1, len(x) + 1)], pa.int32()), pa.array(out, pa.string()), pa.array(back, pa.string())]
+            same, other = ([a is not None and f(a) == b for a, b in zip(out, back, strict=True)] for f in (str, opposite))
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(same, pa.bool_()), pa.array(other, pa.bool_())], names=["feed_id", "route_id", "row", "outbound", "inbound", "same", "opposite"])
+
+    return lists.mapInArrow(rows, "feed_id string, route_id string, row int, outbound string, inbound string, same boolean, opposite boolean")
