@@ -11,6 +11,12 @@ def _part(time: Column, i: int) -> Column:
     return F.get(F.split(time, ":"), F.lit(i)).try_cast("int")
 
 
+def _two(number: Column) -> Column:
+    """At least two characters, as %02d."""
+    text = number.cast("string")
+    return F.when(F.length(text) < 2, F.concat(F.lit("0"), text)).otherwise(text)
+
+
 def gtfs_seconds(time: Column) -> Column:
     """Seconds after the service day's midnight; hours may pass 24."""
     return _part(time, 0) * 3600 + _part(time, 1) * 60 + F.coalesce(_part(time, 2), F.lit(0))
@@ -20,13 +26,13 @@ def gtfs_hhmm(time: Column, service_day: bool = False) -> Column:
     """HH:MM:SS as HH:MM with hours from 24 on taken into the next day, unless ``service_day``; other texts unchanged."""
     hours = _part(time, 0)
     hours = hours if service_day else F.when(hours >= 24, hours % 24).otherwise(hours)
-    return F.when(hours.isNotNull() & _part(time, 1).isNotNull(), F.format_string("%02d:%02d", hours, _part(time, 1))).otherwise(time)
+    return F.when(hours.isNotNull() & _part(time, 1).isNotNull(), F.concat(_two(hours), F.lit(":"), _two(_part(time, 1)))).otherwise(time)
 
 
 def hhmm_packed(time: Column) -> Column:
     """HH:MM as HHMM, 0000 for anything else."""
     ok = _part(time, 0).isNotNull() & _part(time, 1).isNotNull()
-    return F.when(ok, F.format_string("%02d%02d", _part(time, 0), _part(time, 1))).otherwise(F.lit("0000"))
+    return F.when(ok, F.concat(_two(_part(time, 0)), _two(_part(time, 1)))).otherwise(F.lit("0000"))
 
 
 def first_last_entry(route: Column, first: Column, last: Column) -> Column:
@@ -39,7 +45,11 @@ SLOTS = ("wd_first", "wd_last", "sat_first", "sat_last", "sun_first", "sun_last"
 
 def parse_first_last(entry: Column) -> Column:
     """Struct of the route and six slots: the last six words are times if there are seven or more, else words in turn."""
-    words = F.split(entry, r"\s+")
+    return slots_of_words(F.split(entry, r"\s+"))
+
+
+def slots_of_words(words: Column) -> Column:
+    """``parse_first_last`` of an entry's words."""
     n = F.size(words)
     long = n >= 7
     route = F.when(long, F.array_join(F.slice(words, 1, F.greatest(n - 6, F.lit(1))), " ")).otherwise(F.get(words, F.lit(0)))
