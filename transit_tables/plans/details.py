@@ -113,7 +113,7 @@ def prefix_groups(s, d):
 
 
 def forward_id_order(s, d):
-    return diagram.order_by_forward_ids(q._top_routes(s, d)[0])
+    return diagram.order_by_forward_ids(q.save(q._top_routes(s, d)[0], "top"))
 
 
 def ranking_rows(s, d):
