@@ -43,13 +43,9 @@ def first_last_entry(route: Column, first: Column, last: Column) -> Column:
 SLOTS = ("wd_first", "wd_last", "sat_first", "sat_last", "sun_first", "sun_last")
 
 
-def parse_first_last(entry: Column) -> Column:
-    """Struct of the route and six slots: the last six words are times if there are seven or more, else words in turn."""
-    return slots_of_words(F.split(entry, r"\s+"))
-
-
-def slots_of_words(words: Column) -> Column:
-    """``parse_first_last`` of an entry's words."""
+def parse_first_last(entry: Column, words: Column | None = None) -> Column:
+    """Struct of the route and six slots: the last six words are times if there are seven or more, else words in turn; of the entry's ``words`` if they are known."""
+    words = F.split(entry, r"\s+") if words is None else words
     n = F.size(words)
     long = n >= 7
     route = F.when(long, F.array_join(F.slice(words, 1, F.greatest(n - 6, F.lit(1))), " ")).otherwise(F.get(words, F.lit(0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clock import SLOTS, first_last_entry, gtfs_hhmm, hhmm_packed, is_timing, slots_of_words
+from ..functions.clock import SLOTS, first_last_entry, gtfs_hhmm, hhmm_packed, is_timing, parse_first_last
 from .patterns import route_endpoints
 
 
@@ -64,8 +64,8 @@ def combine_first_last(entries: DataFrame) -> DataFrame:
 
     Only pairs whose first is a timing take part; a route without any keeps "=".
     """
-    words = entries.select("feed_id", "stop_id", F.split("entry", r"\s+").alias("words"))
-    parsed = words.select("feed_id", "stop_id", slots_of_words(F.col("words")).alias("p")).select("feed_id", "stop_id", "p.*")
+    words = entries.select("feed_id", "stop_id", "entry", F.split("entry", r"\s+").alias("words"))
+    parsed = words.select("feed_id", "stop_id", parse_first_last(F.col("entry"), F.col("words")).alias("p")).select("feed_id", "stop_id", "p.*")
     cols = []
     for first, last in zip(SLOTS[::2], SLOTS[1::2], strict=True):
         ok = is_timing(F.col(first))
