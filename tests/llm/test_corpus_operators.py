@@ -298,6 +298,44 @@ def test_token_files(spark):
     assert token_files.token_digests(docs.limit(0)).count() == 0
 
 
+def test_token_files_ask_for_common_pieces_once(tmp_path, monkeypatch):
+    """Small blocks and a full memory change no ids, and pieces that keep coming go to the library once."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    for name, x in {"BLOCK": 2500, "WORDS": 4000, "PIECES": 4000, "TOGETHER": 50, "LOT": 7, "_made": {}}.items():
+        monkeypatch.setattr(token_files, name, x, raising=False)
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0))
+    path, asked = public_tokenizers.path(token_files.TOKENIZER), []
+    lib = token_files.tokens_of(path).tokenizer
+
+    def encode(text, **options):
+        asked.extend(text.split())
+        return lib.encode(text, **options)
+
+    def encode_batch_fast(texts, **options):
+        asked.extend(w for t in texts for w in t.split())
+        return lib.encode_batch_fast(texts, **options)
+
+    token_files.tokens_of(path).tokenizer = SimpleNamespace(encode=encode, encode_batch_fast=encode_batch_fast)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeéñöü") for _ in range(9))
+    common = [word() for _ in range(30)]
+    odd = ["don't", "'s", "''s'", "12a", "ΣΑΣ", "e\u0301", "<|a", "É×é", "\x00", "\u2003x", "🙂!"]
+    texts = [None, "", " ", "\n", *(" ".join(rng.choice([w, w.upper(), w.title() + ",", f"({w})"]) for w in common + [word() for _ in range(20)]) + "  " + rng.choice(odd) + "\n" for _ in range(60))]
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array(range(i, min(i + 25, len(texts)))), "text": pa.array(texts[i : i + 25], pa.string())}) for i in range(0, len(texts), 25)]
+    (made,) = token_files._written(path, f"file://{tmp_path}", 2)(iter(batches))
+    with open(made.column(2)[0].as_py(), "rb") as source:
+        one = token_files.TokenFile(source)
+        docs, starts = one.documents()
+        assert docs == list(range(len(texts)))
+        for t, a, b in zip(texts, starts.tolist(), starts.tolist()[1:], strict=False):
+            assert one.tokens(a, b).tolist() == [*lib.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
+    assert [asked.count(w) for w in common] == [1] * len(common)
+
+
 def test_token_files_of_another_tokenizer(spark, tmp_path):
     """A tokenizer whose words can't be encoded one by one goes to the library whole."""
     from tokenizers import Tokenizer

@@ -18,14 +18,16 @@ import io
 import json
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import files, new_path, partitions, save
+from .common import files, new_path, partitions, save, trim
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -33,8 +35,8 @@ MAGIC = b"DACTOK01"
 SPAN = 512
 #: Tokens after which a file ends, at the next document.
 FILE_TOKENS = 4_000_000
-#: Bytes of a worker's memories of words and of pieces, about, and of an entry beside its text; characters of the texts that are encoded together.
-WORDS, PIECES, ENTRY, TOGETHER = 160_000_000, 100_000_000, 200, 2_000_000
+#: Bytes of text that are encoded together and of a worker's memory of pieces, about; words of texts, and distinct words, that are put together at once.
+BLOCK, PIECES, TOGETHER, LOT = 32_000_000, 64_000_000, 500_000, 50_000
 #: What the short cut of ``Tokens`` relies on: the tokenizer's normalizer and pre-tokenizer, and the end of its words. Fixed values.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 CUTS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -51,20 +53,28 @@ def known_kind(file: dict) -> bool:
     return usual and file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == cutter and file.get("post_processor") is None and all("<|" in t["content"] for t in added)
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges of these starts and sizes, one after the other."""
+    out = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    out += np.arange(len(out))
+    return out
+
+
 class Tokens:
     """Ids of texts by the tokenizers library, which sees each word's pieces once.
 
     White space ends every word of the usual tokenizer and leaves no token, so a text's ids
-    are those of its words in turn. A word of printable ASCII and Latin-1 letters is lower-cased
+    are those of its words in turn. Arrow splits the texts of a block and numbers their
+    distinct words. A word of printable ASCII and Latin-1 letters is lower-cased
     and cut where the tokenizer cuts it, so that words with other capitals or marks share pieces;
     other words go to the library whole. New pieces are encoded in one text, and the ids
-    of tokens that end a word tell them apart. Texts go whole to the library if the
-    tokenizer's file isn't of this kind.
+    of tokens that end a word tell them apart. Pieces and their ids are remembered in
+    arrays; when these are full, only the pieces of the present block stay. Texts go whole to the
+    library if the tokenizer's file isn't of this kind.
     """
 
-    split = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
-    plain = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
-    cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+    odd = r"[^!-~À-ÖØ-öø-ÿ]|<\|"
+    cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-z0-9ß-öø-ÿ\n]+").findall
 
     def __init__(self, path: str):
         import os
@@ -78,45 +88,96 @@ class Tokens:
         self.ends[[i for t, i in vocabulary.items() if t.endswith(SUFFIX)]] = True
         with open(path, "rb") as file:
             self.by_words = known_kind(json.load(file))
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.held = {"words": 0, "pieces": 0}
+        self.pieces, self.ids = pa.array([], pa.string()), np.empty(0, "<u4")
+        self.starts = self.sizes = np.empty(0, np.int64)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text in turn."""
         if not self.by_words:
-            found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in found]
-        words = [self.split(t or "") for t in texts]
-        if self.held["words"] > WORDS:
-            self.known, self.held["words"] = {}, 0
-        if self.held["pieces"] > PIECES:
-            self.pieces, self.held["pieces"] = {}, 0
-        new = set().union(*words).difference(self.known)
-        cuts = {w: [w.lower()] if w.isalpha() else self.cut(w.lower()) for w in new if self.plain(w) and "<|" not in w}
-        lacking = set().union(*cuts.values()).difference(self.pieces)
-        self._learn(sorted(lacking))
-        of = self.pieces.__getitem__
-        self.known.update((w, of(x[0]) if len(x) == 1 else b"".join(map(of, x))) for w, x in cuts.items())
-        if len(cuts) < len(new):
-            self.known.update((w, self._one(w)) for w in new.difference(cuts))
-        self.held["words"] += sum(map(len, new)) + ENTRY * len(new)
-        self.held["pieces"] += sum(map(len, lacking)) + ENTRY * len(lacking)
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
-
-    def _one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        parts = [pieces[i : i + 512] for i in range(0, len(pieces), 512)]
-        for i in range(0, len(parts), 64):
-            for part, found in zip(parts[i : i + 64], self.tokenizer.encode_batch_fast([" ".join(x) for x in parts[i : i + 64]], add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, "<u4")
-                ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-                if len(ends) == len(part):
-                    data = ids.tobytes()
-                    self.pieces.update((p, data[4 * s : 4 * e]) for p, s, e in zip(part, [0, *ends], ends, strict=False))
-                else:
-                    self.pieces.update((p, self._one(p)) for p in part)
+            for text in texts.to_pylist():
+                yield from self._each([text])
+            return
+        split = pc.ascii_split_whitespace(texts)
+        found = split.flatten().dictionary_encode()
+        until, places = split.offsets.to_numpy(), found.indices.to_numpy()
+        starts, sizes, ids = self._words(found.dictionary)
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(until, until[i] + TOGETHER, "right")) - 1)
+            words = places[until[i] : until[j]]
+            own = ids[spans(starts[words], sizes[words])]
+            ends = np.r_[0, np.cumsum(sizes[words])][until[i : j + 1] - until[i]].tolist()
+            yield from (own[a:b] for a, b in zip(ends, ends[1:], strict=False))
+            i = j
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and numbers of each distinct word's ids, and these ids."""
+        first, counts, parts, n = np.empty(len(words), np.int64), np.empty(len(words), np.int64), [pa.array([], pa.string())], 0
+        for i in range(0, len(words), LOT):
+            lot = words.slice(i, LOT)
+            odd = pc.match_substring_regex(lot, self.odd)
+            (text,) = _joined(pc.if_else(odd, "", lot), "\n", LOT)
+            cut = pa.array(self.cut(text.lower() + "\n"), pa.string())
+            end = pc.equal(cut, "\n")
+            ends = np.flatnonzero(end.to_numpy(zero_copy_only=False)) - np.arange(len(lot))
+            parts += [cut.filter(pc.invert(end)), lot.filter(odd)]
+            of, odd = slice(i, i + len(lot)), odd.to_numpy(zero_copy_only=False)
+            counts[of] = np.where(odd, 1, np.diff(ends, prepend=0))
+            first[of] = np.where(odd, ends[-1] + np.cumsum(odd) - 1, np.r_[0, ends[:-1]]) + n
+            n += len(parts[-2]) + len(parts[-1])
+        found = pa.concat_arrays(parts).dictionary_encode()
+        at = self._places(found.dictionary)[found.indices.to_numpy()]
+        sizes = self.sizes[at]
+        before = np.r_[0, np.cumsum(sizes)]
+        return before[first], before[first + counts] - before[first], self.ids[spans(self.starts[at], sizes)]
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Places of distinct pieces in the memory, to which new ones are added."""
+        at = pc.index_in(pieces, value_set=self.pieces)
+        if sum(x.nbytes for x in (self.pieces, self.starts, self.sizes, self.ids)) > PIECES:
+            stay = at.drop_null().to_numpy()
+            self.pieces, self.ids, self.sizes = self.pieces.take(pa.array(stay)), self.ids[spans(self.starts[stay], self.sizes[stay])], self.sizes[stay]
+            self.starts = np.cumsum(self.sizes) - self.sizes
+            at = pc.index_in(pieces, value_set=self.pieces)
+        known, new = len(self.pieces), pieces.filter(at.is_null())
+        if len(new):
+            starts, sizes, ids = self._learn(new)
+            self.starts, self.sizes = np.r_[self.starts, len(self.ids) + starts], np.r_[self.sizes, sizes]
+            self.pieces, self.ids = pa.concat_arrays([self.pieces, new]), np.concatenate([self.ids, ids])
+        out = at.fill_null(-1).to_numpy().astype(np.int64)
+        out[out < 0] = np.arange(known, len(self.pieces))
+        return out
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and numbers of each piece's ids, and these ids."""
+        starts, sizes, out, n = np.empty(len(pieces), np.int64), np.full(len(pieces), -1), [], 0
+        odd = pc.match_substring_regex(pieces, self.odd)
+        plain = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        for i, text in enumerate(_joined(pieces.filter(pc.invert(odd)), " ", 512)):
+            (ids,), part = self._each([text]), plain[512 * i : 512 * (i + 1)]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                starts[part], sizes[part] = np.r_[0, ends[:-1]] + n, np.diff(ends, prepend=0)
+                out.append(ids)
+                n += len(ids)
+        rest = np.flatnonzero(sizes < 0)
+        for i in range(0, len(rest), 512):
+            part = rest[i : i + 512]
+            each = self._each(pieces.take(pa.array(part)).to_pylist())
+            sizes[part] = list(map(len, each))
+            starts[part] = np.cumsum(sizes[part]) - sizes[part] + n
+            out += each
+            n += int(sizes[part].sum())
+        return starts, sizes, np.concatenate(out)
+
+
+def _joined(words: pa.Array, by: str, lot: int) -> list[str]:
+    """Texts of ``lot`` words each."""
+    cuts = np.minimum(np.arange(0, len(words) + lot, lot), len(words)).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), words), by).to_pylist()
 
 
 def levels_of(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -201,16 +262,21 @@ def tokens_of(path: str) -> Tokens:
     return _made[path]
 
 
-def _together(texts: list[str | None]):
-    """Ranges of texts of about ``TOGETHER`` characters, or of one text."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= TOGETHER:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _blocks(batches) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of about ``BLOCK`` bytes; a longer text ends its block."""
+    held, size = [], 0
+    for batch in batches:
+        start = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+            size += n + 1
+            if size >= BLOCK:
+                held.append(batch.slice(start, i + 1 - start))
+                yield tuple(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1))
+                held, size, start = [], 0, i + 1
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
+    if held:
+        yield tuple(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1))
 
 
 def _written(path: str, folder: str, end: int):
@@ -220,30 +286,29 @@ def _written(path: str, folder: str, end: int):
         task = TaskContext.get()
         system, root = files(folder)
         system.create_dir(root, recursive=True)
-        enc, seq = tokens_of(path), 0
+        enc, stop, seq = tokens_of(path), np.array([end], "<u4"), 0
         docs, counts, held = [], [], []
 
         def close():
             name = f"{root}/{task.partitionId():06d}-{seq:04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.dac"
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             with system.open_output_stream(name) as out:
                 out.write(to_file(docs, counts, ids))
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((task.partitionId(), pa.int32()), (seq, pa.int32()), (name, pa.string()), (len(docs), pa.int64()), (len(ids), pa.int64()))], names=["part", "seq", "path", "docs", "tokens"])
 
         total = 0
-        for batch in batches:
-            doc_ids, texts = (batch.column(i).to_pylist() for i in (0, 1))
-            for i, j in _together(texts):
-                for who, ids in zip(doc_ids[i:j], enc.encode(texts[i:j]), strict=True):
-                    held.append(ids + end.to_bytes(4, "little"))
-                    docs.append(who)
-                    counts.append(len(ids) // 4 + 1)
-                    total += counts[-1]
-                    if total >= FILE_TOKENS:
-                        yield close()
-                        docs, counts, held, total, seq = [], [], [], 0, seq + 1
+        for doc_ids, texts in _blocks(batches):
+            for who, ids in zip(doc_ids.to_pylist(), enc.encode(pc.fill_null(texts.cast(pa.string()), "")), strict=True):
+                held += [ids, stop]
+                docs.append(who)
+                counts.append(len(ids) + 1)
+                total += counts[-1]
+                if total >= FILE_TOKENS:
+                    yield close()
+                    docs, counts, held, total, seq = [], [], [], 0, seq + 1
         if docs:
             yield close()
+        trim()
 
     return over
 
