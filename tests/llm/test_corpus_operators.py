@@ -124,6 +124,42 @@ def test_byte_bpe(spark):
     assert byte_bpe.digests(spark, docs.limit(0)).count() == 0
 
 
+def test_byte_bpe_searches_each_piece_of_a_block_once(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    for name, x in (("PIECES", 10_000), ("SEGMENTS", 10_000), ("_made", {})):
+        monkeypatch.setattr(byte_bpe, name, x, raising=False)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abdehilnorstuw") for _ in range(9)) for _ in range(2000)]
+    texts = [" ".join(rng.sample(words, len(words))) for _ in range(30)]
+    path, searched = public_tokenizers.path(byte_bpe.RANKS), []
+    enc = byte_bpe.encoder(path, public_tokenizers.PATTERN)
+    search = enc.search
+    enc.search = SimpleNamespace(iter_long=lambda text: searched.append(len(text)) or search.iter_long(text), longest_prefix=search.longest_prefix)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    made = [r for part in byte_bpe._coded(path, public_tokenizers.PATTERN, True)(iter([batch])) for r in part.to_pylist()]
+    lib = library()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in made] == [lib.encode_ordinary(t) for t in texts]
+    assert [r["decoded"].decode() for r in made] == texts and [r["id"] for r in made] == list(range(len(texts)))
+    assert sum(searched) < 3 * sum(len(w) + 2 for w in words)  # with and without a space before them
+
+
+def test_byte_bpe_cuts_at_white_space(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    bits = [*byte_bpe.SPACE, " ", " ", "\n", "a", "the", "é", "à", "中", "!", "'s", "1", "\x1c", "\x00", "\u0100", "\u200b", "…"]
+    texts = ["", " ", "\u3000 ", *("".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(4000))]
+    monkeypatch.setattr(byte_bpe, "LOT", 700)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    made = [r for part in byte_bpe._coded(public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN, True)(iter([batch])) for r in part.to_pylist()]
+    lib = library()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in made] == [lib.encode_ordinary(t) for t in texts]
+    assert [r["decoded"].decode() for r in made] == texts
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     texts = [None, "", *(" ".join("w" for _ in range(rng.choice([1, 3, 50, 400]))) for _ in range(600))]

@@ -10,15 +10,12 @@ import contextlib
 import gc
 import re
 import uuid
-from sys import getsizeof
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in local tests.
 LOCAL_DIR = "/tmp/checkpoints"
-#: Bytes of a dictionary's entry beside its key and value.
-ENTRY = 100
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -132,35 +129,6 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-class Memory(dict):
-    """Remembers a function of short strings in two generations that hold ``limit`` bytes together.
-
-    When the newer one is full, it takes the place of the older one, so what is
-    asked for again and again stays.
-    """
-
-    def __init__(self, function, limit: int):
-        super().__init__()
-        self.function, self.half, self.room, self.old = function, limit // 2, limit // 2, {}
-
-    def __missing__(self, key):
-        found = self.old.get(key)
-        if found is None:
-            found = self.function(key)
-        if len(key) < 64:
-            self.room -= getsizeof(key) + getsizeof(found) + ENTRY
-            if self.room < 0:
-                self.old = dict(self)
-                self.clear()
-                self.room = self.half
-            self[key] = found
-        return found
-
-    def forget(self) -> None:
-        self.clear()
-        self.old, self.room = {}, self.half
-
-
 def trim() -> None:
     """Gives memory that a worker has freed back to the system, where the C library can."""
     import ctypes

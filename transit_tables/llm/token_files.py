@@ -262,14 +262,14 @@ def tokens_of(path: str) -> Tokens:
     return _made[path]
 
 
-def _blocks(batches) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Ids and texts of about ``BLOCK`` bytes; a longer text ends its block."""
-    held, size = [], 0
+def _blocks(batches, limit: int | None = None) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of about ``limit`` bytes, ``BLOCK`` if not given; a longer text ends its block."""
+    held, size, limit = [], 0, limit or BLOCK
     for batch in batches:
         start = 0
         for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
             size += n + 1
-            if size >= BLOCK:
+            if size >= limit:
                 held.append(batch.slice(start, i + 1 - start))
                 yield tuple(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1))
                 held, size, start = [], 0, i + 1
