@@ -150,3 +150,36 @@ def test_times_are_written_without_a_formatter(spark):
     made = rows.select(clock.gtfs_hhmm(F.col("t")), clock.gtfs_hhmm(F.col("t"), True), clock.hhmm_packed(F.col("t")))
     assert [tuple(r) for r in made.collect()] == [("07:05", "07:05", "0705"), ("01:61", "25:61", "2561"), ("-3:07", "-3:07", "-307"), ("03:04", "123:04", "12304"), ("x:1", "x:1", "0000"), ("", "", "0000"), (None, None, "0000"), ("8", "8", "0000")]
     assert "format_string" not in plan(made)
+
+
+def test_levels_taken_are_bits_and_a_plain_area_is_one_band(spark):
+    rng = random.Random(6)
+    taken, plain = graphs.TakenLevels(4), {}
+    for _ in range(300):
+        stops = rng.sample("abcdefgh", rng.randint(1, 3))
+        want = next(n for n in range(1, 999) if all(n not in plain.get(s, ()) for s in stops))
+        for s in stops:
+            plain.setdefault(s, set()).add(want)
+        assert taken.take(stops) == want
+    members = spark.range(3000).selectExpr("'f' feed_id", "concat('r', id) route_id", "concat('s', id % 100) stop_id").union(spark.range(3000).selectExpr("'f'", "concat('r', id)", "concat('s', (id + id div 100) % 100)")).distinct()
+    none = members.limit(0).selectExpr("feed_id", "route_id", "0d as priority")
+    bands = graphs.level_bands(members.join(graphs.areas(members), graphs.ROUTE), none)
+    assert bands.select("band").distinct().count() == 1
+
+
+def test_areas_of_visits_linked_a_few_at_a_time(spark):
+    """Rings of 7 routes, null stops, lists and rows: a task that links 5 visits at a time leaves the rest to the labels."""
+    lists = [("f", f"r{i}", [f"s{i // 7}-{i % 7}", f"s{i // 7}-{(i + 1) % 7}", None]) for i in range(70)] + [("g", "r1", ["s0-0"]), ("g", "r2", [None])]
+    routes = spark.createDataFrame(lists, "feed_id string, route_id string, stops array<string>")
+    want = {("f", f"r{i}"): min(f"r{i // 7 * 7 + k}" for k in range(7)) for i in range(70)} | {("g", "r1"): "r1"}
+    for members in (routes, routes.select("feed_id", "route_id", F.explode("stops").alias("stop_id"))):
+        for most in (5, graphs.LINKED):
+            assert {(r.feed_id, r.route_id): r.area for r in graphs.areas(members, most=most).collect()} == want
+
+
+def test_lists_of_routes_are_their_trips_stops(feed):
+    directed, visits, known = feed
+    lists = graphs.route_lists(directed, visits)
+    want = {(r.route_id, r.stop_id) for r in graphs.route_stops(known).collect()}
+    got = [(r.route_id, s) for r in lists.collect() for s in r.stops]
+    assert set(got) == want and len(got) == len(want) and exchanges(lists) <= 3
