@@ -183,3 +183,17 @@ def test_lists_of_routes_are_their_trips_stops(feed):
     want = {(r.route_id, r.stop_id) for r in graphs.route_stops(known).collect()}
     got = [(r.route_id, s) for r in lists.collect() for s in r.stops]
     assert set(got) == want and len(got) == len(want) and exchanges(lists) <= 3
+
+
+def test_blocks_of_routes_meet_once_with_their_lists(spark, monkeypatch):
+    """Areas of 20 routes in blocks of 16: a route is sent to few groups, a group counts few pairs at a time, and no list is kept for each stop."""
+    monkeypatch.setattr(graphs, "COUNTED", 50)
+    rng = random.Random(3)
+    lists = {f"r{i}": sorted({f"s{i // 20}-{rng.randrange(12)}" for _ in range(6)}) for i in range(200)}
+    routes = spark.createDataFrame([("f", r, [*x, None]) for r, x in lists.items()], "feed_id string, route_id string, stops array<string>")
+    found = graphs.route_similarity(routes, 0.3, 16)
+    want = {(a, b): k / (len(x) + len(y) + 2 - k) for a, x in lists.items() for b, y in lists.items() if a < b and (k := len({*x} & {*y})) / (len(x) + len(y) + 2 - k) >= 0.3}
+    rows = found.collect()
+    assert {(r.a, r.b): r.jaccard for r in rows} == want and len(rows) == len(want) > 50
+    assert {r.route_id for r in graphs.cluster_routes(routes, 0.3).collect() if r.size == 1} == set(lists) - {r for x in want for r in x}
+    assert "stop_id" not in found._jdf.queryExecution().optimizedPlan().toString() and graphs.BLOCK >= 16_384
