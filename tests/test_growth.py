@@ -197,3 +197,28 @@ def test_blocks_of_routes_meet_once_with_their_lists(spark, monkeypatch):
     assert {(r.a, r.b): r.jaccard for r in rows} == want and len(rows) == len(want) > 50
     assert {r.route_id for r in graphs.cluster_routes(routes, 0.3).collect() if r.size == 1} == set(lists) - {r for x in want for r in x}
     assert "stop_id" not in found._jdf.queryExecution().optimizedPlan().toString() and graphs.BLOCK >= 16_384
+
+
+def test_variants_of_a_start_meet_those_of_an_end_as_bits(spark, monkeypatch):
+    """Stops cut into places of 3 variants and blocks of 2; counts and changes equal plain loops, also from a stop to itself."""
+    monkeypatch.setattr(network, "TOGETHER", 3)
+    monkeypatch.setattr(network, "STOPS", 2)
+    rng = random.Random(9)
+    lists = {("f", f"r{i // 2}", "d", i % 2): [f"s{x}" for x in rng.choices(range(8), k=rng.randint(1, 6))] for i in range(40)}
+    known = spark.createDataFrame([(*k, 1, x) for k, x in lists.items()], "feed_id string, route_id string, destination string, variant_idx int, dest_rank int, stops array<string>")
+    asked = {(f"s{rng.randrange(9)}", f"s{rng.randrange(9)}") for _ in range(30)} | {("s1", "s1")}
+    direct, changes = {}, set()
+    for s, e in asked:
+        ways = {k for k, x in lists.items() if s in x and e in x[x.index(s) :]}
+        direct[s, e] = len(ways)
+        for k, x in lists.items():
+            for m, y in lists.items():
+                if s in x and k not in ways and e in y and (met := [z for z in dict.fromkeys(y[: y.index(e)]) if z in x[x.index(s) + 1 :] and z not in (s, e)]):
+                    changes.add((s, e, *k[1:], *m[1:], tuple(met)))
+    pairs = spark.createDataFrame([("f", *x) for x in asked], "feed_id string, start_stop string, end_stop string")
+    rows = network.journeys_one_transfer(known, pairs)
+    got = [(*r[1:9], tuple(r.transfers)) for r in rows.collect()]
+    assert set(got) == changes and len(got) == len(changes) > 50
+    counts = {(r.start_stop, r.end_stop): (r.direct, r.transfers) for r in network.journey_counts(known, pairs).collect()}
+    assert counts == {k: (n, sum(c[:2] == k for c in changes)) for k, n in direct.items() if "s8" not in k}
+    assert "FlatMapGroupsInArrow" in rows._jdf.queryExecution().toString()
