@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from transit_tables.functions import clock
-from transit_tables.operators import diagram, feeds, graphs, importance, network, pairing, patterns, schedule, shapes
+from transit_tables.operators import diagram, feeds, graphs, importance, network, pairing, patterns, schedule, search, shapes
 from transit_tables.plans import details, queries
 
 from test_whole import tables
@@ -222,3 +222,17 @@ def test_variants_of_a_start_meet_those_of_an_end_as_bits(spark, monkeypatch):
     counts = {(r.start_stop, r.end_stop): (r.direct, r.transfers) for r in network.journey_counts(known, pairs).collect()}
     assert counts == {k: (n, sum(c[:2] == k for c in changes)) for k, n in direct.items() if "s8" not in k}
     assert "FlatMapGroupsInArrow" in rows._jdf.queryExecution().toString()
+
+
+def test_hits_of_equal_queries_are_put_in_order_once(spark, monkeypatch):
+    """40 queries of one text and one of two texts: the hits are kept for two sets of texts, not for each query."""
+    kept, plain = {}, search.save
+    monkeypatch.setattr(search, "save", lambda rows, name: kept.update({name: rows.count()}) or plain(rows, name))
+    asked = spark.createDataFrame([(f"q{i}", "335e" if i % 2 else " 335E") for i in range(40)] + [("two", "335E"), ("two", "majestic"), ("blank", " "), ("none", None)], "query_id string, text string")
+    services = spark.createDataFrame([(f"r{i}", "Route 335E" if i % 3 else "Route 335D") for i in range(30)] + [("m", "Majestic")], "id string, text string")
+    stops = spark.createDataFrame([("s", "335E")], "id string, text string")
+    got = search.fuzzy_search(asked, services, stops).collect()
+    ids = sorted((0.0 if i % 3 else 0.25, f"r{i}") for i in range(30))
+    want = {q: {(r, score, k) for k, (score, r) in enumerate(x, 1)} for q, x in [(f"q{i}", ids) for i in range(40)] + [("two", sorted([*ids, (0.0, "m")]))]}
+    assert {q: {(r.id, r.score, r.place) for r in got if r.query_id == q} for q in want} == want and len(got) == 40 * 30 + 31
+    assert kept["hits"] == kept["ranked"] == 61
